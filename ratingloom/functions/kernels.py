@@ -76,35 +76,41 @@ def pair_sums(users, items, probs, cells=CELLS, dense_gain=DENSE_GAIN):
         yield catalogue[key // m], catalogue[key % m], sums
 
 
-def log_products(users, items, cand, other, logs, top=None, decimals=None, cells=CELLS,
+def spread(ids: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
+    """Flatten a list column: the row's id beside every list entry."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(ids, lengths), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def log_products(users, items, others, sizes, cand, logs, top=None, decimals=None, cells=CELLS,
                  dense_share=0.2):
     """For each user and candidate: the sum of ``log g(candidate, j)`` over the user's items j.
 
-    ``users, items`` are the chunk's (user, j) rows; ``cand, other, logs`` are the known cells
-    (candidate, j, log g). A candidate that lacks a cell for one of the user's items has product 0
-    and is left out. Yields ``(user, candidate, log product)``; with ``top``, only the best
-    ``top`` per user in this chunk, ties by the lower candidate id.
+    ``users, items`` are the chunk's (user, j) rows. The known cells of g come row by row:
+    ``others`` are the distinct j, ``sizes`` the number of cells of each, ``cand`` and ``logs`` the
+    cells themselves. A candidate that lacks a cell for one of the user's items has product 0 and
+    is left out. Yields ``(user, candidate, log product)``; with ``top``, only candidates that
+    reach the user's ``top``-th best value in this chunk.
     """
     if len(users) == 0 or len(cand) == 0:
         return
     order = np.argsort(users, kind="stable")
     users, items = users[order], items[order]
     bounds = segments(users)
-    names, sizes = users[bounds[:-1]], np.diff(bounds)
+    names, degree = users[bounds[:-1]], np.diff(bounds)
     cols, col = np.unique(cand, return_inverse=True)
-    rows, row = np.unique(other, return_inverse=True)
-    width, depth = len(cols), len(rows)
-    at = np.searchsorted(rows, items)
-    at[(at == depth) | (rows[np.minimum(at, depth - 1)] != items)] = depth  # no cell at all
+    width, depth = len(cols), len(others)
+    order = np.argsort(others)
+    rows = others[order]
+    at = np.minimum(np.searchsorted(rows, items), depth - 1)
+    at = np.where(rows[at] == items, order[at], depth)  # depth: no cell at all for this item
     dense = len(logs) >= dense_share * width * depth
     if dense:
         table = np.full((depth + 1, width), -np.inf)
-        table[row, col] = logs
-        weight = sizes * width
+        table[np.repeat(np.arange(depth), sizes), col] = logs
+        weight = degree * width
     else:
-        order = np.argsort(row, kind="stable")
-        col, logs = col[order], logs[order]
-        length = np.bincount(row, minlength=depth + 1)
+        length = np.append(sizes, 0)
         start = np.cumsum(length) - length
         weight = np.maximum(np.add.reduceat(length[at], bounds[:-1]), width)
     for low, high in cuts(weight, cells):
@@ -113,23 +119,19 @@ def log_products(users, items, cand, other, logs, top=None, decimals=None, cells
             score = np.add.reduceat(table[at[first:last]], bounds[low:high] - first, axis=0)
         else:
             which, cell = ragged(start[at[first:last]], length[at[first:last]])
-            owner = np.repeat(np.arange(high - low), sizes[low:high])[which]
+            owner = np.repeat(np.arange(high - low), degree[low:high])[which]
             slot = owner * width + col[cell]
             space = (high - low) * width
-            score = np.bincount(slot, weights=logs[cell], minlength=space)
+            score = np.bincount(slot, weights=logs[cell], minlength=space).reshape(-1, width)
             hits = np.bincount(slot, minlength=space).reshape(-1, width)
-            score = score.reshape(-1, width)
-            score[hits != sizes[low:high, None]] = -np.inf
+            score[hits != degree[low:high, None]] = -np.inf
         if decimals is not None:
             score = np.round(score, decimals)
+        keep = np.isfinite(score)
         if top is not None and top < width:
-            best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-            value = np.take_along_axis(score, best, axis=1)
-            a, b = np.nonzero(np.isfinite(value))
-            yield names[low + a], cols[best[a, b]], value[a, b]
-        else:
-            a, b = np.nonzero(np.isfinite(score))
-            yield names[low + a], cols[b], score[a, b]
+            keep &= score >= -np.partition(-score, top - 1, axis=1)[:, top - 1 : top]
+        a, b = np.nonzero(keep)
+        yield names[low + a], cols[b], score[a, b]
 
 
 def gram_sum(batches: Iterator[np.ndarray], k: int) -> np.ndarray:

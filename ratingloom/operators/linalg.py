@@ -68,7 +68,7 @@ def gram(df: DataFrame, k: int, value: str = "v") -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (
-            np.asarray(b.column(0).flatten(), dtype=np.float64).reshape(-1, k)
+            b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             for b in batches
             if b.num_rows
         )

@@ -18,7 +18,7 @@ TRAIN_PERCENT = 67
 
 def first_n(ratings: DataFrame, n: int = 50_000) -> DataFrame:
     """The first n ratings in arrival order."""
-    return ratings.orderBy("seq", "item", "user").limit(n)
+    return ratings.orderBy("seq", "item", "user", "rating").limit(n)
 
 
 @dataclass

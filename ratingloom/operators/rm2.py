@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ CHUNK_MAX = 4_000_000
 #: Cells of g in one block.
 BLOCK_CELLS = 2_000_000
 
+#: Items of one packed list of a user.
+LIST_ITEMS = 4096
+
 
 def ratings_by_cluster(
     ratings: DataFrame, clusters: DataFrame, heavy: DataFrame | None = None
@@ -94,10 +98,10 @@ def prepare_probs(
 
 def cluster_plan(probs: DataFrame, chunk_min: int = CHUNK_MIN, chunk_max: int = CHUNK_MAX,
                  block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """How finely to cut each cluster: ``(cluster, n_chunks, n_blocks)``, one row per cluster.
+    """How finely to cut each cluster: ``(cluster, n_chunks, n_blocks, n_lists)``.
 
-    The number of clusters is the width k of the factors, so this table is always small enough to
-    broadcast.
+    It has one row per cluster, so its size is the width k of the factors: small enough to
+    broadcast at any data size.
     """
     sizes = probs.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("item").alias("n_items")
@@ -109,6 +113,7 @@ def cluster_plan(probs: DataFrame, chunk_min: int = CHUNK_MIN, chunk_max: int =
         "cluster",
         F.ceil(F.col("n_rows") / rows).cast("int").alias("n_chunks"),
         F.ceil(n_items * n_items / block_cells).cast("int").alias("n_blocks"),
+        F.ceil(n_items / LIST_ITEMS).cast("int").alias("n_lists"),
     )
 
 
@@ -141,6 +146,16 @@ def cluster_cooccurrence(probs: DataFrame, plan: DataFrame | None = None) -> Dat
     return sums.groupBy("cluster", "i", "j").agg(F.sum("g").alias("g")).where("g > 0")
 
 
+def _mirrored(g: DataFrame) -> DataFrame:
+    """Both orders of every cell of the symmetric matrix."""
+    cell = F.struct("i", "j")
+    swapped = F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    orders = F.when(F.col("i") == F.col("j"), F.array(cell)).otherwise(F.array(cell, swapped))
+    return g.select("cluster", "g", F.explode(orders).alias("c")).select(
+        "cluster", "c.i", "c.j", "g"
+    )
+
+
 def rm2_scores(
     probs: DataFrame,
     plan: DataFrame | None = None,
@@ -150,28 +165,33 @@ def rm2_scores(
     """Non-zero RM2 scores as logarithms: ``(cluster, user, item, log_score)``.
 
     A plain product would underflow for users with a few hundred items. With ``top``, each block
-    returns only a user's best ``top`` candidates, which is enough to rank them afterwards.
+    returns only candidates among a user's best ``top`` there, which is enough to rank them later.
+
+    Every (chunk of users, block of candidates) meets in one task. The rows sent there are packed:
+    a list of items per user, cut at about ``LIST_ITEMS`` items, and a list of cells per item.
     """
     plan = cluster_plan(probs) if plan is None else plan
-    wanted = _chunked(probs, plan).select(
-        "cluster", "chunk",
-        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
-        F.col("user").alias("a"), F.col("item").alias("b"), F.lit(None).cast("double").alias("lg"),
+    wanted = (
+        _chunked(probs, plan)
+        .groupBy("cluster", "chunk", "n_blocks", F.col("user").alias("id"),
+                 F.pmod(F.xxhash64("item"), F.col("n_lists")).alias("part"))
+        .agg(F.collect_list("item").alias("items"))
+        .select(
+            "cluster", "chunk",
+            F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
+            "id", "items", F.lit(None).cast("array<double>").alias("logs"),
+        )
     )
     cells = (
-        cluster_cooccurrence(probs, plan)
-        .select("cluster", F.log("g").alias("lg"), F.explode(
-            F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("a"),
-                                                              F.col("j").alias("b"))))
-            .otherwise(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
-                               F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
-        ).alias("c"))
+        _mirrored(cluster_cooccurrence(probs, plan))
         .join(F.broadcast(plan), "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("i"), F.col("n_blocks")).cast("int"))
+        .groupBy("cluster", "n_chunks", "block", F.col("j").alias("id"))
+        .agg(F.collect_list(F.struct("i", F.log("g").alias("lg"))).alias("c"))
         .select(
             "cluster",
             F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
-            F.pmod(F.xxhash64("c.a"), F.col("n_blocks")).cast("int").alias("block"),
-            "c.a", "c.b", "lg",
+            "block", "id", F.col("c.i").alias("items"), F.col("c.lg").alias("logs"),
         )
     )
 
@@ -179,11 +199,18 @@ def rm2_scores(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(batches)
-        a, b = group.column("a").to_numpy(), group.column("b").to_numpy()
-        lg = group.column("lg").to_numpy(zero_copy_only=False)
-        user = group.column("lg").is_null().to_numpy(zero_copy_only=False)
+        is_user = pc.is_null(group.column("logs"))
+        user = group.filter(is_user).combine_chunks()
+        cell = group.filter(pc.invert(is_user)).combine_chunks()
+        if user.num_rows == 0 or cell.num_rows == 0:
+            return
+        lists = user.column("items").chunk(0)
+        users, items = kernels.spread(user.column("id").to_numpy(), lists)
+        others, sizes = cell.column("id").to_numpy(), pc.list_value_length(cell.column("items"))
+        cand = cell.column("items").chunk(0).flatten().to_numpy()
+        logs = cell.column("logs").chunk(0).flatten().to_numpy()
         found = kernels.log_products(
-            a[user], b[user], a[~user], b[~user], lg[~user], top=top, decimals=digits
+            users, items, others, sizes.to_numpy(), cand, logs, top=top, decimals=digits
         )
         for who, item, value in found:
             cluster = np.full(len(who), key[0].as_py(), dtype=np.int32)
@@ -208,11 +235,7 @@ def rm2_last_item(probs: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     last = probs.groupBy("cluster", "user").agg(
         F.max_by("item", F.struct("first_seq", "item")).alias("j")
     )
-    g = cluster_cooccurrence(probs, plan)
-    both = g.unionByName(
-        g.where("i <> j").select("cluster", F.col("j").alias("i"), F.col("i").alias("j"), "g")
-    )
-    cells = both.join(F.broadcast(plan), "cluster").select(
+    cells = _mirrored(cluster_cooccurrence(probs, plan)).join(F.broadcast(plan), "cluster").select(
         "cluster", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
         "i", "j", "g",
     )
@@ -233,22 +256,26 @@ def candidate_pairs(
     n_users, n_items = clusters.count(), items.count()
     rows, cols = -(-n_users // user_part) or 1, -(-n_items // item_part) or 1
     left = clusters.select(
-        "cluster", "user", F.pmod(F.xxhash64("user"), F.lit(rows)).alias("tile_u"),
+        "cluster", "user", F.pmod(F.xxhash64("user"), F.lit(rows)).cast("int").alias("tile_u"),
         F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("tile_i"),
     )
     right = items.select(
         "item", F.pmod(F.xxhash64("item"), F.lit(cols)).cast("int").alias("tile_i"),
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("bigint").alias("tile_u"),
+        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("tile_u"),
     )
     return left.join(right, ["tile_u", "tile_i"]).select("cluster", "user", "item")
 
 
 def dense_scores(scores: DataFrame, clusters: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per candidate pair: ``(cluster, user, item, score)``, 0 where no score exists."""
+    """One row per candidate pair: ``(cluster, user, item, score, log_score)``.
+
+    A pair without a score gets 0 and a null logarithm.
+    """
     pairs = candidate_pairs(clusters, items)
-    found = scores.select("user", "item", F.exp("log_score").alias("score"))
+    found = scores.select("user", "item", "log_score")
     return pairs.join(found, ["user", "item"], "left").select(
-        "cluster", "user", "item", F.coalesce("score", F.lit(0.0)).alias("score")
+        "cluster", "user", "item",
+        F.coalesce(F.exp("log_score"), F.lit(0.0)).alias("score"), "log_score",
     )
 
 

@@ -33,14 +33,22 @@ def with_split(df: DataFrame) -> DataFrame:
 
     The file list comes from the listing that the scan holds on the driver anyway.
     """
-    files = list(enumerate(sorted(df.inputFiles())))
-    ranks = df.sparkSession.createDataFrame(files, "rank int, file string")
+    names = sorted(df.inputFiles())
+    # A row's own path writes an empty authority as "file:/x", the listing as "file:///x".
+    files = {n: rank for rank, name in enumerate(names) for n in (name, name.replace(":///", ":/"))}
+    ranks = df.sparkSession.createDataFrame(
+        [(rank, name) for name, rank in files.items()], "rank int, file string"
+    )
+    ranks = F.broadcast(ranks) if fits_broadcast(len(files), 512) else ranks
     split = df.withColumns(
         {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start")}
     )
-    if not fits_broadcast(len(files), 512):
-        return split.join(ranks, "file").drop("file")
-    return split.join(F.broadcast(ranks), "file").drop("file")
+    missing = F.raise_error(F.concat(F.lit("file is not in the listing: "), "file")).cast("int")
+    return (
+        split.join(ranks, "file", "left")
+        .withColumn("rank", F.coalesce("rank", missing))
+        .drop("file")
+    )
 
 
 def arrival(place: Column) -> Column:

@@ -67,7 +67,7 @@ def apply_index(
     ratings: DataFrame, column: str, index: Index, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Replace a column's ids by their numbers."""
-    limit = max(min_rows, index.rows // MAX_HEAVY + 1)
+    limit = max(min_rows, index.rows // MAX_HEAVY)  # at most MAX_HEAVY ids can exceed it
     heavy = index.table.where(F.col("n_rows") > limit).select(
         column, F.ceil(F.col("n_rows") / limit).cast("int").alias("n_salts")
     )

@@ -1,8 +1,9 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is *heavy* when it holds more rows than both ``min_rows`` and 1/``MAX_HEAVY`` of the table,
-so at most ``MAX_HEAVY`` keys can be heavy: that bound is what allows the list of heavy keys to be
-collected and broadcast. All rows are kept; heavy keys are only spread over more partitions.
+A key is *heavy* when it holds more than ``min_rows`` rows. Only the ``MAX_HEAVY`` largest such keys
+are listed: any key beyond them holds less than 1/``MAX_HEAVY`` of the table, so it needs no special
+treatment, and the list stays small enough to collect and broadcast at any data size. All rows are
+kept; the rows of heavy keys are only spread over more partitions.
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> dict
         ).alias("t")
     )
     counts = tagged.groupBy("t.slot", "t.value").agg(F.count(F.lit(1)).alias("n"))
-    size = counts.where("slot = 0").agg(F.sum("n").alias("n_rows"))
-    limit = F.greatest(F.lit(min_rows), F.ceil(size.scalar() / MAX_HEAVY))
     rows = (
-        counts.withColumn("limit", limit)
-        .where("n > limit")
-        .select("slot", "value", F.ceil(F.col("n") / F.col("limit")).cast("int").alias("n_salts"))
-        .collect()  # at most MAX_HEAVY rows per key column, by the definition of the limit
+        counts.where(F.col("n") > min_rows)
+        .orderBy(F.desc("n"))
+        .limit(MAX_HEAVY)
+        .select("slot", "value", F.ceil(F.col("n") / min_rows).cast("int").alias("n_salts"))
+        .collect()
     )
     found = {}
     for i, key in enumerate(keys):

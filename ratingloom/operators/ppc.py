@@ -11,7 +11,7 @@ Y and T are projections of H and W, so one join per update is enough.
 
 from __future__ import annotations
 
-import uuid
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import vectors as V
 from ratingloom.operators import linalg
-from ratingloom.operators.skew import MIN_ROWS, all_slices, heavy_keys, with_slice
-from ratingloom.session import materialize, scratch_path, shuffle_partitions
+from ratingloom.operators.matrix import RatingMatrix
+from ratingloom.operators.skew import MIN_ROWS
+from ratingloom.session import materialize
 
 H_SEED = 1
 W_SEED = 2
@@ -85,59 +86,6 @@ def delta(old: DataFrame, new: DataFrame, k: int, id_col: str = "user") -> DataF
     return pairs.agg(F.sqrt(F.sum(V.row_sum(change, k))).alias("delta"))
 
 
-class RatingMatrix:
-    """The ratings in the layout of the iteration loop: written once, never shuffled again.
-
-    Copies of a (user, item) pair are summed, because every product is linear in the rating. The
-    result is a table bucketed by user (and slice, when some users are heavy), so that the per-user
-    sums and the join with H read it in place: per iteration only factor rows move.
-    """
-
-    def __init__(self, ratings: DataFrame, min_rows: int = MIN_ROWS):
-        self.spark = spark = ratings.sparkSession
-        self.heavy = heavy_keys(ratings, ["user", "item"], min_rows)
-        pairs = ratings.groupBy("user", "item").agg(F.sum("rating").alias("rating"))
-        self.keys = ["user"]
-        if self.heavy["user"] is not None:
-            pairs = with_slice(pairs, "user", self.heavy["user"], F.col("item"))
-            self.keys = ["user", "slice"]
-        n = shuffle_partitions(spark)
-        self.name = f"ratingloom_matrix_{uuid.uuid4().hex}"
-        (
-            pairs.repartition(n, *self.keys)
-            .write.bucketBy(n, *self.keys)
-            .option("path", scratch_path(spark, "matrix"))
-            .format("parquet")
-            .saveAsTable(self.name)
-        )
-        self.table = spark.table(self.name)
-
-    def users(self) -> DataFrame:
-        return self.table.select("user").distinct()
-
-    def items(self) -> DataFrame:
-        return self.table.select("item").distinct()
-
-    def x(self, w: DataFrame, n_items: int, k: int) -> DataFrame:
-        """``A^T W``: W is looked up by item, broadcast if its counted size allows."""
-        return linalg.weighted_sum(
-            self.table, w, "item", "user", k,
-            table_rows=n_items, row_bytes=8 * k + 64, heavy=self.heavy["item"],
-        )
-
-    def s(self, h: DataFrame, k: int) -> DataFrame:
-        """``A H``: H rows travel to the bucket of their user, the ratings stay."""
-        if self.heavy["user"] is not None:
-            h = all_slices(h, "user", self.heavy["user"])
-        rows = self.table.join(h, self.keys)
-        scaled = rows.select("item", V.scale(F.col("rating"), F.col("v"), k).alias("v"))
-        return linalg.sum_vectors(scaled, "item", k)
-
-    def close(self) -> None:
-        """Forget the catalog entry; the files stay with the other intermediate tables."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-
 @dataclass
 class Factors:
     h: DataFrame
@@ -160,7 +108,7 @@ def half_step_w(ratings: DataFrame, h: DataFrame, w: DataFrame, k: int) -> DataF
 
 
 def fit(
-    ratings: DataFrame,
+    ratings: DataFrame | RatingMatrix,
     k: int = 10,
     max_iter: int = 2,
     h_seed: int = H_SEED,
@@ -176,26 +124,21 @@ def fit(
     ``tol`` stops early once the norm of the change of H is below it. ``renormalize`` makes every
     H row sum to 1 again after each pass; it is advised beyond about four iterations.
     """
-    matrix = RatingMatrix(ratings, min_heavy_rows)
-    try:
+    shared = isinstance(ratings, RatingMatrix)
+    with nullcontext(ratings) if shared else RatingMatrix(ratings, min_heavy_rows) as matrix:
         h = initial_h(matrix.users(), k, h_seed, method)
-        if method == "rand" or tol is not None:
+        if method == "rand" or tol is not None or max_iter == 0:
             h = materialize(h, "h")
         w = materialize(initial_w(matrix.items(), k, w_seed, method), "w")
-        n_items = w.count()
         change, done = None, 0
         for _ in range(max_iter):
-            x, b = matrix.x(w, n_items, k), linalg.gram(w, k)
+            x, b = matrix.by_user(w, k), linalg.gram(w, k)
             new_h = materialize(update_h(h, x, b, k, variant, renormalize), "h")
-            w = materialize(update_w(w, matrix.s(new_h, k), linalg.gram(new_h, k), k), "w")
+            w = materialize(update_w(w, matrix.by_item(new_h, k), linalg.gram(new_h, k), k), "w")
             done += 1
             if tol is not None:
                 change = delta(h, new_h, k).first()["delta"]
             h = new_h
             if change is not None and change < tol:
                 break
-        if done == 0:
-            h = materialize(h, "h")
-    finally:
-        matrix.close()
     return Factors(h, w, k, done, change)

@@ -13,7 +13,9 @@ chunk numpy sums in place; item pairs of single users never become rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import kernels
 from ratingloom.operators import aggregates
-from ratingloom.operators.skew import MIN_ROWS, heavy_keys, lookup_join
+from ratingloom.operators.matrix import RatingMatrix
+from ratingloom.operators.skew import MIN_ROWS, lookup_join
 from ratingloom.session import materialize, shuffle_partitions
 
 #: Rows of p(i|u) in one chunk, at least and at most.
@@ -51,70 +54,54 @@ def totals_by_cluster(ratings: DataFrame, clusters: DataFrame) -> DataFrame:
     return totals.join(clusters, "user").select("cluster", "user", "total")
 
 
-def rating_pairs(ratings: DataFrame) -> DataFrame:
-    """One row per (user, item): the last rating wins, ``first_seq`` keeps the first arrival."""
-    return ratings.groupBy("user", "item").agg(
-        F.max_by("rating", "seq").alias("rating"), F.min("seq").alias("first_seq")
-    )
-
-
-def user_item_prob(
-    ratings: DataFrame,
-    clusters: DataFrame,
-    lam: float = 0.5,
-    items: DataFrame | None = None,
-    n_items: int | None = None,
-    heavy: dict | None = None,
-) -> DataFrame:
+def user_item_prob(matrix: RatingMatrix, clusters: DataFrame, lam: float = 0.5) -> DataFrame:
     """Smoothed ``p(i|u) = (1 - lam) r / sum(r_u) + lam p(i|C)`` for rated items.
 
-    Returns ``(cluster, user, item, p, first_seq)``. ``items`` is an already computed table of
-    p(i|C) with ``n_items`` rows, which is broadcast if that size allows.
+    Returns ``(cluster, user, item, p, first_seq)``. The matrix is read in place: user totals and
+    clusters come to its buckets, the item probabilities are looked up.
     """
-    heavy = heavy or {}
-    items = aggregates.item_probs(ratings) if items is None else items
-    users = totals_by_cluster(ratings, clusters)
-    pairs = lookup_join(rating_pairs(ratings), users, "user", F.col("item"),
-                        heavy=heavy.get("user"))
-    joined = lookup_join(pairs, items.withColumnRenamed("p", "p_item"), "item", F.col("user"),
-                         table_rows=n_items, row_bytes=32, heavy=heavy.get("item"))
-    own = F.col("rating") / F.col("total")
-    return joined.select(
+    users = matrix.user_totals().withColumnRenamed("total", "given").join(clusters, "user")
+    rows = matrix.join_items(matrix.join_users(users), matrix.item_probs(), 32)
+    own = F.col("rating") / F.col("given")
+    return rows.select(
         "cluster", "user", "item",
         (F.lit(1.0 - lam) * own + F.lit(lam) * F.col("p_item")).alias("p"), "first_seq",
     )
 
 
 def prepare_probs(
-    ratings: DataFrame, clusters: DataFrame, lam: float = 0.5, min_heavy_rows: int = MIN_ROWS
+    ratings: DataFrame | RatingMatrix, clusters: DataFrame, lam: float = 0.5,
+    min_heavy_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """:func:`user_item_prob`, written once because scoring reads it several times."""
-    items = materialize(aggregates.item_probs(ratings), "item-probs")
-    heavy = heavy_keys(ratings, ["user", "item"], min_heavy_rows)
-    return materialize(
-        user_item_prob(ratings, clusters, lam, items, items.count(), heavy), "probs"
-    )
+    shared = isinstance(ratings, RatingMatrix)
+    with nullcontext(ratings) if shared else RatingMatrix(ratings, min_heavy_rows) as matrix:
+        return materialize(user_item_prob(matrix, clusters, lam), "probs")
 
 
 def cluster_plan(probs: DataFrame, chunk_min: int = CHUNK_MIN, chunk_max: int = CHUNK_MAX,
                  block_cells: int = BLOCK_CELLS) -> DataFrame:
     """How finely to cut each cluster: ``(cluster, n_chunks, n_blocks, n_lists)``.
 
-    It has one row per cluster, so its size is the width k of the factors: small enough to
-    broadcast at any data size.
+    It has one row per cluster, so its size is the width k of the factors: small enough to collect
+    and to broadcast at any data size.
     """
     sizes = probs.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("item").alias("n_items")
-    )
-    share = sizes.agg(F.sum("n_rows") / (2 * shuffle_partitions(probs.sparkSession)))
-    rows = F.least(F.lit(float(chunk_max)), F.greatest(F.lit(float(chunk_min)), share.scalar()))
-    n_items = F.col("n_items").cast("double")
-    return sizes.select(
-        "cluster",
-        F.ceil(F.col("n_rows") / rows).cast("int").alias("n_chunks"),
-        F.ceil(n_items * n_items / block_cells).cast("int").alias("n_blocks"),
-        F.ceil(n_items / LIST_ITEMS).cast("int").alias("n_lists"),
-    )
+    ).collect()
+    spark = probs.sparkSession
+    share = sum(r["n_rows"] for r in sizes) / (2 * shuffle_partitions(spark))
+    rows = min(chunk_max, max(chunk_min, share))
+    cuts = [
+        (
+            r["cluster"],
+            math.ceil(r["n_rows"] / rows),
+            math.ceil(r["n_items"] ** 2 / block_cells),
+            math.ceil(r["n_items"] / LIST_ITEMS),
+        )
+        for r in sizes
+    ]
+    return spark.createDataFrame(cuts, "cluster int, n_chunks int, n_blocks int, n_lists int")
 
 
 def _chunked(users: DataFrame, plan: DataFrame) -> DataFrame:
@@ -280,8 +267,8 @@ def dense_scores(scores: DataFrame, clusters: DataFrame, items: DataFrame) -> Da
 
 
 def score(
-    ratings: DataFrame, clusters: DataFrame, lam: float = 0.5, top: int | None = None,
-    digits: int | None = None,
+    ratings: DataFrame | RatingMatrix, clusters: DataFrame, lam: float = 0.5,
+    top: int | None = None, digits: int | None = None,
 ) -> DataFrame:
     """End-to-end RM2 from ratings and clusters; see :func:`rm2_scores` for the result."""
     return rm2_scores(prepare_probs(ratings, clusters, lam), top=top, digits=digits)

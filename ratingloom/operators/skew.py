@@ -8,6 +8,8 @@ kept; the rows of heavy keys are only spread over more partitions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,38 +19,47 @@ MAX_HEAVY = 100_000
 MIN_ROWS = 1_000_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> dict:
-    """Heavy values of each column in one pass: ``{key: DataFrame(key, n_salts) or None}``."""
+@dataclass
+class KeyStats:
+    """Distinct values of a key column, and its heavy values ``(key, n_salts)`` if there are any."""
+
+    n_ids: int
+    heavy: DataFrame | None
+
+
+def key_stats(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> dict[str, KeyStats]:
+    """Statistics of the key columns, from one pass over these columns only."""
     spark = df.sparkSession
-    tagged = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("slot"), F.col(key).cast("bigint").alias("value"))
-                    for i, key in enumerate(keys)
-                ]
-            )
-        ).alias("t")
-    )
-    counts = tagged.groupBy("t.slot", "t.value").agg(F.count(F.lit(1)).alias("n"))
-    rows = (
-        counts.where(F.col("n") > min_rows)
-        .orderBy(F.desc("n"))
-        .limit(MAX_HEAVY)
-        .select("slot", "value", F.ceil(F.col("n") / min_rows).cast("int").alias("n_salts"))
-        .collect()
+    slots = [
+        F.struct(F.lit(i).alias("slot"), F.col(key).cast("bigint").alias("value"))
+        for i, key in enumerate(keys)
+    ]
+    counts = (
+        df.select(F.explode(F.array(*slots)).alias("t"))
+        .groupBy("t.slot", "t.value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = {}
+    sizes = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("n_ids"), F.max("n").alias("most"))
+    found = {r["slot"]: r for r in sizes.collect()}
+    heavy = []
+    if any(r["most"] > min_rows for r in found.values()):
+        heavy = (
+            counts.where(F.col("n") > min_rows)
+            .orderBy(F.desc("n"))
+            .limit(MAX_HEAVY)
+            .select("slot", "value", F.ceil(F.col("n") / min_rows).cast("int").alias("n_salts"))
+            .collect()
+        )
+    out = {}
     for i, key in enumerate(keys):
-        mine = [(r["value"], r["n_salts"]) for r in rows if r["slot"] == i]
-        found[key] = (
-            spark.createDataFrame(mine, f"{key} bigint, n_salts int").withColumn(
+        mine = [(r["value"], r["n_salts"]) for r in heavy if r["slot"] == i]
+        table = None
+        if mine:
+            table = spark.createDataFrame(mine, f"{key} bigint, n_salts int").withColumn(
                 key, F.col(key).cast(df.schema[key].dataType)
             )
-            if mine
-            else None
-        )
-    return found
+        out[key] = KeyStats(found[i]["n_ids"] if i in found else 0, table)
+    return out
 
 
 def with_slice(df: DataFrame, key: str, heavy: DataFrame, spread: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from ratingloom.operators import clusters as C
 from ratingloom.operators import evaluate as E
 from ratingloom.operators import linalg as L
 from ratingloom.operators import ppc, prepare, rm2
-from ratingloom.operators.skew import heavy_keys
+from ratingloom.operators.skew import key_stats
 from ratingloom.plans import pipeline, views
 from ratingloom.session import materialize, scratch_path
 from ratingloom.sources import sinks
@@ -171,8 +171,8 @@ def clusters(spark, sf, ratings=None):
 
 def flat_ratings(spark, sf):
     ratings = events(spark, sf)
-    heavy = heavy_keys(ratings, ["user"])
-    return rm2.ratings_by_cluster(ratings, clusters(spark, sf), heavy["user"])
+    heavy = key_stats(ratings, ["user"])["user"].heavy
+    return rm2.ratings_by_cluster(ratings, clusters(spark, sf), heavy)
 
 
 def flat_totals(spark, sf):
@@ -184,7 +184,7 @@ def flat_totals(spark, sf):
 
 def probs(spark, sf, ratings=None):
     ratings = events(spark, sf) if ratings is None else ratings
-    return rm2.prepare_probs(ratings, clusters(spark, sf, ratings), LAM)
+    return pipeline.fit_probs(ratings, LAM, k=K, max_iter=ITERATIONS)
 
 
 def user_item_prob(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ratingloom.operators import clusters as C
 from ratingloom.operators import evaluate, ppc, prepare, rm2
+from ratingloom.operators.matrix import RatingMatrix
 from ratingloom.session import materialize
 from ratingloom.sources.blocks import parse_blocks
 
@@ -44,16 +45,26 @@ class Model:
     clusters: DataFrame
 
 
-def fit_clusters(ratings: DataFrame, digits: int | None = None, **options) -> Model:
+def fit_clusters(
+    ratings: DataFrame | RatingMatrix, digits: int | None = None, **options
+) -> Model:
     """Factorise and assign every user to a cluster."""
     factors = ppc.fit(ratings, **options)
     return Model(factors, C.assign_clusters(factors.h, digits))
 
 
+def fit_probs(ratings: DataFrame, lam: float = 0.5, digits: int | None = 9, **options) -> DataFrame:
+    """Factorise, cluster, and smooth: the table of p(i|u) that scoring starts from.
+
+    Both halves read one rating matrix, so the ratings are shuffled once in the whole job.
+    """
+    with RatingMatrix(ratings) as matrix:
+        return rm2.prepare_probs(matrix, fit_clusters(matrix, digits, **options).clusters, lam)
+
+
 def recommend(
     ratings: DataFrame, top: int = 10, lam: float = 0.5, digits: int | None = None, **options
 ) -> DataFrame:
     """Factorise, cluster, score and rank: ``(user, item, log_score, rank)``."""
-    model = fit_clusters(ratings, digits=9, **options)
-    scores = rm2.score(ratings, model.clusters, lam, top=top, digits=digits)
+    scores = rm2.rm2_scores(fit_probs(ratings, lam, **options), top=top, digits=digits)
     return evaluate.topk_per_user(scores, top)

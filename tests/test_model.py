@@ -11,7 +11,8 @@ from ratingloom import session
 from ratingloom.operators import aggregates as A
 from ratingloom.operators import clusters as C
 from ratingloom.operators import ppc, rm2
-from ratingloom.operators.skew import heavy_keys, lookup_join
+from ratingloom.operators.matrix import RatingMatrix
+from ratingloom.operators.skew import key_stats, lookup_join
 
 #: 6 users x 5 items by hand: (item, user, rating, seq), with a repeated pair.
 TINY = [
@@ -169,16 +170,30 @@ def test_candidate_tiles_cover_every_pair_once(spark):
 
 def test_heavy_keys_and_sliced_join(spark):
     ratings = spark.createDataFrame(skewed(), RATING)
-    heavy = heavy_keys(ratings, ["user", "item"], min_rows=60)
-    assert [r["user"] for r in heavy["user"].collect()] == [3]
-    assert [r["item"] for r in heavy["item"].collect()] == [7]
-    assert heavy_keys(ratings, ["user"], min_rows=1000)["user"] is None
+    stats = key_stats(ratings, ["user", "item"], min_rows=60)
+    assert (stats["user"].n_ids, stats["item"].n_ids) == (25, 12)
+    assert [r["user"] for r in stats["user"].heavy.collect()] == [3]
+    assert [r["item"] for r in stats["item"].heavy.collect()] == [7]
+    assert key_stats(ratings, ["user"], min_rows=1000)["user"].heavy is None
     names = ratings.select("user").distinct().withColumn("name", F.col("user") * 10)
-    joined = lookup_join(ratings, names, "user", F.col("seq"), heavy=heavy["user"])
+    joined = lookup_join(ratings, names, "user", F.col("seq"), heavy=stats["user"].heavy)
     assert joined.count() == ratings.count()
     assert joined.where("name <> user * 10").count() == 0
 
 
+def test_matrix_is_read_in_place(spark):
+    """With or without heavy users, no plan shuffles the ratings again."""
+    ratings = spark.createDataFrame(skewed(), RATING)
+    for min_rows in (60, 10**6):
+        with RatingMatrix(ratings, min_rows) as matrix:
+            h = ppc.initial_h(matrix.users(), 3)
+            plan = matrix.join_users(session.materialize(h, "h"))
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange hashpartitioning") == 1  # the rows of h
+            assert "Bucketed: true" in text and "ShuffledHashJoin" in text
+            assert plan.count() == ratings.select("user", "item").distinct().count()
+
+
 def test_properties(spark):
     ratings = spark.createDataFrame(skewed(), RATING)
     assert abs(A.item_probs(ratings).agg(F.sum("p")).first()[0] - 1) < 1e-12

@@ -1,17 +1,14 @@
-"""Vector and matrix algebra on ``array<double>`` columns.
+"""Vector and matrix algebra on ``array<double>`` columns, as SQL expressions.
 
-A short vector (up to ``UNROLL`` entries) becomes plain arithmetic on its entries, which stays in
-whole-stage codegen. A longer one uses higher-order functions, whose expression does not grow
-with the width.
+Every function takes column names (or other expressions) and returns the text of an expression for
+``F.expr``: a plan with hundreds of entries is then built in one step. A short vector (up to
+``UNROLL`` entries) becomes plain arithmetic on its entries, which stays in whole-stage codegen. A
+longer one uses higher-order functions, whose expression does not grow with the width.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
 UNROLL = 12
 
@@ -23,83 +20,98 @@ INIT_COLUMN = 104729
 INIT_SEED = 31
 
 
-def total(terms: list[Column]) -> Column:
-    return reduce(add, terms)
+def array(entries: list[str]) -> str:
+    return f"array({', '.join(entries)})"
 
 
-def dot(a: Column, b: Column, k: int) -> Column:
-    if k <= UNROLL:
-        return total([a[i] * b[i] for i in range(k)])
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def total(terms: list[str]) -> str:
+    return f"({' + '.join(terms)})"
 
 
-def scale(factor: Column, v: Column, k: int) -> Column:
+def combine(a: str, b: str, k: int, fn: Callable[[str, str], str]) -> str:
+    """Entry by entry ``fn(a[i], b[i])``: sum, product, safe quotient and so on."""
     if k <= UNROLL:
-        return F.array(*[factor * v[i] for i in range(k)])
-    return F.transform(v, lambda x: factor * x)
+        return array([fn(f"{a}[{i}]", f"{b}[{i}]") for i in range(k)])
+    return f"zip_with({a}, {b}, (p, q) -> {fn('p', 'q')})"
 
 
-def combine(a: Column, b: Column, k: int, fn) -> Column:
-    """Entry by entry ``fn(a[i], b[i])``: sum, product, safe quotient and so on."""
+def each(v: str, k: int, fn: Callable[[str], str]) -> str:
+    """``fn(v[i])`` for every entry."""
     if k <= UNROLL:
-        return F.array(*[fn(a[i], b[i]) for i in range(k)])
-    return F.zip_with(a, b, fn)
+        return array([fn(f"{v}[{i}]") for i in range(k)])
+    return f"transform({v}, p -> {fn('p')})"
+
+
+def add(a: str, b: str) -> str:
+    return f"({a} + {b})"
+
 
+def multiply(a: str, b: str) -> str:
+    return f"({a} * {b})"
 
-def safe_divide(a: Column, b: Column) -> Column:
+
+def safe_divide(a: str, b: str) -> str:
     """``a / b``, and 0 where the denominator is 0."""
-    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return f"coalesce(try_divide({a}, {b}), 0.0D)"
+
+
+def row_sum(v: str, k: int) -> str:
+    if k <= UNROLL:
+        return total([f"{v}[{i}]" for i in range(k)])
+    return f"aggregate({v}, 0.0D, (s, p) -> s + p)"
 
 
-def row_sum(v: Column, k: int) -> Column:
+def dot(a: str, b: str, k: int) -> str:
     if k <= UNROLL:
-        return total([v[i] for i in range(k)])
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+        return total([f"{a}[{i}] * {b}[{i}]" for i in range(k)])
+    return f"aggregate(zip_with({a}, {b}, (p, q) -> p * q), 0.0D, (s, p) -> s + p)"
+
+
+def scale(factor: str, v: str, k: int) -> str:
+    return each(v, k, lambda x: multiply(factor, x))
 
 
-def row_normalize(v: Column, k: int) -> Column:
+def row_normalize(v: str, k: int) -> str:
     """Divide by the row sum; the last entry is 1 minus the others, so the row sums to 1."""
     if k == 1:
-        return F.array(F.lit(1.0))
+        return "array(1.0D)"
     s = row_sum(v, k)
     if k <= UNROLL:
-        head = [v[i] / s for i in range(k - 1)]
-        return F.array(*head, F.lit(1.0) - total(head))
-    head = F.transform(F.slice(v, 1, k - 1), lambda x: x / s)
-    rest = F.aggregate(head, F.lit(0.0), lambda a, x: a + x)
-    return F.concat(head, F.array(F.lit(1.0) - rest))
+        head = [f"{v}[{i}] / {s}" for i in range(k - 1)]
+        return array([*head, f"1.0D - {total(head)}"])
+    head = f"transform(slice({v}, 1, {k - 1}), p -> p / {s})"
+    return f"concat({head}, array(1.0D - aggregate({head}, 0.0D, (s, p) -> s + p)))"
 
 
-def times_matrix(v: Column, matrix: Column, k: int) -> Column:
+def times_matrix(v: str, matrix: str, k: int) -> str:
     """Row vector times a k x k matrix that is stored row by row in one flat array."""
     if k <= UNROLL:
-        return F.array(*[total([v[r] * matrix[r * k + c] for r in range(k)]) for c in range(k)])
-    steps = F.sequence(F.lit(0), F.lit(k - 1))
-    return F.transform(
-        steps,
-        lambda c: F.aggregate(
-            steps, F.lit(0.0), lambda s, r: s + F.get(v, r) * F.get(matrix, r * k + c)
-        ),
-    )
+        return array([
+            total([f"{v}[{r}] * {matrix}[{r * k + c}]" for r in range(k)]) for c in range(k)
+        ])
+    steps = f"sequence(0, {k - 1})"
+    cell = f"get({v}, r) * get({matrix}, r * {k} + c)"
+    return f"transform({steps}, c -> aggregate({steps}, 0.0D, (s, r) -> s + {cell}))"
 
 
-def argmax(v: Column) -> Column:
+def argmax(v: str) -> str:
     """0-based position of the largest entry; the lowest position wins a tie."""
-    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return f"cast(array_position({v}, array_max({v})) - 1 AS int)"
 
 
-def uniform_vector(id_col: Column, k: int, seed: int) -> Column:
+def uniform_vector(id_col: str, k: int, seed: int) -> str:
     """k numbers strictly between 0 and 1 that depend only on the id, the column and the seed.
 
     The id is reduced first, so a large id cannot overflow; the open interval matters because a
     multiplicative update never leaves an exact 0.
     """
-    x = id_col.cast("bigint") % INIT_MODULUS
+    x = f"(cast({id_col} AS bigint) % {INIT_MODULUS})"
 
     def entry(j):
-        raw = x * x * INIT_SQUARE + x * INIT_CROSS * (j + 1) + j * INIT_COLUMN + seed * INIT_SEED
-        return (raw % INIT_MODULUS + 1) / F.lit(float(INIT_MODULUS + 1))
+        raw = (f"({x} * {x} * {INIT_SQUARE} + {x} * {INIT_CROSS} * ({j} + 1)"
+               f" + {j} * {INIT_COLUMN} + {seed * INIT_SEED})")
+        return f"({raw} % {INIT_MODULUS} + 1) / {INIT_MODULUS + 1}.0D"
 
     if k <= UNROLL:
-        return F.array(*[entry(j) for j in range(k)])
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: entry(j.cast("bigint")))
+        return array([entry(j) for j in range(k)])
+    return f"transform(sequence(0, {k - 1}), j -> {entry('j')})"

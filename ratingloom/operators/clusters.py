@@ -13,10 +13,8 @@ def assign_clusters(h: DataFrame, digits: int | None = None) -> DataFrame:
 
     ``digits`` rounds the weights first, so that differences in summation order cannot decide.
     """
-    v = F.col("v")
-    if digits is not None:
-        v = F.transform(v, lambda x: F.round(x, digits))
-    return h.select("user", V.argmax(v).alias("cluster"))
+    v = "v" if digits is None else f"transform(v, p -> round(p, {digits}))"
+    return h.select("user", F.expr(V.argmax(v)).alias("cluster"))
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions import kernels
@@ -23,13 +23,13 @@ def init_factors(
     ``rand`` uses Spark's seeded generator (write the result before using it twice).
     """
     if method == "arith":
-        v = V.uniform_vector(F.col(id_col), k, seed)
+        v = F.expr(V.uniform_vector(id_col, k, seed))
     elif method == "rand":
         v = F.array(*[F.rand(seed * 1000 + j) for j in range(k)])
     else:
         raise ValueError(f"unknown method {method!r}")
     out = ids.select(id_col, v.alias("v"))
-    return out.withColumn("v", V.row_normalize(F.col("v"), k)) if normalize else out
+    return out.withColumn("v", F.expr(V.row_normalize("v", k))) if normalize else out
 
 
 def scaled_rows(
@@ -37,13 +37,13 @@ def scaled_rows(
 ) -> DataFrame:
     """Each rating times the factor row of its ``key``: ``(keep, v)``, one row per rating."""
     joined = lookup_join(ratings, factors, key, F.col(keep), **join)
-    return joined.select(keep, V.scale(F.col("rating"), F.col("v"), k).alias("v"))
+    return joined.select(keep, F.expr(V.scale("rating", "v", k)).alias("v"))
 
 
 def sum_vectors(df: DataFrame, by: str, k: int, value: str = "v") -> DataFrame:
-    """Entry-wise vector sum per key: k scalar sums, so it combines before the shuffle."""
-    sums = df.groupBy(by).agg(*[F.sum(F.col(value)[j]).alias(f"s{j}") for j in range(k)])
-    return sums.select(by, F.array(*[f"s{j}" for j in range(k)]).alias(value))
+    """Entry-wise vector sum per key: k plain sums, so it combines before the shuffle."""
+    sums = V.array([f"sum({value}[{j}])" for j in range(k)])
+    return df.groupBy(by).agg(F.expr(sums).alias(value))
 
 
 def weighted_sum(
@@ -60,11 +60,9 @@ def gram(df: DataFrame, k: int, value: str = "v") -> DataFrame:
     adds up one k x k matrix with numpy and only those matrices are shuffled.
     """
     if k <= V.UNROLL:
-        v = F.col(value)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = df.agg(*[F.sum(v[i] * v[j]).alias(f"g{i}_{j}") for i, j in pairs])
-        cells = [f"g{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)]
-        return sums.select(F.array(*cells).alias("g"))
+        pairs = [(min(i, j), max(i, j)) for i in range(k) for j in range(k)]
+        sums = V.array([f"sum({value}[{i}] * {value}[{j}])" for i, j in pairs])
+        return df.agg(F.expr(sums).alias("g"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (
@@ -87,14 +85,13 @@ def times_gram(df: DataFrame, g: DataFrame, k: int, value: str = "v", out: str =
     """Add ``out = value . g`` for the one-row matrix ``g``, read as a scalar subquery."""
     return (
         df.withColumn("_g", g.scalar())
-        .withColumn(out, V.times_matrix(F.col(value), F.col("_g"), k))
+        .withColumn(out, F.expr(V.times_matrix(value, "_g", k)))
         .drop("_g")
     )
 
 
-def long_form(df: DataFrame, id_col: str, value: Column | str = "v", digits: int = 6) -> DataFrame:
+def long_form(df: DataFrame, id_col: str, value: str = "v", digits: int = 6) -> DataFrame:
     """One row per matrix entry: ``(id_col, j, v)``, rounded."""
-    col = F.col(value) if isinstance(value, str) else value
-    return df.select(id_col, F.posexplode(col).alias("j", "v")).withColumn(
-        "v", F.round(F.col("v"), digits) + F.lit(0.0)
+    return df.select(id_col, F.posexplode(value).alias("j", "v")).withColumn(
+        "v", F.expr(f"round(v, {digits}) + 0.0D")
     )

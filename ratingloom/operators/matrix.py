@@ -87,11 +87,11 @@ class RatingMatrix:
     def by_user(self, w: DataFrame, k: int) -> DataFrame:
         """``A^T W``: the sum of total * w[item] per user."""
         rows = self.join_items(self.table, w, 8 * k + 64)
-        scaled = rows.select("user", V.scale(F.col("total"), F.col("v"), k).alias("v"))
+        scaled = rows.select("user", F.expr(V.scale("total", "v", k)).alias("v"))
         return linalg.sum_vectors(scaled, "user", k)
 
     def by_item(self, h: DataFrame, k: int) -> DataFrame:
         """``A H``: the sum of total * h[user] per item."""
         rows = self.join_users(h)
-        scaled = rows.select("item", V.scale(F.col("total"), F.col("v"), k).alias("v"))
+        scaled = rows.select("item", F.expr(V.scale("total", "v", k)).alias("v"))
         return linalg.sum_vectors(scaled, "item", k)

@@ -47,24 +47,29 @@ def update_h(
     A user without ratings has no row in ``x`` and leaves H.
     """
     rows = linalg.times_gram(h, b, k).join(x.withColumnRenamed("v", "x"), "user")
-    hv, xv, yv = F.col("v"), F.col("x"), F.col("y")
     if variant == "scalar":
-        rows = rows.withColumn("d", V.dot(hv, yv, k)).withColumn("e", V.dot(hv, xv, k))
-        top = F.transform(xv, lambda c: c + F.col("d")) if k > V.UNROLL else F.array(
-            *[xv[i] + F.col("d") for i in range(k)])
-        low = F.transform(yv, lambda c: c + F.col("e")) if k > V.UNROLL else F.array(
-            *[yv[i] + F.col("e") for i in range(k)])
+        rows = rows.withColumns({"d": F.expr(V.dot("v", "y", k)), "e": F.expr(V.dot("v", "x", k))})
+        rows = rows.withColumns({
+            "top": F.expr(V.each("x", k, lambda c: V.add(c, "d"))),
+            "low": F.expr(V.each("y", k, lambda c: V.add(c, "e"))),
+        })
     elif variant == "elementwise":
-        top = V.combine(xv, V.combine(hv, yv, k, lambda a, c: a * c), k, lambda a, c: a + c)
-        low = V.combine(yv, V.combine(hv, xv, k, lambda a, c: a * c), k, lambda a, c: a + c)
+        rows = rows.withColumns({
+            "d": F.expr(V.combine("v", "y", k, V.multiply)),
+            "e": F.expr(V.combine("v", "x", k, V.multiply)),
+        }).withColumns({
+            "top": F.expr(V.combine("x", "d", k, V.add)),
+            "low": F.expr(V.combine("y", "e", k, V.add)),
+        })
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    ratio = V.combine(top, low, k, V.safe_divide)
-    out = rows.select("user", V.combine(hv, ratio, k, lambda a, c: a * c).alias("v"))
+    ratio = F.expr(V.combine("top", "low", k, V.safe_divide))
+    out = rows.withColumn("ratio", ratio).select(
+        "user", F.expr(V.combine("v", "ratio", k, V.multiply)).alias("v")
+    )
     if renormalize:
-        s = V.row_sum(F.col("v"), k)
-        out = out.withColumn(
-            "v", V.combine(F.col("v"), F.col("v"), k, lambda a, _: V.safe_divide(a, s)))
+        s = V.row_sum("v", k)
+        out = out.withColumn("v", F.expr(V.each("v", k, lambda c: V.safe_divide(c, s))))
     return out
 
 
@@ -74,16 +79,16 @@ def update_w(w: DataFrame, s: DataFrame, c: DataFrame, k: int) -> DataFrame:
     An item without ratings has no row in ``s`` and its factor row becomes 0.
     """
     rows = linalg.times_gram(w, c, k, out="t").join(s.withColumnRenamed("v", "s"), "item", "left")
-    ratio = V.combine(F.col("s"), F.col("t"), k, V.safe_divide)
-    new = V.combine(F.col("v"), ratio, k, lambda a, q: a * F.coalesce(q, F.lit(0.0)))
-    return rows.select("item", new.alias("v"))
+    rows = rows.withColumn("ratio", F.expr(V.combine("s", "t", k, V.safe_divide)))
+    new = V.combine("v", "ratio", k, lambda a, q: f"{a} * coalesce({q}, 0.0D)")
+    return rows.select("item", F.expr(new).alias("v"))
 
 
 def delta(old: DataFrame, new: DataFrame, k: int, id_col: str = "user") -> DataFrame:
     """Frobenius norm of the change between two factor matrices, one row."""
     pairs = old.join(new.withColumnRenamed("v", "n"), id_col)
-    change = V.combine(F.col("v"), F.col("n"), k, lambda a, b: (a - b) * (a - b))
-    return pairs.agg(F.sqrt(F.sum(V.row_sum(change, k))).alias("delta"))
+    pairs = pairs.withColumn("c", F.expr(V.combine("v", "n", k, lambda a, b: f"({a} - {b})")))
+    return pairs.agg(F.expr(f"sqrt(sum({V.dot('c', 'c', k)}))").alias("delta"))
 
 
 @dataclass

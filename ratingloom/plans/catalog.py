@@ -86,7 +86,8 @@ def uniform_h(spark, sf):
 
 def normalized(spark, sf):
     h = uniform_h(spark, sf)
-    return L.long_form(h, "user", V.row_normalize(F.col("v"), K), 9)
+    rows = h.withColumn("u", F.expr(V.row_normalize("v", K)))
+    return L.long_form(rows, "user", "u", 9)
 
 
 def init_w(spark, sf):
@@ -268,12 +269,12 @@ def vector_gram(spark, sf):
 
 
 def vector_argmax(spark, sf):
-    return views.vectors(spark, sf).select("id", V.argmax(F.col("v")).alias("best"))
+    return views.vectors(spark, sf).select("id", F.expr(V.argmax("v")).alias("best"))
 
 
 def vector_norm(spark, sf):
-    v = F.col("v")
-    return views.vectors(spark, sf).select("id", F.round(V.dot(v, v, WIDE), 6).alias("norm2"))
+    norm = F.expr(V.dot("v", "v", WIDE))
+    return views.vectors(spark, sf).select("id", F.round(norm, 6).alias("norm2"))
 
 
 QUERIES: dict[str, Query] = {

@@ -46,31 +46,38 @@ def cuts(weights: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def pair_sums(users, items, probs, cells=CELLS, dense_gain=DENSE_GAIN):
+def pair_sums(users, items, probs, leads=None, cells=CELLS, dense_gain=DENSE_GAIN):
     """Sums of ``p_i * p_j`` over the users of a chunk, for item pairs ``i <= j``.
 
-    Yields ``(i, j, sum)``. The sparse branch may yield a pair more than once, with partial sums.
+    ``leads`` marks the rows that may stand first in a pair; all of them by default. Yields
+    ``(i, j, sum)``. The sparse branch may yield a pair more than once, with partial sums.
     """
     order = np.lexsort((items, users))
     users, items, probs = users[order], items[order], probs[order]
+    leads = np.ones(len(users), dtype=bool) if leads is None else leads[order]
     bounds = segments(users)
     sizes = np.diff(bounds)
     catalogue, code = np.unique(items, return_inverse=True)
     m, n = len(catalogue), len(sizes)
-    pairs = float(np.sum(sizes.astype(np.float64) * (sizes + 1))) / 2
-    if n * m <= 4 * cells and n * m * m / 2 <= dense_gain * pairs:
+    follow = np.where(leads, np.repeat(bounds[1:], sizes) - np.arange(len(code)), 0)
+    if n * m <= 4 * cells and n * m * m / 2 <= dense_gain * float(follow.sum()):
+        owner = np.repeat(np.arange(n), sizes)
         dense = np.zeros((n, m))
-        dense[np.repeat(np.arange(n), sizes), code] = probs
+        dense[owner, code] = probs
+        first = dense
+        if not leads.all():
+            first = np.zeros((n, m))
+            first[owner, code] = probs * leads
         step = max(1, cells // m)
         for low in range(0, m, step):
-            block = np.triu(dense[:, low : low + step].T @ dense[:, low:])
+            block = np.triu(first[:, low : low + step].T @ dense[:, low:])
             a, b = np.nonzero(block)
             yield catalogue[low + a], catalogue[low + b], block[a, b]
         return
-    follow = np.repeat(bounds[1:], sizes) - np.arange(len(code))
-    for low, high in cuts(follow, cells):
-        which, right = ragged(np.arange(low, high), follow[low:high])
-        left = which + low
+    rows = np.flatnonzero(follow)
+    for low, high in cuts(follow[rows], cells):
+        which, right = ragged(rows[low:high], follow[rows[low:high]])
+        left = rows[low:high][which]
         key, slot = np.unique(code[left].astype(np.int64) * m + code[right], return_inverse=True)
         sums = np.bincount(slot, weights=probs[left] * probs[right])
         yield catalogue[key // m], catalogue[key % m], sums

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import nullcontext
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ CHUNK_MAX = 4_000_000
 #: Cells of g in one block.
 BLOCK_CELLS = 2_000_000
 
+#: Item pairs of one user that one task may expand.
+USER_PAIRS = 1_000_000_000
+
 #: Items of one packed list of a user.
 LIST_ITEMS = 4096
 
@@ -79,46 +83,87 @@ def prepare_probs(
         return materialize(user_item_prob(matrix, clusters, lam), "probs")
 
 
-def cluster_plan(probs: DataFrame, chunk_min: int = CHUNK_MIN, chunk_max: int = CHUNK_MAX,
-                 block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """How finely to cut each cluster: ``(cluster, n_chunks, n_blocks, n_lists)``.
+@dataclass
+class Plan:
+    """How finely to cut the work.
 
-    It has one row per cluster, so its size is the width k of the factors: small enough to collect
-    and to broadcast at any data size.
+    ``table`` has one row per cluster, ``(cluster, n_chunks, n_blocks, n_lists)``, so its size is
+    the width k of the factors: small enough to collect and to broadcast at any data size.
+    ``large_users`` lists the users with so many items that their item pairs alone need several
+    tasks, ``(user, n_parts)``; it is None if there is no such user.
     """
-    sizes = probs.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("item").alias("n_items")
-    ).collect()
+
+    table: DataFrame
+    large_users: DataFrame | None
+
+
+def cluster_plan(
+    probs: DataFrame, chunk_min: int = CHUNK_MIN, chunk_max: int = CHUNK_MAX,
+    block_cells: int = BLOCK_CELLS, user_pairs: int = USER_PAIRS,
+) -> Plan:
     spark = probs.sparkSession
-    share = sum(r["n_rows"] for r in sizes) / (2 * shuffle_partitions(spark))
+    degrees = probs.groupBy("cluster", "user").agg(F.count(F.lit(1)).alias("n"))
+    rows_of = {
+        r["cluster"]: r
+        for r in degrees.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        .collect()
+    }
+    items_of = dict(
+        probs.groupBy("cluster").agg(F.approx_count_distinct("item").alias("n")).collect()
+    )
+    share = sum(r["n"] for r in rows_of.values()) / (2 * shuffle_partitions(spark))
     rows = min(chunk_max, max(chunk_min, share))
     cuts = [
         (
-            r["cluster"],
-            math.ceil(r["n_rows"] / rows),
-            math.ceil(r["n_items"] ** 2 / block_cells),
-            math.ceil(r["n_items"] / LIST_ITEMS),
+            cluster,
+            math.ceil(r["n"] / rows),
+            math.ceil(items_of[cluster] ** 2 / block_cells),
+            math.ceil(items_of[cluster] / LIST_ITEMS),
         )
-        for r in sizes
+        for cluster, r in rows_of.items()
     ]
-    return spark.createDataFrame(cuts, "cluster int, n_chunks int, n_blocks int, n_lists int")
+    table = spark.createDataFrame(cuts, "cluster int, n_chunks int, n_blocks int, n_lists int")
+    large = None
+    if any(r["most"] ** 2 > user_pairs for r in rows_of.values()):
+        pairs = F.col("n") * F.col("n")
+        large = degrees.where(pairs > user_pairs).select(
+            "user", F.ceil(pairs / user_pairs).cast("int").alias("n_parts")
+        )
+    return Plan(table, large)
 
 
-def _chunked(users: DataFrame, plan: DataFrame) -> DataFrame:
-    return users.join(F.broadcast(plan), "cluster").withColumn(
+def _chunked(users: DataFrame, plan: Plan) -> DataFrame:
+    return users.join(F.broadcast(plan.table), "cluster").withColumn(
         "chunk", F.pmod(F.xxhash64("user"), F.col("n_chunks")).cast("int")
     )
 
 
-def cluster_cooccurrence(probs: DataFrame, plan: DataFrame | None = None) -> DataFrame:
-    """``g(i, j)`` of every cluster for ``i <= j``: ``(cluster, i, j, g)``, zero cells left out."""
+def cluster_cooccurrence(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
+    """``g(i, j)`` of every cluster for ``i <= j``: ``(cluster, i, j, g)``, zero cells left out.
+
+    A chunk's users meet in one task. A large user goes to several: each copy of the user's rows
+    pairs only its own share of the items, as the smaller id, with all items of the user.
+    """
     plan = cluster_plan(probs) if plan is None else plan
+    chunks = _chunked(probs, plan).select("cluster", "chunk", "user", "item", "p")
+    if plan.large_users is None:
+        chunks = chunks.withColumns({"part": F.lit(0), "leads": F.lit(True)})
+    else:
+        chunks = (
+            chunks.join(plan.large_users, "user", "left")
+            .withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+            .withColumn("leads", F.pmod(F.xxhash64("item"), F.col("n_parts")) == F.col("part"))
+        )
 
     def partial(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         chunk = pa.Table.from_batches(batches)
-        columns = (chunk.column(name).to_numpy() for name in ("user", "item", "p"))
+        columns = (
+            chunk.column(name).to_numpy(zero_copy_only=False)
+            for name in ("user", "item", "p", "leads")
+        )
         for i, j, g in kernels.pair_sums(*columns):
             cluster = np.full(len(i), key[0].as_py(), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -126,9 +171,10 @@ def cluster_cooccurrence(probs: DataFrame, plan: DataFrame | None = None) -> Dat
                 ["cluster", "i", "j", "g"],
             )
 
-    chunks = _chunked(probs, plan).select("cluster", "chunk", "user", "item", "p")
-    sums = chunks.groupBy("cluster", "chunk").applyInArrow(
-        partial, "cluster int, i int, j int, g double"
+    sums = (
+        chunks.select("cluster", "chunk", "part", "user", "item", "p", "leads")
+        .groupBy("cluster", "chunk", "part")
+        .applyInArrow(partial, "cluster int, i int, j int, g double")
     )
     return sums.groupBy("cluster", "i", "j").agg(F.sum("g").alias("g")).where("g > 0")
 
@@ -145,7 +191,7 @@ def _mirrored(g: DataFrame) -> DataFrame:
 
 def rm2_scores(
     probs: DataFrame,
-    plan: DataFrame | None = None,
+    plan: Plan | None = None,
     top: int | None = None,
     digits: int | None = None,
 ) -> DataFrame:
@@ -171,7 +217,7 @@ def rm2_scores(
     )
     cells = (
         _mirrored(cluster_cooccurrence(probs, plan))
-        .join(F.broadcast(plan), "cluster")
+        .join(F.broadcast(plan.table), "cluster")
         .withColumn("block", F.pmod(F.xxhash64("i"), F.col("n_blocks")).cast("int"))
         .groupBy("cluster", "n_chunks", "block", F.col("j").alias("id"))
         .agg(F.collect_list(F.struct("i", F.log("g").alias("lg"))).alias("c"))
@@ -213,7 +259,7 @@ def rm2_scores(
     )
 
 
-def rm2_last_item(probs: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+def rm2_last_item(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The variant that multiplies only one factor: ``g(i, last item of u)``.
 
     The last item is the one that arrived last among the user's items, by first arrival.
@@ -222,7 +268,7 @@ def rm2_last_item(probs: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     last = probs.groupBy("cluster", "user").agg(
         F.max_by("item", F.struct("first_seq", "item")).alias("j")
     )
-    cells = _mirrored(cluster_cooccurrence(probs, plan)).join(F.broadcast(plan), "cluster").select(
+    cells = _mirrored(cluster_cooccurrence(probs, plan)).join(F.broadcast(plan.table), "cluster").select(
         "cluster", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
         "i", "j", "g",
     )

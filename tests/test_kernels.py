@@ -45,6 +45,21 @@ def test_pair_sums(cells, gain, share):
     assert all(abs(got[k] - upper[k]) < 1e-12 for k in upper)
 
 
+@pytest.mark.parametrize("gain", [0, 1e9])
+def test_pair_sums_in_parts(gain):
+    """Rows split over two calls by which may lead a pair: together they give every pair once."""
+    users, items, probs = chunk(4)
+    _, want = brute_pairs(users, items, probs)
+    got = defaultdict(float)
+    for part in (0, 1):
+        for i, j, g in K.pair_sums(users, items, probs, items % 2 == part, dense_gain=gain):
+            for x, y, v in zip(i, j, g):
+                got[x, y] += v
+    upper = {k: v for k, v in want.items() if k[0] <= k[1]}
+    assert set(got) == set(upper)
+    assert all(abs(got[k] - upper[k]) < 1e-12 for k in upper)
+
+
 @pytest.mark.parametrize("cells", [1, 40, 1 << 20])
 @pytest.mark.parametrize("dense_share", [0.0, 2.0])
 @pytest.mark.parametrize("top", [None, 3])

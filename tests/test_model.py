@@ -130,7 +130,9 @@ def brute_rm2(rows, cluster, lam):
     return p, scores, last_only
 
 
-@pytest.mark.parametrize("cut", [None, {"chunk_min": 5, "chunk_max": 5, "block_cells": 10}])
+@pytest.mark.parametrize("cut", [
+    None, {"chunk_min": 5, "chunk_max": 5, "block_cells": 10, "user_pairs": 6},
+])
 @pytest.mark.parametrize("n_clusters", [1, 3])
 def test_rm2_matches_brute_force(spark, rows, cut, n_clusters):
     ratings = spark.createDataFrame(rows, RATING)

@@ -10,6 +10,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
 #: Entries of the largest temporary array.
@@ -46,55 +47,97 @@ def cuts(weights: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def bucket(ids: np.ndarray, n: int) -> np.ndarray:
+    """Spread ids evenly over n numbers."""
+    return ((ids.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) % np.uint64(n)
+
+
 def pair_sums(users, items, probs, leads=None, cells=CELLS, dense_gain=DENSE_GAIN):
-    """Sums of ``p_i * p_j`` over the users of a chunk, for item pairs ``i <= j``.
+    """Sums of ``p_i * p_j`` over the users of a chunk, for all ordered item pairs of a user.
 
     ``leads`` marks the rows that may stand first in a pair; all of them by default. Yields
-    ``(i, j, sum)``. The sparse branch may yield a pair more than once, with partial sums.
+    ``(i, j, sum)`` in order of i. The sparse branch may yield a pair again, with partial sums.
     """
-    order = np.lexsort((items, users))
+    order = np.argsort(users, kind="stable")
     users, items, probs = users[order], items[order], probs[order]
     leads = np.ones(len(users), dtype=bool) if leads is None else leads[order]
     bounds = segments(users)
     sizes = np.diff(bounds)
     catalogue, code = np.unique(items, return_inverse=True)
     m, n = len(catalogue), len(sizes)
-    follow = np.where(leads, np.repeat(bounds[1:], sizes) - np.arange(len(code)), 0)
-    if n * m <= 4 * cells and n * m * m / 2 <= dense_gain * float(follow.sum()):
-        owner = np.repeat(np.arange(n), sizes)
-        dense = np.zeros((n, m))
+    owner = np.repeat(np.arange(n), sizes)
+    lead = np.flatnonzero(leads)
+    partners = sizes[owner[lead]]
+    if n * m <= 4 * cells and n * m * m <= dense_gain * float(partners.sum()):
+        dense, first = np.zeros((n, m)), np.zeros((n, m))
         dense[owner, code] = probs
-        first = dense
-        if not leads.all():
-            first = np.zeros((n, m))
-            first[owner, code] = probs * leads
+        first[owner[lead], code[lead]] = probs[lead]
         step = max(1, cells // m)
         for low in range(0, m, step):
-            block = np.triu(first[:, low : low + step].T @ dense[:, low:])
+            block = first[:, low : low + step].T @ dense
             a, b = np.nonzero(block)
-            yield catalogue[low + a], catalogue[low + b], block[a, b]
+            yield catalogue[low + a], catalogue[b], block[a, b]
         return
-    rows = np.flatnonzero(follow)
-    for low, high in cuts(follow[rows], cells):
-        which, right = ragged(rows[low:high], follow[rows[low:high]])
-        left = rows[low:high][which]
+    for low, high in cuts(partners, cells):
+        rows = lead[low:high]
+        which, right = ragged(bounds[owner[rows]], partners[low:high])
+        left = rows[which]
         key, slot = np.unique(code[left].astype(np.int64) * m + code[right], return_inverse=True)
         sums = np.bincount(slot, weights=probs[left] * probs[right])
         yield catalogue[key // m], catalogue[key % m], sums
 
 
+def add_up(batches, limit=CELLS):
+    """Add partial cells ``(i, j, sum)`` that arrive in batches; yields them once, in order of i.
+
+    Equal cells are merged whenever more than ``limit`` new ones have piled up, so the memory in use
+    follows the number of different cells and not the number of batches.
+    """
+    keys, sums, fresh = [], [], 0
+
+    def merge():
+        key, slot = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(slot, weights=np.concatenate(sums))
+
+    for i, j, g in batches:
+        keys.append((i.astype(np.int64) << 32) | (j.astype(np.int64) & 0xFFFFFFFF))
+        sums.append(g)
+        fresh += len(g)
+        if fresh > limit and len(keys) > 1:
+            key, total = merge()
+            keys, sums, fresh = [key], [total], 0
+    if keys:
+        key, total = merge()
+        keep = total > 0
+        key, total = key[keep], total[keep]
+        yield (key >> 32).astype(np.int32), key.astype(np.uint32).view(np.int32), total
+
+
+def as_rows(group, ids, *columns):
+    """Pack cells that are sorted by ``(group, id)`` into rows with lists, as Arrow arrays."""
+    if len(ids) == 0:
+        return [pa.array(x) for x in (group, ids)] + [
+            pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array(c)) for c in columns
+        ]
+    change = (ids[1:] != ids[:-1]) | (group[1:] != group[:-1])
+    starts = np.concatenate(([0], np.flatnonzero(change) + 1))
+    offsets = pa.array(np.append(starts, len(ids)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+    return [pa.array(group[starts]), pa.array(ids[starts]), *lists]
+
+
 def spread(ids: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
     """Flatten a list column: the row's id beside every list entry."""
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
     return np.repeat(ids, lengths), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def log_products(users, items, others, sizes, cand, logs, top=None, decimals=None, cells=CELLS,
+def log_products(users, items, others, sizes, cand, g, top=None, decimals=None, cells=CELLS,
                  dense_share=0.2):
     """For each user and candidate: the sum of ``log g(candidate, j)`` over the user's items j.
 
     ``users, items`` are the chunk's (user, j) rows. The known cells of g come row by row:
-    ``others`` are the distinct j, ``sizes`` the number of cells of each, ``cand`` and ``logs`` the
+    ``others`` are the distinct j, ``sizes`` the number of cells of each, ``cand`` and ``g`` the
     cells themselves. A candidate that lacks a cell for one of the user's items has product 0 and
     is left out. Yields ``(user, candidate, log product)``; with ``top``, only candidates that
     reach the user's ``top``-th best value in this chunk.
@@ -106,7 +149,7 @@ def log_products(users, items, others, sizes, cand, logs, top=None, decimals=Non
     bounds = segments(users)
     names, degree = users[bounds[:-1]], np.diff(bounds)
     cols, col = np.unique(cand, return_inverse=True)
-    width, depth = len(cols), len(others)
+    width, depth, logs = len(cols), len(others), np.log(g)
     order = np.argsort(others)
     rows = others[order]
     at = np.minimum(np.searchsorted(rows, items), depth - 1)

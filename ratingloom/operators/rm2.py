@@ -88,12 +88,16 @@ class Plan:
     """How finely to cut the work.
 
     ``table`` has one row per cluster, ``(cluster, n_chunks, n_blocks, n_lists)``, so its size is
-    the width k of the factors: small enough to collect and to broadcast at any data size.
+    the width k of the factors: small enough to collect and to broadcast at any data size. ``tiles``
+    and ``blocks`` are two of these numbers as lookups for the tasks: cells of g are added up in
+    ``tiles`` groups of rows, and scored in ``blocks`` groups of columns.
     ``large_users`` lists the users with so many items that their item pairs alone need several
     tasks, ``(user, n_parts)``; it is None if there is no such user.
     """
 
     table: DataFrame
+    tiles: dict[int, int]
+    blocks: dict[int, int]
     large_users: DataFrame | None
 
 
@@ -113,23 +117,22 @@ def cluster_plan(
     )
     share = sum(r["n"] for r in rows_of.values()) / (2 * shuffle_partitions(spark))
     rows = min(chunk_max, max(chunk_min, share))
-    cuts = [
-        (
-            cluster,
-            math.ceil(r["n"] / rows),
-            math.ceil(items_of[cluster] ** 2 / block_cells),
-            math.ceil(items_of[cluster] / LIST_ITEMS),
-        )
-        for cluster, r in rows_of.items()
-    ]
+    cuts, tiles = [], {}
+    for cluster, r in rows_of.items():
+        n_items = items_of[cluster]
+        n_chunks, cells = math.ceil(r["n"] / rows), n_items * n_items
+        cuts.append((cluster, n_chunks, math.ceil(cells / block_cells),
+                     math.ceil(n_items / LIST_ITEMS)))
+        tiles[cluster] = min(n_items, math.ceil(cells * n_chunks / block_cells))
     table = spark.createDataFrame(cuts, "cluster int, n_chunks int, n_blocks int, n_lists int")
+    blocks = {cluster: n_blocks for cluster, _, n_blocks, _ in cuts}
     large = None
     if any(r["most"] ** 2 > user_pairs for r in rows_of.values()):
         pairs = F.col("n") * F.col("n")
         large = degrees.where(pairs > user_pairs).select(
             "user", F.ceil(pairs / user_pairs).cast("int").alias("n_parts")
         )
-    return Plan(table, large)
+    return Plan(table, tiles, blocks, large)
 
 
 def _chunked(users: DataFrame, plan: Plan) -> DataFrame:
@@ -138,13 +141,13 @@ def _chunked(users: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def cluster_cooccurrence(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """``g(i, j)`` of every cluster for ``i <= j``: ``(cluster, i, j, g)``, zero cells left out.
+def _cooccurrence_rows(probs: DataFrame, plan: Plan) -> DataFrame:
+    """``g`` packed by row and block of columns: ``(cluster, block, i, j list, g list)``.
 
-    A chunk's users meet in one task. A large user goes to several: each copy of the user's rows
-    pairs only its own share of the items, as the smaller id, with all items of the user.
+    A chunk's users meet in one task, which adds up their item pairs in place. A large user goes to
+    several tasks: each copy of the user's rows pairs its own share of the items with all items of
+    the user. The partial cells then meet by tile, a group of matrix rows.
     """
-    plan = cluster_plan(probs) if plan is None else plan
     chunks = _chunked(probs, plan).select("cluster", "chunk", "user", "item", "p")
     if plan.large_users is None:
         chunks = chunks.withColumns({"part": F.lit(0), "leads": F.lit(True)})
@@ -155,38 +158,55 @@ def cluster_cooccurrence(probs: DataFrame, plan: Plan | None = None) -> DataFram
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
             .withColumn("leads", F.pmod(F.xxhash64("item"), F.col("n_parts")) == F.col("part"))
         )
+    tiles, blocks = plan.tiles, plan.blocks
 
     def partial(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
+        cluster = key[0].as_py()
         chunk = pa.Table.from_batches(batches)
         columns = (
             chunk.column(name).to_numpy(zero_copy_only=False)
             for name in ("user", "item", "p", "leads")
         )
         for i, j, g in kernels.pair_sums(*columns):
-            cluster = np.full(len(i), key[0].as_py(), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cluster), pa.array(i), pa.array(j), pa.array(g)],
-                ["cluster", "i", "j", "g"],
-            )
+            tile = kernels.bucket(i, tiles[cluster]).astype(np.int32)
+            rows = kernels.as_rows(tile, i, j, g)
+            same = pa.array(np.full(len(rows[0]), cluster, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([same, *rows], ["cluster", "tile", "i", "j", "g"])
 
-    sums = (
+    def add_up(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        cluster = key[0].as_py()
+        pieces = (
+            (*kernels.spread(b.column("i").to_numpy(), b.column("j")),
+             b.column("g").flatten().to_numpy())
+            for b in batches
+        )
+        for i, j, g in kernels.add_up(pieces):
+            block = kernels.bucket(j, blocks[cluster]).astype(np.int32)
+            if blocks[cluster] > 1:
+                order = np.lexsort((block, i))
+                i, j, g, block = i[order], j[order], g[order], block[order]
+            rows = kernels.as_rows(block, i, j, g)
+            same = pa.array(np.full(len(rows[0]), cluster, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([same, *rows], ["cluster", "block", "i", "j", "g"])
+
+    return (
         chunks.select("cluster", "chunk", "part", "user", "item", "p", "leads")
         .groupBy("cluster", "chunk", "part")
-        .applyInArrow(partial, "cluster int, i int, j int, g double")
+        .applyInArrow(partial, "cluster int, tile int, i int, j array<int>, g array<double>")
+        .groupBy("cluster", "tile")
+        .applyInArrow(add_up, "cluster int, block int, i int, j array<int>, g array<double>")
     )
-    return sums.groupBy("cluster", "i", "j").agg(F.sum("g").alias("g")).where("g > 0")
 
 
-def _mirrored(g: DataFrame) -> DataFrame:
-    """Both orders of every cell of the symmetric matrix."""
-    cell = F.struct("i", "j")
-    swapped = F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
-    orders = F.when(F.col("i") == F.col("j"), F.array(cell)).otherwise(F.array(cell, swapped))
-    return g.select("cluster", "g", F.explode(orders).alias("c")).select(
-        "cluster", "c.i", "c.j", "g"
-    )
+def cluster_cooccurrence(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
+    """``g(i, j)`` of every cluster for ``i <= j``: ``(cluster, i, j, g)``, zero cells left out."""
+    rows = _cooccurrence_rows(probs, cluster_plan(probs) if plan is None else plan)
+    cells = rows.select("cluster", "i", F.explode(F.arrays_zip("j", "g")).alias("c"))
+    return cells.select("cluster", "i", "c.j", "c.g").where("i <= j")
 
 
 def rm2_scores(
@@ -212,19 +232,16 @@ def rm2_scores(
         .select(
             "cluster", "chunk",
             F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
-            "id", "items", F.lit(None).cast("array<double>").alias("logs"),
+            "id", "items", F.lit(None).cast("array<double>").alias("g"),
         )
     )
+    # g is symmetric: the columns of row i are the candidates of item i.
     cells = (
-        _mirrored(cluster_cooccurrence(probs, plan))
+        _cooccurrence_rows(probs, plan)
         .join(F.broadcast(plan.table), "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("i"), F.col("n_blocks")).cast("int"))
-        .groupBy("cluster", "n_chunks", "block", F.col("j").alias("id"))
-        .agg(F.collect_list(F.struct("i", F.log("g").alias("lg"))).alias("c"))
         .select(
-            "cluster",
-            F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
-            "block", "id", F.col("c.i").alias("items"), F.col("c.lg").alias("logs"),
+            "cluster", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
+            "block", F.col("i").alias("id"), F.col("j").alias("items"), "g",
         )
     )
 
@@ -232,7 +249,7 @@ def rm2_scores(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(batches)
-        is_user = pc.is_null(group.column("logs"))
+        is_user = pc.is_null(group.column("g"))
         user = group.filter(is_user).combine_chunks()
         cell = group.filter(pc.invert(is_user)).combine_chunks()
         if user.num_rows == 0 or cell.num_rows == 0:
@@ -241,9 +258,9 @@ def rm2_scores(
         users, items = kernels.spread(user.column("id").to_numpy(), lists)
         others, sizes = cell.column("id").to_numpy(), pc.list_value_length(cell.column("items"))
         cand = cell.column("items").chunk(0).flatten().to_numpy()
-        logs = cell.column("logs").chunk(0).flatten().to_numpy()
+        g = cell.column("g").chunk(0).flatten().to_numpy()
         found = kernels.log_products(
-            users, items, others, sizes.to_numpy(), cand, logs, top=top, decimals=digits
+            users, items, others, sizes.to_numpy(), cand, g, top=top, decimals=digits
         )
         for who, item, value in found:
             cluster = np.full(len(who), key[0].as_py(), dtype=np.int32)
@@ -266,15 +283,18 @@ def rm2_last_item(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """
     plan = cluster_plan(probs) if plan is None else plan
     last = probs.groupBy("cluster", "user").agg(
-        F.max_by("item", F.struct("first_seq", "item")).alias("j")
+        F.max_by("item", F.struct("first_seq", "item")).alias("last")
     )
-    cells = _mirrored(cluster_cooccurrence(probs, plan)).join(F.broadcast(plan.table), "cluster").select(
+    rows = _cooccurrence_rows(probs, plan).join(F.broadcast(plan.table), "cluster").select(
         "cluster", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
-        "i", "j", "g",
+        F.col("i").alias("last"), F.arrays_zip("j", "g").alias("cells"),
+    )
+    users = _chunked(last, plan).select("cluster", "chunk", "user", "last")
+    found = users.join(rows, ["cluster", "chunk", "last"]).select(
+        "cluster", "user", F.explode("cells").alias("c")
     )
-    users = _chunked(last, plan).select("cluster", "chunk", "user", "j")
-    return users.join(cells, ["cluster", "chunk", "j"]).select(
-        "cluster", "user", F.col("i").alias("item"), F.log("g").alias("log_score")
+    return found.select(
+        "cluster", "user", F.col("c.j").alias("item"), F.log("c.g").alias("log_score")
     )
 
 

@@ -29,20 +29,27 @@ def brute_pairs(users, items, probs):
     return rows, g
 
 
+def added(batches):
+    got = defaultdict(float)
+    for i, j, g in batches:
+        assert (np.diff(i) >= 0).all()
+        for x, y, v in zip(i, j, g):
+            got[x, y] += v
+    return got
+
+
+def assert_same(got, want):
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 @pytest.mark.parametrize("cells", [1, 7, 50, 1 << 20])
 @pytest.mark.parametrize("gain", [0, 1e9])
 @pytest.mark.parametrize("share", [0.05, 0.6])
 def test_pair_sums(cells, gain, share):
     data = chunk(3, share=share)
     _, want = brute_pairs(*data)
-    got = defaultdict(float)
-    for i, j, g in K.pair_sums(*data, cells=cells, dense_gain=gain):
-        for x, y, v in zip(i, j, g):
-            assert x <= y
-            got[x, y] += v
-    upper = {k: v for k, v in want.items() if k[0] <= k[1]}
-    assert set(got) == set(upper)
-    assert all(abs(got[k] - upper[k]) < 1e-12 for k in upper)
+    assert_same(added(K.pair_sums(*data, cells=cells, dense_gain=gain)), want)
 
 
 @pytest.mark.parametrize("gain", [0, 1e9])
@@ -50,14 +57,46 @@ def test_pair_sums_in_parts(gain):
     """Rows split over two calls by which may lead a pair: together they give every pair once."""
     users, items, probs = chunk(4)
     _, want = brute_pairs(users, items, probs)
-    got = defaultdict(float)
+    got = {}
     for part in (0, 1):
-        for i, j, g in K.pair_sums(users, items, probs, items % 2 == part, dense_gain=gain):
-            for x, y, v in zip(i, j, g):
-                got[x, y] += v
-    upper = {k: v for k, v in want.items() if k[0] <= k[1]}
-    assert set(got) == set(upper)
-    assert all(abs(got[k] - upper[k]) < 1e-12 for k in upper)
+        found = added(K.pair_sums(users, items, probs, items % 2 == part, dense_gain=gain))
+        assert not set(found) & set(got)
+        got.update(found)
+    assert_same(got, want)
+
+
+@pytest.mark.parametrize("limit", [1, 30, 10**6])
+def test_add_up(limit):
+    rng = np.random.default_rng(1)
+    batches, want = [], defaultdict(float)
+    for _ in range(9):
+        i, j = (rng.integers(-3, 5, 20).astype(np.int32) for _ in range(2))
+        g = rng.random(20)
+        batches.append((i, j, g))
+        for x, y, v in zip(i, j, g):
+            want[x, y] += v
+    found = list(K.add_up(iter(batches), limit))
+    assert len(found) == 1 and len(found[0][0]) == len(want)
+    assert_same(added(found), want)
+    assert list(K.add_up(iter([]))) == []
+
+
+def test_as_rows_and_spread():
+    group, ids = np.array([0, 0, 0, 1]), np.array([4, 4, 6, 6], dtype=np.int32)
+    values = np.array([1.0, 2.0, 3.0, 4.0])
+    g, i, lists = K.as_rows(group, ids, values)
+    assert g.to_pylist() == [0, 0, 1] and i.to_pylist() == [4, 6, 6]
+    assert lists.to_pylist() == [[1.0, 2.0], [3.0], [4.0]]
+    back, flat = K.spread(i.to_numpy(), lists)
+    assert (back == ids).all() and (flat == values).all()
+    assert all(len(x) == 0 for x in K.as_rows(group[:0], ids[:0], values[:0]))
+
+
+def test_bucket_is_stable_and_even():
+    ids = np.arange(-500, 9500, 10, dtype=np.int32)
+    found = K.bucket(ids, 7)
+    assert (found == K.bucket(ids, 7)).all()
+    assert np.bincount(found.astype(int), minlength=7).min() > len(ids) / 14
 
 
 @pytest.mark.parametrize("cells", [1, 40, 1 << 20])
@@ -68,18 +107,18 @@ def test_log_products(cells, dense_share, top):
     rows, g = brute_pairs(users, items, probs)
     table = defaultdict(dict)
     for (i, j), v in g.items():
-        table[j][i] = np.log(v)
+        table[j][i] = v
     others = np.array(sorted(table, reverse=True), dtype=np.int32)
     sizes = np.array([len(table[j]) for j in others])
     cand = np.array([i for j in others for i in table[j]], dtype=np.int32)
-    logs = np.array([v for j in others for v in table[j].values()])
+    cells_g = np.array([v for j in others for v in table[j].values()])
     want = {}
     for u, row in rows.items():
         for i in set(items):
             if all(i in table[j] for j in row):
-                want[u, i] = sum(table[j][i] for j in row)
+                want[u, i] = sum(np.log(table[j][i]) for j in row)
     got = {}
-    for u, i, v in K.log_products(users, items, others, sizes, cand, logs, top=top, cells=cells,
+    for u, i, v in K.log_products(users, items, others, sizes, cand, cells_g, top=top, cells=cells,
                                   dense_share=dense_share):
         got.update({(a, b): c for a, b, c in zip(u, i, v)})
     if top is None:
@@ -96,5 +135,5 @@ def test_log_products(cells, dense_share, top):
 def test_ties_at_the_cut_are_kept():
     one = np.ones(1, dtype=np.int32)
     found = list(K.log_products(one, one, one, np.array([3]), np.array([1, 2, 3], dtype=np.int32),
-                                np.array([-1.0, -1.0, -2.0]), top=1))
+                                np.array([0.5, 0.5, 0.1]), top=1))
     assert sorted(found[0][1]) == [1, 2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def clusters_of(scores: DataFrame, users: DataFrame) -> DataFrame:
     """All scores of the clusters that hold one of the given users."""
     members = scores.select("cluster", "user").join(users.select("user"), "user", "left_semi")

@@ -1,7 +1,6 @@
 """Reading, re-indexing, splitting and writing, on files with awkward edges."""
 
 import pytest
-from pyspark.errors import PythonException  # noqa: F401
 from pyspark.sql import functions as F
 
 from ratingloom.operators import evaluate as E
@@ -167,3 +166,22 @@ def test_wide_factors_stay_small_expressions(spark):
     ratings = spark.createDataFrame(skewed(), RATING)
     got = ppc.fit(ratings, k=40, max_iter=1)
     assert len(got.h.first()["v"]) == 40
+
+
+def test_scratch_root_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ratingloom.session import scratch_root
+
+    def fake(master, folder=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: folder),
+            sparkContext=SimpleNamespace(
+                master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None
+            ),
+        )
+
+    assert scratch_root(fake("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(fake("yarn"))
+    assert scratch_root(fake("local[2]"))

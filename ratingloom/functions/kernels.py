@@ -184,6 +184,32 @@ def log_products(users, items, others, sizes, cand, g, top=None, decimals=None,
         yield names[low + a], cols[b], score[a, b]
 
 
+def rows_of(lists, k: int) -> np.ndarray:
+    """A list column of k-vectors as a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def vectors_of(matrix: np.ndarray):
+    """A matrix as a list column of its rows."""
+    n, k = matrix.shape
+    offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
+
+
+def new_h(h, x, b, scalar: bool, renormalize: bool) -> np.ndarray:
+    """The multiplicative H update for a batch of user rows."""
+    y = h @ b
+    d, e = h * y, h * x
+    if scalar:
+        d, e = d.sum(1, keepdims=True), e.sum(1, keepdims=True)
+    low = y + e
+    out = h * np.divide(x + d, low, out=np.zeros_like(h), where=low != 0)
+    if renormalize:
+        s = out.sum(1, keepdims=True)
+        out = np.divide(out, s, out=np.zeros_like(out), where=s != 0)
+    return out
+
+
 def gram_sum(batches: Iterator[np.ndarray], k: int) -> np.ndarray:
     """Sum of the outer products of all rows of a partition."""
     out = np.zeros((k, k))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 UNROLL = 12
+INIT_UNROLL = 64  # entries of a start vector are independent, so more of them stay cheap
 
 # Fixed values of the arithmetic start vectors: any SQL engine can evaluate the same rule.
 INIT_MODULUS = 1000003
@@ -83,17 +84,6 @@ def row_normalize(v: str, k: int) -> str:
     return f"concat({head}, array(1.0D - aggregate({head}, 0.0D, (s, p) -> s + p)))"
 
 
-def times_matrix(v: str, matrix: str, k: int) -> str:
-    """Row vector times a k x k matrix that is stored row by row in one flat array."""
-    if k <= UNROLL:
-        return array([
-            total([f"{v}[{r}] * {matrix}[{r * k + c}]" for r in range(k)]) for c in range(k)
-        ])
-    steps = f"sequence(0, {k - 1})"
-    cell = f"get({v}, r) * get({matrix}, r * {k} + c)"
-    return f"transform({steps}, c -> aggregate({steps}, 0.0D, (s, r) -> s + {cell}))"
-
-
 def argmax(v: str) -> str:
     """0-based position of the largest entry; the lowest position wins a tie."""
     return f"cast(array_position({v}, array_max({v})) - 1 AS int)"
@@ -112,6 +102,6 @@ def uniform_vector(id_col: str, k: int, seed: int) -> str:
                f" + {j} * {INIT_COLUMN} + {seed * INIT_SEED})")
         return f"({raw} % {INIT_MODULUS} + 1) / {INIT_MODULUS + 1}.0D"
 
-    if k <= UNROLL:
+    if k <= INIT_UNROLL:
         return array([entry(j) for j in range(k)])
     return f"transform(sequence(0, {k - 1}), j -> {entry('j')})"

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratingloom.functions import kernels
 from ratingloom.functions import vectors as V
@@ -65,11 +66,7 @@ def gram(df: DataFrame, k: int, value: str = "v") -> DataFrame:
         return df.agg(F.expr(sums).alias("g"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (
-            b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            for b in batches
-            if b.num_rows
-        )
+        rows = (kernels.rows_of(b.column(0), k) for b in batches if b.num_rows)
         flat = kernels.gram_sum(rows, k).ravel()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(k * k, dtype=np.int32)), pa.array(flat)], ["pos", "s"]
@@ -81,13 +78,47 @@ def gram(df: DataFrame, k: int, value: str = "v") -> DataFrame:
     return sums.agg(F.transform(ordered, lambda c: c["s"]).alias("g"))
 
 
+def entries(prefix: str, value: str, k: int) -> list[str]:
+    """The entries of a vector as k plain double columns that are never null.
+
+    Arithmetic on such columns compiles to a few machine instructions; the same arithmetic on array
+    elements carries a null and a bounds check per use, and soon outgrows what the JVM compiles.
+    """
+    return [f"coalesce({value}[{i}], 0.0D) AS {prefix}{i}" for i in range(k)]
+
+
+def gram_cells(g: DataFrame, k: int) -> np.ndarray:
+    """The k x k numbers of a one-row Gram matrix."""
+    cells = [0.0 if x is None else x for x in g.first()["g"] or [0.0] * (k * k)]
+    return np.array(cells).reshape(k, k)
+
+
+def times_columns(cells: np.ndarray, prefix: str, out: str) -> list[str]:
+    """Row vector times a matrix of known numbers: k columns ``out`` from k columns ``prefix``."""
+    k = len(cells)
+    return [
+        V.total([f"{prefix}{i} * {float(cells[i, j])!r}D" for i in range(k)]) + f" AS {out}{j}"
+        for j in range(k)
+    ]
+
+
 def times_gram(df: DataFrame, g: DataFrame, k: int, value: str = "v", out: str = "y") -> DataFrame:
-    """Add ``out = value . g`` for the one-row matrix ``g``, read as a scalar subquery."""
-    return (
-        df.withColumn("_g", g.scalar())
-        .withColumn(out, F.expr(V.times_matrix(value, "_g", k)))
-        .drop("_g")
-    )
+    """Add ``out = value . g`` for the one-row matrix ``g``, whose k x k numbers are read first."""
+    cells = gram_cells(g, k)
+    if k <= V.UNROLL:
+        rows = df.selectExpr("*", *entries("_a", value, k))
+        rows = rows.selectExpr(*df.columns, *times_columns(cells, "_a", "_b"))
+        return rows.selectExpr(*df.columns, V.array([f"_b{j}" for j in range(k)]) + f" AS {out}")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            product = kernels.rows_of(b.column(value), k) @ cells
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, kernels.vectors_of(product)], [*b.schema.names, out]
+            )
+
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.mapInArrow(multiply, schema)
 
 
 def long_form(df: DataFrame, id_col: str, value: str = "v", digits: int = 6) -> DataFrame:

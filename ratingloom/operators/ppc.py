@@ -11,12 +11,15 @@ Y and T are projections of H and W, so one join per update is enough.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import nullcontext
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratingloom.functions import kernels
 from ratingloom.functions import vectors as V
 from ratingloom.operators import linalg
 from ratingloom.operators.matrix import RatingMatrix
@@ -26,6 +29,10 @@ from ratingloom.session import materialize
 H_SEED = 1
 W_SEED = 2
 
+#: Up to this width the H update is column arithmetic. Beyond it the generated code outgrows what the
+#: JVM compiles (2,000,000 rows of 10 entries: 8.5 s, against 3.5 s in Arrow batches with numpy).
+UPDATE_UNROLL = 6
+
 
 def initial_h(users: DataFrame, k: int, seed: int = H_SEED, method: str = "arith") -> DataFrame:
     """Start matrix of the users; every row sums to 1."""
@@ -46,31 +53,35 @@ def update_h(
     ``scalar`` adds the dot products h.y and h.x; ``elementwise`` adds h*y and h*x entry by entry.
     A user without ratings has no row in ``x`` and leaves H.
     """
-    rows = linalg.times_gram(h, b, k).join(x.withColumnRenamed("v", "x"), "user")
-    if variant == "scalar":
-        rows = rows.withColumns({"d": F.expr(V.dot("v", "y", k)), "e": F.expr(V.dot("v", "x", k))})
-        rows = rows.withColumns({
-            "top": F.expr(V.each("x", k, lambda c: V.add(c, "d"))),
-            "low": F.expr(V.each("y", k, lambda c: V.add(c, "e"))),
-        })
-    elif variant == "elementwise":
-        rows = rows.withColumns({
-            "d": F.expr(V.combine("v", "y", k, V.multiply)),
-            "e": F.expr(V.combine("v", "x", k, V.multiply)),
-        }).withColumns({
-            "top": F.expr(V.combine("x", "d", k, V.add)),
-            "low": F.expr(V.combine("y", "e", k, V.add)),
-        })
-    else:
+    if variant not in ("scalar", "elementwise"):
         raise ValueError(f"unknown variant {variant!r}")
-    ratio = F.expr(V.combine("top", "low", k, V.safe_divide))
-    out = rows.withColumn("ratio", ratio).select(
-        "user", F.expr(V.combine("v", "ratio", k, V.multiply)).alias("v")
-    )
+    scalar, cells = variant == "scalar", linalg.gram_cells(b, k)
+    rows = h.join(x.withColumnRenamed("v", "x"), "user").select("user", "v", "x")
+    if k > UPDATE_UNROLL:
+
+        def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hv, xv = (kernels.rows_of(batch.column(c), k) for c in ("v", "x"))
+                new = kernels.vectors_of(kernels.new_h(hv, xv, cells, scalar, renormalize))
+                yield pa.RecordBatch.from_arrays([batch.column("user"), new], ["user", "v"])
+
+        return rows.mapInArrow(update, h.select("user", "v").schema)
+
+    each = range(k)
+    rows = rows.selectExpr("user", *linalg.entries("h", "v", k), *linalg.entries("x", "x", k))
+    rows = rows.selectExpr("*", *linalg.times_columns(cells, "h", "y"))
+    if scalar:
+        d, e = (V.total([f"h{i} * {c}{i}" for i in each]) for c in "yx")
+        rows = rows.selectExpr("*", f"{d} AS d", f"{e} AS e")
+        pairs = [(f"x{i} + d", f"y{i} + e") for i in each]
+    else:
+        pairs = [(f"x{i} + h{i} * y{i}", f"y{i} + h{i} * x{i}") for i in each]
+    new = [f"h{i} * {V.safe_divide(top, low)} AS n{i}" for i, (top, low) in enumerate(pairs)]
+    rows = rows.selectExpr("user", *new)
     if renormalize:
-        s = V.row_sum("v", k)
-        out = out.withColumn("v", F.expr(V.each("v", k, lambda c: V.safe_divide(c, s))))
-    return out
+        rows = rows.selectExpr("*", V.total([f"n{i}" for i in each]) + " AS s")
+    out = [V.safe_divide(f"n{i}", "s") if renormalize else f"n{i}" for i in each]
+    return rows.selectExpr("user", V.array(out) + " AS v")
 
 
 def update_w(w: DataFrame, s: DataFrame, c: DataFrame, k: int) -> DataFrame:

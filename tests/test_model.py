@@ -68,13 +68,15 @@ def as_matrix(df, id_col):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"variant": "elementwise"}, {"renormalize": True}, {"min_heavy_rows": 20},
+    {}, {"variant": "elementwise"}, {"renormalize": True}, {"min_heavy_rows": 20}, {"k": 8},
+    {"k": 8, "variant": "elementwise", "renormalize": True},
 ])
 def test_fit_matches_dense(spark, rows, options):
     ratings = spark.createDataFrame(rows, RATING)
-    got = ppc.fit(ratings, k=3, max_iter=2, **options)
-    dense = {k: v for k, v in options.items() if k != "min_heavy_rows"}
-    _, h, w = dense_fit(rows, 3, 2, **dense)
+    options = {"k": 3, **options}
+    got = ppc.fit(ratings, max_iter=2, **options)
+    options.pop("min_heavy_rows", None)
+    _, h, w = dense_fit(rows, options.pop("k"), 2, **options)
     assert np.allclose(as_matrix(got.h, "user"), h, rtol=1e-9)
     assert np.allclose(as_matrix(got.w, "item"), w, rtol=1e-9)
 

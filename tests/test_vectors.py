@@ -54,7 +54,8 @@ def test_matrix_products(data):
 
 
 def test_safe_divide_by_zero(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 2.0])], "id int, a array<double>, b array<double>")
+    row = (1, [1.0, 0.0], [0.0, 2.0])
+    df = spark.createDataFrame([row], "id int, a array<double>, b array<double>")
     got = df.select(F.expr(V.combine("a", "b", 2, V.safe_divide))).first()[0]
     assert got == [0.0, 0.0]
 
@@ -64,7 +65,7 @@ def test_argmax_tie_goes_to_the_lowest(spark):
     assert df.select(F.expr(V.argmax("v"))).first()[0] == 1
 
 
-@pytest.mark.parametrize("k", [4, 20])
+@pytest.mark.parametrize("k", [4, 20, 70])
 def test_start_vectors(spark, k):
     ids = spark.createDataFrame([(i,) for i in (0, 1, 5, 999_999_999, 2_147_483_647)], "id int")
     rows = L.init_factors(ids, "id", k, 7).collect()

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from ratingloom.plans import catalog, oracles
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, oracles.ORACLES
 
 
 @pytest.fixture(scope="module")

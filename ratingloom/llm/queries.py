@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import hosts, mixing
+from ratingloom.llm import bpe, hosts, mixing, sharding, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,28 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and of the bytes that they decode to."""
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    return warc.round_trip(read(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files in ORC, written in document order and read back."""
+    return tokens.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document, and its shard when one more is added."""
+    return sharding.place(read(spark, sf_dir, "documents"), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_quality, op5_mix_sources)
+    f.__name__: f for f in (
+        op1_host_quality, op3_byte_bpe, op5_mix_sources, op6_warc, op9_token_orc, op10_shard_tree,
+    )
 }

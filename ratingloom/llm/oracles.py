@@ -49,6 +49,25 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(rejected, false) AS host_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM b LEFT JOIN v USING (source)
+""",
+    "op8_minhash": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []
+         WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+         END) AS shingles FROM w
+), u AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION SELECT node, link.b FROM reach JOIN link ON other = link.a
+)
+SELECT s.doc_id, len(shingles) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) ON s.doc_id = node
 """,
     "op5_mix_sources": rf"""
 WITH d AS (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bpe, hosts, mixing, sharding, tokens, warc
+from ratingloom.llm import bpe, hosts, minhash, mixing, sharding, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).drop("url")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of the documents."""
+    return minhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files in ORC, written in document order and read back."""
     return tokens.round_trip(read(spark, sf_dir, "documents"))
@@ -49,6 +54,6 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_host_quality, op3_byte_bpe, op5_mix_sources, op6_warc, op9_token_orc, op10_shard_tree,
+        op1_host_quality, op3_byte_bpe, op5_mix_sources, op6_warc, op8_minhash, op9_token_orc, op10_shard_tree,
     )
 }

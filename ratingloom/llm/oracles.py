@@ -49,6 +49,23 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(rejected, false) AS host_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM b LEFT JOIN v USING (source)
+""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), z AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION SELECT node, link.b FROM reach JOIN link ON other = link.a
+), c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id,
+       vec_id = component_id AS kept
+FROM embeddings JOIN c ON node = vec_id
 """,
     "op8_minhash": rf"""
 WITH RECURSIVE w AS (

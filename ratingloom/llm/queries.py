@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bpe, hosts, minhash, mixing, sharding, tokens, warc
+from ratingloom.llm import bpe, embeddings, hosts, minhash, mixing, sharding, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of the embeddings."""
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document so that the sources meet their target weights."""
     return mixing.mix(read(spark, sf_dir, "documents"))
@@ -54,6 +59,6 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_host_quality, op3_byte_bpe, op5_mix_sources, op6_warc, op8_minhash, op9_token_orc, op10_shard_tree,
+        op1_host_quality, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op8_minhash, op9_token_orc, op10_shard_tree,
     )
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bpe, embeddings, hosts, minhash, mixing, sharding, tokens, warc
+from ratingloom.llm import bpe, embeddings, hosts, langid, minhash, mixing, sharding, tokens, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learnt from the rows that are not held out."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each text's ids and of the bytes that they decode to."""
     return bpe.digests(read(spark, sf_dir, "documents"))
@@ -59,6 +64,6 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_host_quality, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op8_minhash, op9_token_orc, op10_shard_tree,
+        op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op8_minhash, op9_token_orc, op10_shard_tree,
     )
 }

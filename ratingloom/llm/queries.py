@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bpe, embeddings, hosts, langid, minhash, mixing, sharding, tokens, warc
+from ratingloom.llm import bpe, embeddings, hosts, langid, minhash, mixing, sharding, tokens, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from the labels that are not held out."""
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents."""
     return minhash.groups(read(spark, sf_dir, "documents"))
@@ -64,6 +69,6 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op8_minhash, op9_token_orc, op10_shard_tree,
+        op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree,
     )
 }

@@ -91,7 +91,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
     hadoop = spark._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
 
@@ -100,7 +100,8 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)``, the smallest node of each.
 
     Alternating large-star and small-star passes until nothing changes. Minima are combined before
-    the shuffle and a node with very many edges is split by the skew join, so no node is a group.
+    the shuffle and joined from written tables, so a node with very many edges is met by a broadcast
+    or split by the skew join, and is never a group.
     Nodes without an edge are absent; an empty table gives an empty table. Each pass is a written
     table, so a lost executor repeats one pass at most.
     """
@@ -121,17 +122,17 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
         before = seen
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(
+        least = materialize(least.select("a", F.least("a", "m").alias("m")), label)
+        large = both.join(small(least), "a").where("b > a AND b > m").select(
             F.col("b").alias("a"), F.col("m").alias("b")
         )
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(low, "a")
-        star = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        star = star.union(linked.select("a", F.col("m").alias("b"))).distinct()
-        fresh = materialize(star, label)
-        forget(spark, now)
+        large = materialize(large.distinct(), label)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), label)
+        linked = large.join(small(low), "a")
+        star = linked.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        fresh = materialize(star.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
+        for old in (now, least, large, low):
+            forget(spark, old)
         now = fresh
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from ratingloom.llm import bpe, embeddings, hosts, langid, minhash, mixing, sharding, tokens, toxicity, warc
 
 
@@ -67,8 +69,13 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), shards=40)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree,
+        op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree, pipeline,
     )
 }

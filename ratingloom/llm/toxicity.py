@@ -348,7 +348,7 @@ def _step(network: Network, squares: dict, batch: list[list[bytes]], target: np.
 
 def fit(documents: list[list[bytes]], toxic: np.ndarray, kept_out: np.ndarray, seed: int = 5) -> Network:
     """Train the network on texts that are not kept out, and calibrate it on those that are."""
-    full = np.array([bool(d) for d in documents])
+    full = np.array([bool(d) for d in documents], bool)
     learn, check = np.flatnonzero(full & ~kept_out), np.flatnonzero(full & kept_out)
     some = toxic[full]
     if len(np.unique(toxic[learn])) < 2:

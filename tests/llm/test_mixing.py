@@ -1,0 +1,56 @@
+import duckdb
+import pytest
+
+from ratingloom.llm import mixing, oracles
+
+from . import odd
+
+
+def water_fill(sizes):
+    """Shares by weight, limits, and the excess reshared until none is above its limit."""
+    total, open_, target = sum(s for s, _ in sizes.values()), dict(sizes), {}
+    while open_:
+        left = total - sum(target.values())
+        level = left / sum(w for _, w in open_.values())
+        over = [k for k, (s, w) in open_.items() if w * level > 3 * s]
+        if not over:
+            return target | {k: w * level for k, (s, w) in open_.items()}
+        target |= {k: 3 * open_[k][0] for k in over}
+        open_ = {k: v for k, v in open_.items() if k not in over}
+    return target
+
+
+def test_targets_match_water_filling(spark):
+    sizes = {"a": 1, "b": 1000, "c": 5, "d": 0, "e": 40, "f": 7, None: 300}
+    weights = dict(zip([*sorted(k for k in sizes if k), None], [1, 2, 3, 1, 2, 3, 1]))
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r.source: r.target for r in mixing.targets(table).collect()}
+    assert got == pytest.approx(water_fill({k: (s, weights[k]) for k, s in sizes.items()}))
+
+
+def test_odd_rows_match_sql(spark):
+    more = [(100 + i, "w " * (i % 13), "en", f"s{i % 4}", 1, "", 0) for i in range(300)]
+    docs = odd.documents(spark, more)
+    documents = docs.toPandas()  # noqa: F841  read by the SQL
+    want = duckdb.sql(oracles.ORACLES["op5_mix_sources"]).fetchall()
+    got = [tuple(r) for r in mixing.mix(docs).collect()]
+    key = lambda r: [(v is not None, v) for v in r]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    by_source = {}
+    for doc_id, size, source_size, target, taken in got:
+        assert 0 <= taken <= 3 * size and (size == 0 or taken % size == 0)
+        entry = by_source.setdefault((source_size, target), [0, 0])
+        entry[0] += taken
+        entry[1] = max(entry[1], size)
+    assert all(abs(taken - target) <= most for (_, target), (taken, most) in by_source.items())
+
+
+def test_the_mix_has_each_row_as_often_as_it_is_taken(spark):
+    docs = odd.documents(spark, [(100 + i, "w " * (1 + i % 9), "en", f"s{i % 4}", 1, "", 0) for i in range(100)])
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    count = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    for r in mixing.mix(docs).collect():
+        if r.size and r.doc_id not in (7, None):
+            assert count.get(r.doc_id, 0) == r.taken // r.size
+    assert mixing.mix(odd.empty(spark)).count() == mixing.mixed(odd.empty(spark)).count() == 0

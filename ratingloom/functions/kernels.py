@@ -52,39 +52,45 @@ def bucket(ids: np.ndarray, n: int) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) % np.uint64(n)
 
 
-def pair_sums(users, items, probs, leads=None, cells=CELLS, dense_gain=DENSE_GAIN):
-    """Sums of ``p_i * p_j`` over the users of a chunk, for all ordered item pairs of a user.
+def pair_sums(users, items, probs, leads=None, follows=None, cells=CELLS, dense_gain=DENSE_GAIN):
+    """Sums of ``p_i * p_j`` over the users of a chunk, for ordered item pairs of a user.
 
-    ``leads`` marks the rows that may stand first in a pair; all of them by default. Yields
-    ``(i, j, sum)`` in order of i. The sparse branch may yield a pair again, with partial sums.
+    ``leads`` marks the rows that may stand first in a pair and ``follows`` those that may stand
+    second; all of them by default. Yields ``(i, j, sum)`` in order of i. The sparse branch may yield
+    a pair again, with partial sums.
     """
     order = np.argsort(users, kind="stable")
     users, items, probs = users[order], items[order], probs[order]
-    leads = np.ones(len(users), dtype=bool) if leads is None else leads[order]
     bounds = segments(users)
     sizes = np.diff(bounds)
-    catalogue, code = np.unique(items, return_inverse=True)
-    m, n = len(catalogue), len(sizes)
+    n = len(sizes)
     owner = np.repeat(np.arange(n), sizes)
-    lead = np.flatnonzero(leads)
-    partners = sizes[owner[lead]]
-    if n * m <= 4 * cells and n * m * m <= dense_gain * float(partners.sum()):
-        dense, first = np.zeros((n, m)), np.zeros((n, m))
-        dense[owner, code] = probs
-        first[owner[lead], code[lead]] = probs[lead]
-        step = max(1, cells // m)
-        for low in range(0, m, step):
-            block = first[:, low : low + step].T @ dense
+    lead, follow = (
+        np.arange(len(users)) if mask is None else np.flatnonzero(mask[order])
+        for mask in (leads, follows)
+    )
+    rows, row = np.unique(items[lead], return_inverse=True)
+    cols, col = np.unique(items[follow], return_inverse=True)
+    begins = np.searchsorted(owner[follow], np.arange(n + 1))
+    partners = np.diff(begins)[owner[lead]]
+    height, width = len(rows), len(cols)
+    work = float(partners.sum())
+    if n * (height + width) <= 4 * cells and n * height * width <= dense_gain * work:
+        first, second = np.zeros((n, height)), np.zeros((n, width))
+        first[owner[lead], row] = probs[lead]
+        second[owner[follow], col] = probs[follow]
+        step = max(1, cells // max(width, 1))
+        for low in range(0, height, step):
+            block = first[:, low : low + step].T @ second
             a, b = np.nonzero(block)
-            yield catalogue[low + a], catalogue[b], block[a, b]
+            yield rows[low + a], cols[b], block[a, b]
         return
     for low, high in cuts(partners, cells):
-        rows = lead[low:high]
-        which, right = ragged(bounds[owner[rows]], partners[low:high])
-        left = rows[which]
-        key, slot = np.unique(code[left].astype(np.int64) * m + code[right], return_inverse=True)
-        sums = np.bincount(slot, weights=probs[left] * probs[right])
-        yield catalogue[key // m], catalogue[key % m], sums
+        left = lead[low:high]
+        which, right = ragged(begins[owner[left]], partners[low:high])
+        key, slot = np.unique(row[low:high][which] * width + col[right], return_inverse=True)
+        sums = np.bincount(slot, weights=probs[left[which]] * probs[follow[right]])
+        yield rows[key // width], cols[key % width], sums
 
 
 def add_up(batches, limit=CELLS):
@@ -108,7 +114,7 @@ def add_up(batches, limit=CELLS):
             keys, sums, fresh = [key], [total], 0
     if keys:
         key, total = merge()
-        keep = total > 0
+        keep = total != 0
         key, total = key[keep], total[keep]
         yield (key >> 32).astype(np.int32), key.astype(np.uint32).view(np.int32), total
 
@@ -133,14 +139,14 @@ def spread(ids: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_products(users, items, others, sizes, cand, g, top=None, decimals=None, cells=CELLS,
-                 dense_share=0.2):
+                 dense_share=0.2, exclude_seen=False):
     """For each user and candidate: the sum of ``log g(candidate, j)`` over the user's items j.
 
     ``users, items`` are the chunk's (user, j) rows. The known cells of g come row by row:
     ``others`` are the distinct j, ``sizes`` the number of cells of each, ``cand`` and ``g`` the
     cells themselves. A candidate that lacks a cell for one of the user's items has product 0 and
-    is left out. Yields ``(user, candidate, log product)``; with ``top``, only candidates that
-    reach the user's ``top``-th best value in this chunk.
+    is left out, and with ``exclude_seen`` so are the user's own items. Yields ``(user, candidate,
+    log product)``; with ``top``, only candidates that reach the user's ``top``-th best value here.
     """
     if len(users) == 0 or len(cand) == 0:
         return
@@ -175,6 +181,11 @@ def log_products(users, items, others, sizes, cand, g, top=None, decimals=None,
             score = np.bincount(slot, weights=logs[cell], minlength=space).reshape(-1, width)
             hits = np.bincount(slot, minlength=space).reshape(-1, width)
             score[hits != degree[low:high, None]] = -np.inf
+        if exclude_seen:
+            own = np.minimum(np.searchsorted(cols, items[first:last]), width - 1)
+            there = cols[own] == items[first:last]
+            rated = np.repeat(np.arange(high - low), degree[low:high])
+            score[rated[there], own[there]] = -np.inf
         if decimals is not None:
             score = np.round(score, decimals)
         keep = np.isfinite(score)

@@ -19,6 +19,7 @@ INIT_SQUARE = 31
 INIT_CROSS = 7919
 INIT_COLUMN = 104729
 INIT_SEED = 31
+INIT_WRAP = 611953
 
 
 def array(entries: list[str]) -> str:
@@ -43,10 +44,6 @@ def each(v: str, k: int, fn: Callable[[str], str]) -> str:
     return f"transform({v}, p -> {fn('p')})"
 
 
-def add(a: str, b: str) -> str:
-    return f"({a} + {b})"
-
-
 def multiply(a: str, b: str) -> str:
     return f"({a} * {b})"
 
@@ -92,14 +89,16 @@ def argmax(v: str) -> str:
 def uniform_vector(id_col: str, k: int, seed: int) -> str:
     """k numbers strictly between 0 and 1 that depend only on the id, the column and the seed.
 
-    The id is reduced first, so a large id cannot overflow; the open interval matters because a
-    multiplicative update never leaves an exact 0.
+    The id is taken apart into a remainder and a quotient, so a large id cannot overflow and two ids
+    below 10^12 never share their numbers; the open interval matters because a multiplicative update
+    never leaves an exact 0.
     """
     x = f"(cast({id_col} AS bigint) % {INIT_MODULUS})"
+    q = f"(cast({id_col} AS bigint) div {INIT_MODULUS} % {INIT_MODULUS})"
 
     def entry(j):
         raw = (f"({x} * {x} * {INIT_SQUARE} + {x} * {INIT_CROSS} * ({j} + 1)"
-               f" + {j} * {INIT_COLUMN} + {seed * INIT_SEED})")
+               f" + {j} * {INIT_COLUMN} + {seed * INIT_SEED} + {q} * {INIT_WRAP})")
         return f"({raw} % {INIT_MODULUS} + 1) / {INIT_MODULUS + 1}.0D"
 
     if k <= INIT_UNROLL:

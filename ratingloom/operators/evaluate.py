@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def clusters_of(scores: DataFrame, users: DataFrame) -> DataFrame:
-    """All scores of the clusters that hold one of the given users."""
+    """All rows of the clusters that hold one of the given users.
+
+    Works on any table with ``cluster`` and ``user``: given p(i|u) it picks the clusters before they
+    are scored. The clusters are at most as many as the factors are wide, so they are broadcast and
+    the rows stay where they are.
+    """
     members = scores.select("cluster", "user").join(users.select("user"), "user", "left_semi")
-    return scores.join(members.select("cluster").distinct(), "cluster", "left_semi")
+    return scores.join(F.broadcast(members.select("cluster").distinct()), "cluster", "left_semi")
 
 
 def topk_per_user(scores: DataFrame, k: int = 10) -> DataFrame:
@@ -19,15 +24,21 @@ def topk_per_user(scores: DataFrame, k: int = 10) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def topk_per_cluster(scores: DataFrame, k: int = 10) -> DataFrame:
+def topk_per_cluster(scores: DataFrame, k: int = 10, salts: int = 256) -> DataFrame:
     """The best distinct (item, score) pairs over all users of a cluster.
 
-    Spark keeps k rows per cluster in every task before the shuffle, so a large cluster does not
-    gather its pairs in one place.
+    In two steps, for any k: the best k of each of ``salts`` shares of a cluster, then the best of
+    these, so no task gathers a cluster and the last one gets ``salts * k`` rows of it at most.
     """
-    order = Window.partitionBy("cluster").orderBy(F.desc("log_score"), "item")
-    pairs = scores.select("cluster", "item", "log_score").distinct()
-    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    best = [F.desc("log_score"), F.asc("item")]
+    pairs = scores.select("cluster", "item", "log_score").distinct().withColumn(
+        "salt", F.pmod(F.xxhash64("item", "log_score"), F.lit(salts))
+    )
+    share = Window.partitionBy("cluster", "salt").orderBy(*best)
+    few = pairs.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= k)
+    ranked = few.drop("salt").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("cluster").orderBy(*best))
+    )
     return ranked.where(F.col("rank") <= k)
 
 
@@ -37,11 +48,19 @@ def topk_item_list(topk: DataFrame) -> DataFrame:
     return topk.groupBy("user").agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
 
 
-def relevant_items(test: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Distinct test items per user, for all users or the given ones: ``(user, item)``."""
+def relevant_items(
+    test: DataFrame, users: DataFrame | None = None, train: DataFrame | None = None
+) -> DataFrame:
+    """Distinct test items per user, for all users or the given ones: ``(user, item)``.
+
+    With ``train``, items that the user has a training rating for are not relevant.
+    """
     if users is not None:
         test = test.join(users.select("user"), "user", "left_semi")
-    return test.select("user", "item").distinct()
+    pairs = test.select("user", "item").distinct()
+    if train is None:
+        return pairs
+    return pairs.join(train.select("user", "item").distinct(), ["user", "item"], "left_anti")
 
 
 def precision_per_user(

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from ratingloom.functions import kernels
 from ratingloom.functions import vectors as V
-from ratingloom.operators.skew import lookup_join
 
 
 def init_factors(
@@ -33,27 +32,12 @@ def init_factors(
     return out.withColumn("v", F.expr(V.row_normalize("v", k))) if normalize else out
 
 
-def scaled_rows(
-    ratings: DataFrame, factors: DataFrame, key: str, keep: str, k: int, **join
-) -> DataFrame:
-    """Each rating times the factor row of its ``key``: ``(keep, v)``, one row per rating."""
-    joined = lookup_join(ratings, factors, key, F.col(keep), **join)
-    return joined.select(keep, F.expr(V.scale("rating", "v", k)).alias("v"))
-
-
 def sum_vectors(df: DataFrame, by: str, k: int, value: str = "v") -> DataFrame:
     """Entry-wise vector sum per key: k plain sums, so it combines before the shuffle."""
     sums = V.array([f"sum({value}[{j}])" for j in range(k)])
     return df.groupBy(by).agg(F.expr(sums).alias(value))
 
 
-def weighted_sum(
-    ratings: DataFrame, factors: DataFrame, key: str, by: str, k: int, **join
-) -> DataFrame:
-    """Ratings matrix times a factor matrix: ``sum(rating * v[key])`` per ``by``."""
-    return sum_vectors(scaled_rows(ratings, factors, key, by, k, **join), by, k)
-
-
 def gram(df: DataFrame, k: int, value: str = "v") -> DataFrame:
     """Sum of the outer products of all rows: one row ``g``, the k x k matrix row by row.
 

@@ -24,7 +24,7 @@ from ratingloom.functions import vectors as V
 from ratingloom.operators import linalg
 from ratingloom.operators.matrix import RatingMatrix
 from ratingloom.operators.skew import MIN_ROWS
-from ratingloom.session import materialize
+from ratingloom.session import discard, materialize
 
 H_SEED = 1
 W_SEED = 2
@@ -50,7 +50,8 @@ def update_h(
 ) -> DataFrame:
     """New H from H, ``x = A^T W`` and the one-row Gram matrix ``b`` of W.
 
-    ``scalar`` adds the dot products h.y and h.x; ``elementwise`` adds h*y and h*x entry by entry.
+    The numbers of ``b`` are read when this is called. ``scalar`` adds the dot products h.y and h.x;
+    ``elementwise`` adds h*y and h*x entry by entry.
     A user without ratings has no row in ``x`` and leaves H.
     """
     if variant not in ("scalar", "elementwise"):
@@ -111,18 +112,6 @@ class Factors:
     delta: float | None = None
 
 
-def half_step_h(ratings: DataFrame, h: DataFrame, w: DataFrame, k: int, **options) -> DataFrame:
-    """One lazy H pass straight from a ratings table."""
-    x = linalg.weighted_sum(ratings, w, "item", "user", k)
-    return update_h(h, x, linalg.gram(w, k), k, **options)
-
-
-def half_step_w(ratings: DataFrame, h: DataFrame, w: DataFrame, k: int) -> DataFrame:
-    """One lazy W pass straight from a ratings table; ``h`` is the H of this iteration."""
-    s = linalg.weighted_sum(ratings, h, "user", "item", k)
-    return update_w(w, s, linalg.gram(h, k), k)
-
-
 def fit(
     ratings: DataFrame | RatingMatrix,
     k: int = 10,
@@ -135,7 +124,10 @@ def fit(
     tol: float | None = None,
     min_heavy_rows: int = MIN_ROWS,
 ) -> Factors:
-    """Factorise the ratings. H and W are written once per pass, so lineage never grows.
+    """Factorise the ratings. H and W are written once per pass, so lineage never grows, and those of
+    the pass before are deleted.
+
+    The k x k Gram matrix of each half pass is read to the driver and becomes constants of the update.
 
     ``tol`` stops early once the norm of the change of H is below it. ``renormalize`` makes every
     H row sum to 1 again after each pass; it is advised beyond about four iterations.
@@ -143,18 +135,20 @@ def fit(
     shared = isinstance(ratings, RatingMatrix)
     with nullcontext(ratings) if shared else RatingMatrix(ratings, min_heavy_rows) as matrix:
         h = initial_h(matrix.users(), k, h_seed, method)
-        if method == "rand" or tol is not None or max_iter == 0:
+        written = method == "rand" or tol is not None or max_iter == 0
+        if written:
             h = materialize(h, "h")
         w = materialize(initial_w(matrix.items(), k, w_seed, method), "w")
         change, done = None, 0
         for _ in range(max_iter):
             x, b = matrix.by_user(w, k), linalg.gram(w, k)
             new_h = materialize(update_h(h, x, b, k, variant, renormalize), "h")
-            w = materialize(update_w(w, matrix.by_item(new_h, k), linalg.gram(new_h, k), k), "w")
+            new_w = materialize(update_w(w, matrix.by_item(new_h, k), linalg.gram(new_h, k), k), "w")
             done += 1
             if tol is not None:
                 change = delta(h, new_h, k).first()["delta"]
-            h = new_h
+            discard(w, *([h] if written else []))
+            h, w, written = new_h, new_w, True
             if change is not None and change < tol:
                 break
     return Factors(h, w, k, done, change)

@@ -16,8 +16,8 @@ SPLIT_SHIFT = 13
 TRAIN_PERCENT = 67
 
 
-def first_n(ratings: DataFrame, n: int = 50_000) -> DataFrame:
-    """The first n ratings in arrival order."""
+def first_n(ratings: DataFrame, n: int) -> DataFrame:
+    """The first n ratings in arrival order: a sample, so its size has no default."""
     return ratings.orderBy("seq", "item", "user", "rating").limit(n)
 
 

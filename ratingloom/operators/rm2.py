@@ -8,7 +8,8 @@ For a user u and a candidate item i of the same cluster:
 flat table of p(i|u) with itself. A score is then a sum of logarithms over the user's items. Both
 products are cut into chunks of bounded size: users of a cluster are hashed into *chunks* and
 candidate items into *blocks*, so a cluster that holds most users is simply more chunks. Inside a
-chunk numpy sums in place; item pairs of single users never become rows.
+chunk numpy sums in place; item pairs of single users never become rows. Ratings are positive: the
+logarithm of a sum that is not has no meaning.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from ratingloom.functions import kernels
 from ratingloom.operators import aggregates
 from ratingloom.operators.matrix import RatingMatrix
 from ratingloom.operators.skew import MIN_ROWS, lookup_join
-from ratingloom.session import materialize, shuffle_partitions
+from ratingloom.session import fits_broadcast, materialize, shuffle_partitions
 
 #: Rows of p(i|u) in one chunk, at least and at most.
 CHUNK_MIN = 50_000
@@ -37,8 +38,9 @@ CHUNK_MAX = 4_000_000
 #: Cells of g in one block.
 BLOCK_CELLS = 2_000_000
 
-#: Item pairs of one user that one task may expand.
-USER_PAIRS = 1_000_000_000
+#: Cells of g that one task adds up, and item pairs of users that it expands for them.
+TILE_CELLS = 4_000_000
+TILE_PAIRS = 2_000_000_000
 
 #: Items of one packed list of a user.
 LIST_ITEMS = 4096
@@ -87,52 +89,60 @@ def prepare_probs(
 class Plan:
     """How finely to cut the work.
 
-    ``table`` has one row per cluster, ``(cluster, n_chunks, n_blocks, n_lists)``, so its size is
-    the width k of the factors: small enough to collect and to broadcast at any data size. ``tiles``
-    and ``blocks`` are two of these numbers as lookups for the tasks: cells of g are added up in
-    ``tiles`` groups of rows, and scored in ``blocks`` groups of columns.
-    ``large_users`` lists the users with so many items that their item pairs alone need several
-    tasks, ``(user, n_parts)``; it is None if there is no such user.
+    ``table`` has one row per cluster, ``(cluster, n_chunks, n_blocks, n_lists, n_groups, n_parts)``,
+    so its size is the width k of the factors: small enough to collect and to broadcast at any data
+    size. ``cuts`` are its rows as a lookup for the tasks.
+
+    Items are hashed into blocks and blocks into groups. A pair of groups is a tile of g, added up by
+    ``n_parts`` tasks that share the users; cells of g are scored in blocks of columns.
     """
 
     table: DataFrame
-    tiles: dict[int, int]
-    blocks: dict[int, int]
-    large_users: DataFrame | None
+    cuts: dict[int, tuple[int, ...]]
+
+    def blocks(self, cluster: int) -> int:
+        return self.cuts[cluster][1]
+
+    def parts(self) -> int:
+        return max([c[4] for c in self.cuts.values()], default=1)
 
 
 def cluster_plan(
     probs: DataFrame, chunk_min: int = CHUNK_MIN, chunk_max: int = CHUNK_MAX,
-    block_cells: int = BLOCK_CELLS, user_pairs: int = USER_PAIRS,
+    block_cells: int = BLOCK_CELLS, tile_cells: int = TILE_CELLS, tile_pairs: int = TILE_PAIRS,
 ) -> Plan:
+    """Cut every cluster by counted rows, items and item pairs of users.
+
+    g has at most as many cells as there are pairs of items, and as its users have pairs: a wide
+    catalogue with short lists stays in few blocks. Only chunks of users follow the cluster's width
+    in partitions; tiles of g depend on the data alone.
+    """
     spark = probs.sparkSession
     degrees = probs.groupBy("cluster", "user").agg(F.count(F.lit(1)).alias("n"))
-    rows_of = {
-        r["cluster"]: r
-        for r in degrees.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-        .collect()
-    }
+    found = degrees.groupBy("cluster").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("pairs")
+    ).collect()
     items_of = dict(
         probs.groupBy("cluster").agg(F.approx_count_distinct("item").alias("n")).collect()
     )
-    share = sum(r["n"] for r in rows_of.values()) / (2 * shuffle_partitions(spark))
+    share = sum(r["n"] for r in found) / (2 * shuffle_partitions(spark))
     rows = min(chunk_max, max(chunk_min, share))
-    cuts, tiles = [], {}
-    for cluster, r in rows_of.items():
-        n_items = items_of[cluster]
-        n_chunks, cells = math.ceil(r["n"] / rows), n_items * n_items
-        cuts.append((cluster, n_chunks, math.ceil(cells / block_cells),
-                     math.ceil(n_items / LIST_ITEMS)))
-        tiles[cluster] = min(n_items, math.ceil(cells * n_chunks / block_cells))
-    table = spark.createDataFrame(cuts, "cluster int, n_chunks int, n_blocks int, n_lists int")
-    blocks = {cluster: n_blocks for cluster, _, n_blocks, _ in cuts}
-    large = None
-    if any(r["most"] ** 2 > user_pairs for r in rows_of.values()):
-        pairs = F.col("n") * F.col("n")
-        large = degrees.where(pairs > user_pairs).select(
-            "user", F.ceil(pairs / user_pairs).cast("int").alias("n_parts")
+    cuts = {}
+    for r in found:
+        n_items = items_of[r["cluster"]]
+        cells = min(float(n_items) ** 2, r["pairs"])
+        n_groups = min(n_items, math.ceil(math.sqrt(cells / tile_cells)))
+        n_blocks = max(n_groups, min(n_items, math.ceil(cells / block_cells)))
+        n_parts = max(r["pairs"] / n_groups**2 / tile_pairs, 2 * r["n"] / n_groups / chunk_max)
+        cuts[r["cluster"]] = (
+            math.ceil(r["n"] / rows), n_blocks, math.ceil(n_items / LIST_ITEMS), n_groups,
+            math.ceil(n_parts),
         )
-    return Plan(table, tiles, blocks, large)
+    table = spark.createDataFrame(
+        [(c, *v) for c, v in cuts.items()],
+        "cluster int, n_chunks int, n_blocks int, n_lists int, n_groups int, n_parts int",
+    )
+    return Plan(table, cuts)
 
 
 def _chunked(users: DataFrame, plan: Plan) -> DataFrame:
@@ -141,65 +151,78 @@ def _chunked(users: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
+def tile_rows(probs: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of p(i|u) in every tile of g that they have a share in.
+
+    A row of group a goes to the tiles ``(a, b)`` and ``(b, a)`` with the smaller number first: as many
+    copies as there are groups. A user with very many items is cut by this in both directions.
+    """
+    # The same number as kernels.bucket gives.
+    block = F.expr("pmod((cast(item AS bigint) * 2654435761) & 4294967295, n_blocks)")
+    rows = probs.join(F.broadcast(plan.table), "cluster").withColumns({
+        "own": F.pmod(block, F.col("n_groups")).cast("int"),
+        "part": F.pmod(F.xxhash64("user"), F.col("n_parts")).cast("int"),
+    })
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)))
+    return rows.select(
+        "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "part", "user", "item", "p", "own",
+    )
+
+
 def _cooccurrence_rows(probs: DataFrame, plan: Plan) -> DataFrame:
     """``g`` packed by row and block of columns: ``(cluster, block, i, j list, g list)``.
 
-    A chunk's users meet in one task, which adds up their item pairs in place. A large user goes to
-    several tasks: each copy of the user's rows pairs its own share of the items with all items of
-    the user. The partial cells then meet by tile, a group of matrix rows.
+    A tile's rows meet in one task, which adds up its item pairs in place; g is symmetric, so a tile
+    off the diagonal gives its mirror image too. Where several tasks share the users of a tile, their
+    sums meet once more; the number of these tasks follows from the pairs and not from the cluster's
+    size.
     """
-    chunks = _chunked(probs, plan).select("cluster", "chunk", "user", "item", "p")
-    if plan.large_users is None:
-        chunks = chunks.withColumns({"part": F.lit(0), "leads": F.lit(True)})
-    else:
-        chunks = (
-            chunks.join(plan.large_users, "user", "left")
-            .withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-            .withColumn("leads", F.pmod(F.xxhash64("item"), F.col("n_parts")) == F.col("part"))
-        )
-    tiles, blocks = plan.tiles, plan.blocks
 
-    def partial(
+    def packed(cluster: int, i, j, g, names: list[str]) -> pa.RecordBatch:
+        block = kernels.bucket(j, plan_blocks[cluster]).astype(np.int32)
+        order = np.lexsort((block, i))
+        rows = kernels.as_rows(block[order], i[order], j[order], g[order])
+        same = pa.array(np.full(len(rows[0]), cluster, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([same, *rows], names)
+
+    plan_blocks = {cluster: plan.blocks(cluster) for cluster in plan.cuts}
+    columns = ["cluster", "block", "i", "j", "g"]
+    schema = "cluster int, block int, i int, j array<int>, g array<double>"
+
+    def tile(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        cluster = key[0].as_py()
-        chunk = pa.Table.from_batches(batches)
-        columns = (
-            chunk.column(name).to_numpy(zero_copy_only=False)
-            for name in ("user", "item", "p", "leads")
+        cluster, low, high = (k.as_py() for k in key[:3])
+        rows = pa.Table.from_batches(batches)
+        users, items, p, own = (
+            rows.column(name).to_numpy(zero_copy_only=False) for name in ("user", "item", "p", "own")
         )
-        for i, j, g in kernels.pair_sums(*columns):
-            tile = kernels.bucket(i, tiles[cluster]).astype(np.int32)
-            rows = kernels.as_rows(tile, i, j, g)
-            same = pa.array(np.full(len(rows[0]), cluster, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([same, *rows], ["cluster", "tile", "i", "j", "g"])
+        found = kernels.add_up(kernels.pair_sums(users, items, p, own == low, own == high))
+        for i, j, g in found:
+            yield packed(cluster, i, j, g, columns)
+            if low != high:
+                yield packed(cluster, j, i, g, columns)
 
     def add_up(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        cluster = key[0].as_py()
         pieces = (
             (*kernels.spread(b.column("i").to_numpy(), b.column("j")),
              b.column("g").flatten().to_numpy())
             for b in batches
         )
         for i, j, g in kernels.add_up(pieces):
-            block = kernels.bucket(j, blocks[cluster]).astype(np.int32)
-            if blocks[cluster] > 1:
-                order = np.lexsort((block, i))
-                i, j, g, block = i[order], j[order], g[order], block[order]
-            rows = kernels.as_rows(block, i, j, g)
-            same = pa.array(np.full(len(rows[0]), cluster, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([same, *rows], ["cluster", "block", "i", "j", "g"])
+            yield packed(key[0].as_py(), i, j, g, columns)
 
-    return (
-        chunks.select("cluster", "chunk", "part", "user", "item", "p", "leads")
-        .groupBy("cluster", "chunk", "part")
-        .applyInArrow(partial, "cluster int, tile int, i int, j array<int>, g array<double>")
-        .groupBy("cluster", "tile")
-        .applyInArrow(add_up, "cluster int, block int, i int, j array<int>, g array<double>")
+    cells = (
+        tile_rows(probs, plan).groupBy("cluster", "low", "high", "part").applyInArrow(tile, schema)
     )
+    if plan.parts() == 1:
+        return cells
+    # All parts of a cell are in one row of g and one block, and few rows of g share a hash.
+    rows_of = F.pmod(F.xxhash64("i"), F.lit(1 << 10)).alias("rows")
+    return cells.select("*", rows_of).groupBy("cluster", "block", "rows").applyInArrow(add_up, schema)
 
 
 def cluster_cooccurrence(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
@@ -214,11 +237,13 @@ def rm2_scores(
     plan: Plan | None = None,
     top: int | None = None,
     digits: int | None = None,
+    exclude_seen: bool = False,
 ) -> DataFrame:
     """Non-zero RM2 scores as logarithms: ``(cluster, user, item, log_score)``.
 
     A plain product would underflow for users with a few hundred items. With ``top``, each block
     returns only candidates among a user's best ``top`` there, which is enough to rank them later.
+    ``exclude_seen`` leaves out the items that a user has rated, before that choice.
 
     Every (chunk of users, block of candidates) meets in one task. The rows sent there are packed:
     a list of items per user, cut at about ``LIST_ITEMS`` items, and a list of cells per item.
@@ -260,7 +285,8 @@ def rm2_scores(
         cand = cell.column("items").chunk(0).flatten().to_numpy()
         g = cell.column("g").chunk(0).flatten().to_numpy()
         found = kernels.log_products(
-            users, items, others, sizes.to_numpy(), cand, g, top=top, decimals=digits
+            users, items, others, sizes.to_numpy(), cand, g, top=top, decimals=digits,
+            exclude_seen=exclude_seen,
         )
         for who, item, value in found:
             cluster = np.full(len(who), key[0].as_py(), dtype=np.int32)
@@ -282,15 +308,29 @@ def rm2_last_item(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
     The last item is the one that arrived last among the user's items, by first arrival.
     """
     plan = cluster_plan(probs) if plan is None else plan
-    last = probs.groupBy("cluster", "user").agg(
-        F.max_by("item", F.struct("first_seq", "item")).alias("last")
+    last = materialize(
+        probs.groupBy("cluster", "user").agg(
+            F.max_by("item", F.struct("first_seq", "item")).alias("last")
+        ),
+        "last-items",
+    )
+    # Only rows of g of some user's last item are asked for, each once per so many users.
+    asked = materialize(
+        last.groupBy("cluster", "last").agg(
+            F.ceil(F.count(F.lit(1)) / MIN_ROWS).cast("int").alias("n_salts")
+        ),
+        "asked-items",
+    )
+    asked = F.broadcast(asked) if fits_broadcast(asked.count(), 64) else asked
+    rows = _cooccurrence_rows(probs, plan).withColumnRenamed("i", "last")
+    rows = rows.join(asked, ["cluster", "last"]).select(
+        "cluster", "last", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"),
+        F.arrays_zip("j", "g").alias("cells"),
     )
-    rows = _cooccurrence_rows(probs, plan).join(F.broadcast(plan.table), "cluster").select(
-        "cluster", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
-        F.col("i").alias("last"), F.arrays_zip("j", "g").alias("cells"),
+    users = last.join(asked, ["cluster", "last"]).withColumn(
+        "salt", F.pmod(F.xxhash64("user"), F.col("n_salts")).cast("int")
     )
-    users = _chunked(last, plan).select("cluster", "chunk", "user", "last")
-    found = users.join(rows, ["cluster", "chunk", "last"]).select(
+    found = users.join(rows, ["cluster", "last", "salt"]).select(
         "cluster", "user", F.explode("cells").alias("c")
     )
     return found.select(
@@ -334,7 +374,8 @@ def dense_scores(scores: DataFrame, clusters: DataFrame, items: DataFrame) -> Da
 
 def score(
     ratings: DataFrame | RatingMatrix, clusters: DataFrame, lam: float = 0.5,
-    top: int | None = None, digits: int | None = None,
+    top: int | None = None, digits: int | None = None, exclude_seen: bool = False,
 ) -> DataFrame:
     """End-to-end RM2 from ratings and clusters; see :func:`rm2_scores` for the result."""
-    return rm2_scores(prepare_probs(ratings, clusters, lam), top=top, digits=digits)
+    probs = prepare_probs(ratings, clusters, lam)
+    return rm2_scores(probs, top=top, digits=digits, exclude_seen=exclude_seen)

@@ -1,9 +1,9 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is *heavy* when it holds more than ``min_rows`` rows. Only the ``MAX_HEAVY`` largest such keys
-are listed: any key beyond them holds less than 1/``MAX_HEAVY`` of the table, so it needs no special
-treatment, and the list stays small enough to collect and broadcast at any data size. All rows are
-kept; the rows of heavy keys are only spread over more partitions.
+A key is *heavy* when it holds more than ``min_rows`` rows and more than 1/``MAX_HEAVY`` of the table.
+Fewer than ``MAX_HEAVY`` keys of a column can be, so the list of a column is complete and stays small
+enough to collect and broadcast at any data size. All rows are kept; the rows of heavy keys are only
+spread over more partitions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.session import fits_broadcast
+from ratingloom.session import discard, fits_broadcast, materialize
 
 MAX_HEAVY = 100_000
 MIN_ROWS = 1_000_000
@@ -21,14 +21,19 @@ MIN_ROWS = 1_000_000
 
 @dataclass
 class KeyStats:
-    """Distinct values of a key column, and its heavy values ``(key, n_salts)`` if there are any."""
+    """Distinct values of a key column, its heavy values ``(key, n_salts)`` if there are any, and the
+    rows of the table."""
 
     n_ids: int
     heavy: DataFrame | None
+    rows: int = 0
 
 
 def key_stats(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> dict[str, KeyStats]:
-    """Statistics of the key columns, from one pass over these columns only."""
+    """Statistics of the key columns, from one pass over these columns only.
+
+    The counts are written, as one reading tells whether there are heavy keys and another lists them.
+    """
     spark = df.sparkSession
     slots = [
         F.struct(F.lit(i).alias("slot"), F.col(key).cast("bigint").alias("value"))
@@ -39,15 +44,18 @@ def key_stats(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> dict[
         .groupBy("t.slot", "t.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sizes = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("n_ids"), F.max("n").alias("most"))
+    counts = materialize(counts, "key-counts")
+    sizes = counts.groupBy("slot").agg(
+        F.count(F.lit(1)).alias("n_ids"), F.max("n").alias("most"), F.sum("n").alias("rows")
+    )
     found = {r["slot"]: r for r in sizes.collect()}
+    # Every slot counts all rows of the table, so one limit holds for all of them.
+    limit = max([min_rows, *(r["rows"] // MAX_HEAVY for r in found.values())])
     heavy = []
-    if any(r["most"] > min_rows for r in found.values()):
+    if any(r["most"] > limit for r in found.values()):
         heavy = (
-            counts.where(F.col("n") > min_rows)
-            .orderBy(F.desc("n"))
-            .limit(MAX_HEAVY)
-            .select("slot", "value", F.ceil(F.col("n") / min_rows).cast("int").alias("n_salts"))
+            counts.where(F.col("n") > limit)
+            .select("slot", "value", F.ceil(F.col("n") / limit).cast("int").alias("n_salts"))
             .collect()
         )
     out = {}
@@ -58,7 +66,9 @@ def key_stats(df: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> dict[
             table = spark.createDataFrame(mine, f"{key} bigint, n_salts int").withColumn(
                 key, F.col(key).cast(df.schema[key].dataType)
             )
-        out[key] = KeyStats(found[i]["n_ids"] if i in found else 0, table)
+        seen = found.get(i)
+        out[key] = KeyStats(seen["n_ids"], table, seen["rows"]) if seen else KeyStats(0, table)
+    discard(counts)
     return out
 
 

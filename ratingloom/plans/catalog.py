@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom.functions import vectors as V
@@ -13,6 +13,7 @@ from ratingloom.operators import clusters as C
 from ratingloom.operators import evaluate as E
 from ratingloom.operators import linalg as L
 from ratingloom.operators import ppc, prepare, rm2
+from ratingloom.operators.matrix import RatingMatrix
 from ratingloom.operators.skew import key_stats
 from ratingloom.plans import pipeline, views
 from ratingloom.session import materialize, scratch_path
@@ -29,6 +30,7 @@ LAM = 0.5
 TOP = 10
 SAMPLE = 50_000
 ITERATIONS = 2
+DIGITS = 9  # of H before the argmax, so that SQL finds the same clusters
 
 events = views.ratings_events
 orders = views.ratings_orders
@@ -52,6 +54,14 @@ def parsed_blocks(spark, sf):
     return parse_blocks(spark, path).select("item", "user", "rating")
 
 
+def parsed_order(spark, sf):
+    """The arrival order of the parsed rows, user by user."""
+    path = views.write_block_files(events(spark, sf))
+    rows = parse_blocks(spark, path)
+    order = Window.partitionBy("user").orderBy("seq")
+    return rows.select("user", "item", F.row_number().over(order).alias("place"))
+
+
 def prepared_full(spark, sf):
     path = views.write_block_files(events(spark, sf))
     key = F.col("user").cast("bigint") * 31 + F.col("item")
@@ -98,10 +108,17 @@ def init_h(spark, sf):
     return L.long_form(start(spark, sf)[1], "user", digits=9)
 
 
+def multiplied(ratings, factors, side):
+    """The ratings matrix times start factors, by the path that the factorisation takes."""
+    with RatingMatrix(ratings) as matrix:
+        product = matrix.by_user if side == "user" else matrix.by_item
+        return materialize(product(factors, K), "product")
+
+
 def ppc_x(view):
     def query(spark, sf):
         ratings, _, w = start(spark, sf, view)
-        return L.long_form(L.weighted_sum(ratings, w, "item", "user", K), "user")
+        return L.long_form(multiplied(ratings, w, "user"), "user")
 
     return query
 
@@ -109,7 +126,7 @@ def ppc_x(view):
 def ppc_s(view):
     def query(spark, sf):
         ratings, h, _ = start(spark, sf, view)
-        return L.long_form(L.weighted_sum(ratings, h, "user", "item", K), "item")
+        return L.long_form(multiplied(ratings, h, "item"), "item")
 
     return query
 
@@ -134,7 +151,8 @@ def times_gram(which, other, id_col):
 def updated_h(variant):
     def query(spark, sf):
         ratings, h, w = start(spark, sf)
-        return L.long_form(ppc.half_step_h(ratings, h, w, K, variant=variant), "user", digits=9)
+        x = multiplied(ratings, w, "user")
+        return L.long_form(ppc.update_h(h, x, L.gram(w, K), K, variant=variant), "user", digits=9)
 
     return query
 
@@ -142,7 +160,8 @@ def updated_h(variant):
 def updated_w(spark, sf):
     """The W update alone, from the start matrices."""
     ratings, h, w = start(spark, sf)
-    return L.long_form(ppc.half_step_w(ratings, h, w, K), "item", digits=9)
+    s = multiplied(ratings, h, "item")
+    return L.long_form(ppc.update_w(w, s, L.gram(h, K), K), "item", digits=9)
 
 
 def fitted(spark, sf, ratings=None, **options):
@@ -167,7 +186,7 @@ def ppc_delta(spark, sf):
 
 def clusters(spark, sf, ratings=None):
     factors = fitted(spark, sf, ratings, max_iter=ITERATIONS)
-    return C.assign_clusters(factors.h, digits=9)
+    return C.assign_clusters(factors.h, DIGITS)
 
 
 def flat_ratings(spark, sf):
@@ -185,7 +204,7 @@ def flat_totals(spark, sf):
 
 def probs(spark, sf, ratings=None):
     ratings = events(spark, sf) if ratings is None else ratings
-    return pipeline.fit_probs(ratings, LAM, k=K, max_iter=ITERATIONS)
+    return pipeline.fit_probs(ratings, LAM, DIGITS, k=K, max_iter=ITERATIONS)
 
 
 def user_item_prob(spark, sf):
@@ -233,9 +252,10 @@ def topk_cluster(spark, sf):
 
 def topk_user_cluster(spark, sf):
     """The list of the cluster that holds the user with the lowest id."""
-    found = materialize(rm2.rm2_scores(train_probs(spark, sf), digits=6), "scores")
+    found = train_probs(spark, sf)
     user = found.agg(F.min("user").alias("user"))
-    return E.topk_per_cluster(E.clusters_of(found, user), TOP)
+    mine = materialize(E.clusters_of(found, user), "cluster-probs")
+    return E.topk_per_cluster(rm2.rm2_scores(mine, digits=6), TOP)
 
 
 def topk_items(spark, sf):
@@ -247,6 +267,31 @@ def relevant(spark, sf):
     return E.relevant_items(prepare.split(events(spark, sf))[1])
 
 
+def topk_unseen(spark, sf):
+    """Lists without the items that the user has a training rating for."""
+    found = rm2.rm2_scores(train_probs(spark, sf), top=TOP, digits=6, exclude_seen=True)
+    return E.topk_per_user(found, TOP)
+
+
+def relevant_unseen(spark, sf):
+    train, test = prepare.split(events(spark, sf))
+    return E.relevant_items(test, train=train)
+
+
+def mean_precision_unseen(spark, sf):
+    per_user = E.precision_per_user(topk_unseen(spark, sf), relevant_unseen(spark, sf), TOP)
+    return rounded(E.precision_at_k(per_user), 9, "precision_at_k")
+
+
+def recommend_triples(spark, sf):
+    """The whole job from triples without an arrival order: write, read, factorise, rank."""
+    path = scratch_path(spark, "triples")
+    sinks.write_triples(events(spark, sf), path)
+    return pipeline.recommend(
+        read_triples(spark, path), TOP, LAM, DIGITS, score_digits=6, k=K, max_iter=ITERATIONS
+    )
+
+
 def user_precision(spark, sf):
     return rounded(
         E.precision_per_user(topk(spark, sf), relevant(spark, sf), TOP), 6, "precision"
@@ -330,6 +375,11 @@ QUERIES: dict[str, Query] = {
     "relevant_items": relevant,
     "precision_per_user": user_precision,
     "precision_at_k": mean_precision,
+    "topk_unseen": topk_unseen,
+    "relevant_items_unseen": relevant_unseen,
+    "precision_at_k_unseen": mean_precision_unseen,
+    "recommend_triples": recommend_triples,
+    "parse_blocks_order": parsed_order,
     "vector_gram": vector_gram,
     "vector_argmax": vector_argmax,
     "vector_norm": vector_norm,

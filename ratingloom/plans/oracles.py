@@ -5,7 +5,6 @@ from __future__ import annotations
 from ratingloom.functions import vectors as V
 from ratingloom.operators import ppc, prepare
 from ratingloom.plans.catalog import ITERATIONS, K, LAM, SAMPLE, TOP
-from ratingloom.plans.views import BLOCK_FILES
 
 EVENTS = """ratings AS MATERIALIZED (
   SELECT CAST(json_extract_string(props, '$.k') AS INT) AS item, CAST(user_id AS INT) AS "user",
@@ -37,8 +36,9 @@ def uniform(name: str, id_col: str, seed: int) -> str:
     return f"""{name} AS MATERIALIZED (
   SELECT {id_col}, CAST(j AS INT) AS j,
          ((x * x * {V.INIT_SQUARE} + x * {V.INIT_CROSS} * (j + 1) + j * {V.INIT_COLUMN}
-           + {seed * V.INIT_SEED}) % {V.INIT_MODULUS} + 1) / CAST({V.INIT_MODULUS + 1} AS DOUBLE) AS v
-  FROM (SELECT DISTINCT {id_col}, CAST({id_col} AS BIGINT) % {V.INIT_MODULUS} AS x FROM ratings)
+           + {seed * V.INIT_SEED} + q * {V.INIT_WRAP}) % {V.INIT_MODULUS} + 1) / CAST({V.INIT_MODULUS + 1} AS DOUBLE) AS v
+  FROM (SELECT DISTINCT {id_col}, CAST({id_col} AS BIGINT) % {V.INIT_MODULUS} AS x,
+          CAST({id_col} AS BIGINT) // {V.INIT_MODULUS} % {V.INIT_MODULUS} AS q FROM ratings)
   CROSS JOIN (SELECT range AS j FROM range({K})))"""
 
 
@@ -138,6 +138,13 @@ ranked AS (SELECT "user", item, log_score, CAST(row_number() OVER (
     PARTITION BY "user" ORDER BY log_score DESC, item) AS INT) AS rank FROM scores),
 topk AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= {TOP})"""
 
+TOPK_UNSEEN = TOPK.replace('AS rank FROM scores)', """AS rank FROM scores s
+  WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r."user" = s."user" AND r.item = s.item))""")
+
+RELEVANT_UNSEEN = f"""relevant AS (SELECT DISTINCT "user", item FROM everything e WHERE NOT ({SLOT})
+  AND NOT EXISTS (SELECT 1 FROM everything t WHERE t."user" = e."user" AND t.item = e.item
+                  AND {SLOT.replace('seq', 't.seq')}))"""
+
 RELEVANT = f"""relevant AS (SELECT DISTINCT "user", item FROM everything WHERE NOT ({SLOT}))"""
 
 PRECISION = f"""{TOPK},
@@ -147,6 +154,12 @@ per_user AS (
   FROM topk t LEFT JOIN relevant r ON t."user" = r."user" AND t.item = r.item GROUP BY t."user")"""
 
 
+PRECISION_UNSEEN = PRECISION.replace(TOPK, TOPK_UNSEEN).replace(RELEVANT, RELEVANT_UNSEEN)
+
+#: Without an arrival order the highest rating of a pair counts as its last.
+TOPK_TRIPLES = TOPK.replace("arg_max(rating, seq) AS rating, min(seq)", "max(rating) AS rating, NULL")
+
+
 def matrix(table: str, id_col: str, digits: int = 6) -> str:
     return f"SELECT {id_col}, j, round(v, {digits}) + 0.0::DOUBLE AS v FROM {table}"
 
@@ -167,8 +180,8 @@ FROM ratings r JOIN item_index i ON r.item = i.item JOIN user_index u ON r."user
 {where}"""
 
 
-BLOCK_ORDER = f"""ratings AS MATERIALIZED (SELECT item, "user", rating,
-    row_number() OVER (ORDER BY item % {BLOCK_FILES}, item, seq) AS seq FROM raw)"""
+BLOCK_ORDER = """ratings AS MATERIALIZED (SELECT item, "user", rating,
+    row_number() OVER (ORDER BY item, seq) AS seq FROM raw)"""
 
 TOP_CLUSTER = """pairs_c AS (SELECT DISTINCT cluster, item, log_score FROM scores),
 ranked_c AS (SELECT cluster, item, log_score, CAST(row_number() OVER (
@@ -276,6 +289,17 @@ ORACLES: dict[str, str] = {
         'SELECT "user", hits, round(precision, 6) AS precision FROM per_user', TRAIN, PRECISION),
     "precision_at_k": sql(
         "SELECT round(avg(precision), 9) AS precision_at_k FROM per_user", TRAIN, PRECISION),
+    "topk_unseen": sql("SELECT * FROM topk", TRAIN, TOPK_UNSEEN),
+    "relevant_items_unseen": sql(
+        'SELECT "user", item FROM relevant', EVENTS.replace("ratings AS", "everything AS"),
+        RELEVANT_UNSEEN),
+    "precision_at_k_unseen": sql(
+        "SELECT round(avg(precision), 9) AS precision_at_k FROM per_user", TRAIN,
+        PRECISION_UNSEEN),
+    "recommend_triples": sql("SELECT * FROM topk", EVENTS, TOPK_TRIPLES),
+    "parse_blocks_order": sql(
+        '''SELECT "user", item, CAST(row_number() OVER (PARTITION BY "user" ORDER BY item, seq) AS INT)
+        AS place FROM ratings''', EVENTS),
     "vector_gram": sql(
         "SELECT CAST(a.j * 64 + b.j AS INT) AS pos, round(sum(a.v * b.v), 6) + 0.0::DOUBLE AS v "
         "FROM vectors a JOIN vectors b ON a.id = b.id GROUP BY a.j, b.j", VECTORS),

@@ -30,7 +30,7 @@ def prepare_full(
 
 
 def prepare_small(
-    ratings: DataFrame, n: int = 50_000, train_percent: int = prepare.TRAIN_PERCENT,
+    ratings: DataFrame, n: int, train_percent: int = prepare.TRAIN_PERCENT,
     method: str = "arith",
 ) -> tuple[DataFrame, DataFrame]:
     """First n ratings, both ids re-indexed, split: ``(train, test)``."""
@@ -53,9 +53,13 @@ def fit_clusters(
     return Model(factors, C.assign_clusters(factors.h, digits))
 
 
-def fit_probs(ratings: DataFrame, lam: float = 0.5, digits: int | None = 9, **options) -> DataFrame:
+def fit_probs(
+    ratings: DataFrame, lam: float = 0.5, digits: int | None = None, **options
+) -> DataFrame:
     """Factorise, cluster, and smooth: the table of p(i|u) that scoring starts from.
 
+    Clusters are the exact argmax of H, unless ``digits`` rounds H first.
+
     Both halves read one rating matrix, so the ratings are shuffled once in the whole job.
     """
     with RatingMatrix(ratings) as matrix:
@@ -63,8 +67,15 @@ def fit_probs(ratings: DataFrame, lam: float = 0.5, digits: int | None = 9, **op
 
 
 def recommend(
-    ratings: DataFrame, top: int = 10, lam: float = 0.5, digits: int | None = None, **options
+    ratings: DataFrame, top: int = 10, lam: float = 0.5, digits: int | None = None,
+    score_digits: int | None = None, exclude_seen: bool = False, **options
 ) -> DataFrame:
-    """Factorise, cluster, score and rank: ``(user, item, log_score, rank)``."""
-    scores = rm2.rm2_scores(fit_probs(ratings, lam, **options), top=top, digits=digits)
+    """Factorise, cluster, score and rank: ``(user, item, log_score, rank)``.
+
+    Works on ratings with or without ``seq``. ``digits`` rounds H before the argmax and
+    ``score_digits`` the scores before ranking; both are exact by default. ``exclude_seen`` leaves out
+    items that the user has rated.
+    """
+    probs = fit_probs(ratings, lam, digits, **options)
+    scores = rm2.rm2_scores(probs, top=top, digits=score_digits, exclude_seen=exclude_seen)
     return evaluate.topk_per_user(scores, top)

@@ -11,8 +11,6 @@ from ratingloom.session import scratch_path
 EVENT_RATINGS = {"error": 1, "view": 2, "click": 3, "signup": 4}
 OTHER_RATING = 5
 
-BLOCK_FILES = 4
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,22 +50,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_block_files(ratings: DataFrame, label: str = "blocks") -> str:
-    """Write ratings as block text, one folder per ``item % BLOCK_FILES``; returns the path."""
+    """Write ratings as block text in the order of (item, seq); returns the path.
+
+    The files take ranges of items, so that their names are in item order, however many there are.
+    """
     path = scratch_path(ratings.sparkSession, label)
-    part = F.pmod("item", F.lit(BLOCK_FILES)).alias("part")
     heads = ratings.select("item").distinct().select(
-        part, "item", F.lit(-1).cast("bigint").alias("seq"),
+        "item", F.lit(-1).cast("bigint").alias("seq"),
         F.concat(F.col("item").cast("string"), F.lit(":")).alias("value"),
     )
     lines = ratings.select(
-        part, "item", "seq", F.concat_ws(",", "user", "rating", F.lit("2005-01-01")).alias("value")
+        "item", "seq", F.concat_ws(",", "user", "rating", F.lit("2005-01-01")).alias("value")
     )
     (
-        heads.union(lines)
-        .repartition(BLOCK_FILES, "part")
-        .sortWithinPartitions("part", "item", "seq")
-        .select("part", "value")
-        .write.partitionBy("part")
-        .text(path)
+        heads.union(lines).repartitionByRange("item").sortWithinPartitions("item", "seq")
+        .select("value").write.text(path)
     )
     return path

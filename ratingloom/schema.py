@@ -1,4 +1,4 @@
-"""The canonical columns of the library."""
+"""The canonical columns of the library. Ratings may also have ``seq``, a row's arrival order."""
 
 from pyspark.sql import types as T
 
@@ -10,6 +10,3 @@ TRIPLE = T.StructType(
         T.StructField("rating", T.IntegerType()),
     ]
 )
-
-#: Canonical ratings. ``seq`` is the arrival order of a row.
-RATINGS = T.StructType(TRIPLE.fields + [T.StructField("seq", T.LongType())])

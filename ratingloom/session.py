@@ -41,6 +41,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of scratch tables that nothing reads any more.
+
+    Only files in the scratch folder are touched.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        root = f"{scratch_root(spark)}/ratingloom/".split("://")[-1].split(":", 1)[-1].lstrip("/")
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if root in name:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,20 +19,33 @@ def read_triples(
 ) -> DataFrame:
     """Read one file, many files or a glob of triples.
 
-    A bad line fails the job, unless ``mode`` is ``PERMISSIVE``, which keeps its text in
-    ``corrupt_column``. ``id_offset`` is added to both ids (-1 turns 1-based ids to 0-based).
-    ``with_seq`` adds an arrival order from the file, the block and the place in the block.
+    A line that has not three whole numbers fails the job, whichever columns are asked for, unless
+    ``mode`` is ``PERMISSIVE``, which keeps its text in ``corrupt_column``. ``id_offset`` is added to
+    both ids (-1 turns 1-based ids to 0-based). ``with_seq`` adds an arrival order from the file, the
+    block and the place in the block.
     """
-    schema = TRIPLE
-    if mode.upper() == "PERMISSIVE":
-        schema = T.StructType(TRIPLE.fields + [T.StructField(corrupt_column, T.StringType())])
-    df = spark.read.schema(schema).csv(
-        path, header=False, mode=mode, columnNameOfCorruptRecord=corrupt_column
+    permissive = mode.upper() == "PERMISSIVE"
+    names = TRIPLE.fieldNames()
+    fields = [T.StructField(f"_{n}", T.StringType()) for n in (*names, "line")]
+    df = spark.read.schema(T.StructType(fields)).csv(
+        path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_line"
     )
     if with_seq:
         from ratingloom.sources.blocks import arrival_order
 
         df = arrival_order(df)
-    for name in ("item", "user") if id_offset else ():
-        df = df.withColumn(name, (F.col(name) + id_offset).cast("int"))
-    return df
+    line = F.coalesce("_line", F.concat_ws(",", *[F.coalesce(f"_{n}", F.lit("")) for n in names]))
+    values = {n: F.col(f"_{n}").try_cast("int") for n in names}
+    bad = F.col("_line").isNotNull()
+    for value in values.values():
+        bad = bad | value.isNull()
+    if not permissive:
+        # In a filter, so that no choice of columns can prune the check away.
+        df = df.where(
+            F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), line)).cast("boolean"))
+            .otherwise(F.lit(True))
+        )
+    shift = {"item": id_offset, "user": id_offset, "rating": 0}
+    columns = [(v + shift[n]).cast("int").alias(n) for n, v in values.items()]
+    columns += [F.when(bad, line).alias(corrupt_column)] if permissive else []
+    return df.select(*columns, *(["seq"] if with_seq else []))

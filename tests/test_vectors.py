@@ -27,7 +27,7 @@ def test_algebra(data):
     assert np.allclose(values(df, V.dot("a", "b", k)), (a * b).sum(1))
     assert np.allclose(values(df, V.scale("2.5D", "a", k)), a * 2.5)
     assert np.allclose(values(df, V.combine("a", "b", k, V.multiply)), a * b)
-    assert np.allclose(values(df, V.combine("a", "b", k, V.add)), a + b)
+    assert np.allclose(values(df, V.combine("a", "b", k, lambda p, q: f"({p} + {q})")), a + b)
     assert np.allclose(values(df, V.combine("a", "b", k, V.safe_divide)), a / b)
     assert np.allclose(values(df, V.row_sum("a", k)), a.sum(1))
     assert (values(df, V.argmax("a")) == a.argmax(1)).all()
@@ -67,12 +67,12 @@ def test_argmax_tie_goes_to_the_lowest(spark):
 
 @pytest.mark.parametrize("k", [4, 20, 70])
 def test_start_vectors(spark, k):
-    ids = spark.createDataFrame([(i,) for i in (0, 1, 5, 999_999_999, 2_147_483_647)], "id int")
+    ids = spark.createDataFrame([(i,) for i in (0, 1, 5, 1_000_008, 999_999_999, 2_147_483_647)], "id int")
     rows = L.init_factors(ids, "id", k, 7).collect()
     for r in rows:
-        x = r["id"] % 1000003
-        want = [((x * x * 31 + x * 7919 * (j + 1) + j * 104729 + 7 * 31) % 1000003 + 1) / 1000004.0
-                for j in range(k)]
+        q, x = divmod(r["id"], 1000003)
+        terms = [x * x * 31 + x * 7919 * (j + 1) + j * 104729 + 7 * 31 + q * 611953 for j in range(k)]
+        want = [(t % 1000003 + 1) / 1000004.0 for t in terms]
         assert np.allclose(r["v"], want)
         assert all(0 < v < 1 for v in r["v"])
     for method in ("arith", "rand"):

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingloom.llm.common import hash48, ship, slices, table_of, texts
+from ratingloom.llm.common import hash48, ship, slices, small, table_of, texts
+from ratingloom.session import materialize
 
 ship(__name__)
 
@@ -66,8 +67,8 @@ def subwords(documents: list[bytes], table: bytes) -> Iterator[tuple[np.ndarray,
         if size not in SIZES:
             continue
         n = len(value)
-        good = ~(space[:n] & space[size - 1 :])
-        for k in range(1, size - 1):
+        good = ~space[1 : 1 + n] if size > 2 else ~(space[:n] & space[1:])
+        for k in range(2, size - 1):
             good &= ~space[k : k + n]
         at = np.flatnonzero(good)
         hashed = (value[at] + np.uint32(size)) * np.uint32(2654435769)
@@ -128,6 +129,7 @@ def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
         F.col(label).alias("_label"),
         (F.lit(float(rows)) / F.count(F.lit(1)).over(Window.partitionBy()) / F.col("n")).alias("_share"),
     )
+    shares = small(materialize(shares, "shares"))  # a row per label: the texts stay where they are
     place = hash48(F.concat_ws("/", F.lit("sample"), F.col("doc_id").cast("string"))) / F.lit(float(1 << 48))
     return known.join(shares, F.col(label) == F.col("_label")).where(place < F.col("_share")).drop("_label", "_share")
 

@@ -75,6 +75,8 @@ def pair_sums(users, items, probs, leads=None, follows=None, cells=CELLS, dense_
     partners = np.diff(begins)[owner[lead]]
     height, width = len(rows), len(cols)
     work = float(partners.sum())
+    if work == 0:
+        return
     if n * (height + width) <= 4 * cells and n * height * width <= dense_gain * work:
         first, second = np.zeros((n, height)), np.zeros((n, width))
         first[owner[lead], row] = probs[lead]
@@ -116,6 +118,8 @@ def add_up(batches, limit=CELLS):
         key, total = merge()
         keep = total != 0
         key, total = key[keep], total[keep]
+        if len(key) == 0:
+            return
         yield (key >> 32).astype(np.int32), key.astype(np.uint32).view(np.int32), total
 
 

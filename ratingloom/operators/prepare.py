@@ -97,13 +97,13 @@ def split(
     ratings: DataFrame,
     train_percent: int = TRAIN_PERCENT,
     key: Column | str = "seq",
-    method: str = "arith",
+    method: str = "hash",
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test rows. Each row decides from its own key, so both sides are plain filters.
 
-    ``arith`` is a repeatable rule any SQL engine can check, ``hash`` a better mixed one with a
-    seed; ``random`` is Spark's ``randomSplit``.
+    ``hash`` mixes the key with a seed. ``arith`` is a rule on the key's remainder that any SQL engine
+    can check, biased where the key has a period; ``random`` is Spark's ``randomSplit``.
     """
     if method == "random":
         weights = [train_percent / 100, 1 - train_percent / 100]

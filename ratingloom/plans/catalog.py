@@ -65,17 +65,22 @@ def parsed_order(spark, sf):
 def prepared_full(spark, sf):
     path = views.write_block_files(events(spark, sf))
     key = F.col("user").cast("bigint") * 31 + F.col("item")
-    train, _ = pipeline.prepare_full(spark, path, key=key)
+    train, _ = pipeline.prepare_full(spark, path, key=key, method="arith")
     return train.select("item", "user", "rating")
 
 
 def prepared_small(spark, sf):
-    train, _ = pipeline.prepare_small(events(spark, sf), SAMPLE)
+    train, _ = pipeline.prepare_small(events(spark, sf), SAMPLE, method="arith")
     return train
 
 
+def halves(spark, sf):
+    """Training and test ratings, by the rule that SQL can repeat."""
+    return prepare.split(events(spark, sf), method="arith")
+
+
 def split_part(part):
-    return lambda spark, sf: prepare.split(events(spark, sf))[part]
+    return lambda spark, sf: halves(spark, sf)[part]
 
 
 # --- factorisation
@@ -239,7 +244,7 @@ def dense(spark, sf):
 
 
 def train_probs(spark, sf):
-    return probs(spark, sf, prepare.split(events(spark, sf))[0])
+    return probs(spark, sf, halves(spark, sf)[0])
 
 
 def topk(spark, sf):
@@ -264,7 +269,7 @@ def topk_items(spark, sf):
 
 
 def relevant(spark, sf):
-    return E.relevant_items(prepare.split(events(spark, sf))[1])
+    return E.relevant_items(halves(spark, sf)[1])
 
 
 def topk_unseen(spark, sf):
@@ -274,7 +279,7 @@ def topk_unseen(spark, sf):
 
 
 def relevant_unseen(spark, sf):
-    train, test = prepare.split(events(spark, sf))
+    train, test = halves(spark, sf)
     return E.relevant_items(test, train=train)
 
 

@@ -15,7 +15,7 @@ from ratingloom.sources.blocks import parse_blocks
 
 def prepare_full(
     spark: SparkSession, path: str | list[str], columns: tuple[str, ...] = ("user", "item"),
-    train_percent: int = prepare.TRAIN_PERCENT, key: Column | str = "seq", method: str = "arith",
+    train_percent: int = prepare.TRAIN_PERCENT, key: Column | str = "seq", method: str = "hash",
 ) -> tuple[DataFrame, DataFrame]:
     """Parse block files, re-index densely, split: ``(train, test)``.
 
@@ -31,7 +31,7 @@ def prepare_full(
 
 def prepare_small(
     ratings: DataFrame, n: int, train_percent: int = prepare.TRAIN_PERCENT,
-    method: str = "arith",
+    method: str = "hash",
 ) -> tuple[DataFrame, DataFrame]:
     """First n ratings, both ids re-indexed, split: ``(train, test)``."""
     sample = materialize(prepare.first_n(ratings, n), "sample")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingloom.llm.common import ship, slices, table_of
+from ratingloom.llm.common import ship, slices, small_batches, table_of
 
 ship(__name__)
 
@@ -110,7 +110,7 @@ def encode(
             ids = pa.array([b"".join(runs) for runs in batch.column("runs").to_pylist()], pa.binary())
             yield finish(pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"]))
 
-    short = rows.where(~long).mapInArrow(whole, schema)
+    short = small_batches(rows.where(~long)).mapInArrow(whole, schema)
     runs = _encode_runs(_stitch(_chunks(rows.where(long), chunk, overlap), overlap), path)
     whole_again = runs.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),

@@ -32,6 +32,24 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+#: Bytes of texts that pass between Spark and Python at once, unless the session sets its own.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = 64 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session send texts to Python in batches of ``BATCH_BYTES``; returns ``df``.
+
+    The setting holds for the session, as Spark reads it when a job starts. By default a batch has 64
+    MB, which every task keeps on both sides, and more than once.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) in (f"{_BATCH_DEFAULT}b", "64m", "64MB", str(_BATCH_DEFAULT)):
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -44,6 +62,18 @@ def slices(
         starts = np.flatnonzero(np.diff(run, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -70,17 +100,19 @@ def map_texts(
         for part in slices(batches, column):
             yield work(part)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
-def filter_rows(df: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+def filter_rows(
+    df: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], limit: int = SLICE_BYTES
+) -> DataFrame:
     """Keep the rows for which ``work`` says so; all columns stay, whatever their names."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=limit):
             yield part.filter(pa.array(work(part)))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingloom.llm.common import hash48, ship, slices, small, table_of, texts
+from ratingloom.llm.common import hash48, ship, slices, small, small_batches, table_of, texts
 from ratingloom.session import materialize
 
 ship(__name__)
@@ -163,7 +163,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 11) -> Model | No
 
     chosen = sample(docs.select("doc_id", "text", "lang"), "lang", rows)
     chosen = chosen.select(hash48(F.col("doc_id")).alias("place"), "lang", F.col("text").cast("string"))
-    found = chosen.mapInArrow(work, schema).toArrow()
+    found = small_batches(chosen).mapInArrow(work, schema).toArrow()
     if found.num_rows == 0:
         return None
     order = np.argsort(found.column("place").to_numpy(), kind="stable")
@@ -246,7 +246,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 score=pa.array(np.clip(score, 0, 1)), rejected=pa.array(rejected | ~readable),
             )
 
-    return rows.mapInArrow(work, PREDICTED)
+    return small_batches(rows).mapInArrow(work, PREDICTED)
 
 
 def identify(docs: DataFrame, parts: int = 5, rest: int = 0) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.common import components, map_texts, ship, small, table_of, texts
+from ratingloom.llm.common import components, map_texts, ship, small, small_batches, table_of, texts
 from ratingloom.session import materialize
 
 ship(__name__)
@@ -281,7 +281,7 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> Data
             if len(found):
                 yield table_of(schema, a=found[:, 0], b=found[:, 1])
 
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return small_batches(tiles).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

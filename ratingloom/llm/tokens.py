@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom.llm.bpe import vocabulary
-from ratingloom.llm.common import ship, slices, small
+from ratingloom.llm.common import ship, slices, small, small_batches
 from ratingloom.session import materialize, scratch_path
 
 ship(__name__)
@@ -209,7 +209,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None) -> Non
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FILE.split(", ")])
 
     (
-        ordered.mapInArrow(run, FILE)
+        small_batches(ordered).mapInArrow(run, FILE)
         .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.row.index.stride", ROWS_PER_INDEX)

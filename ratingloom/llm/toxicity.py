@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.common import filter_rows, hash48, ship, slices, table_of, texts
+from ratingloom.llm.common import filter_rows, hash48, ship, slices, small_batches, table_of, texts
 from ratingloom.llm.langid import is_held_out, sample
 
 ship(__name__)
@@ -42,7 +42,7 @@ CHAR_BUCKETS = 1 << 13
 #: Words of the training vocabulary: seen in this many texts at least, the most frequent ones first.
 LEAST_TEXTS, VOCABULARY = 3, 20_000
 #: Words whose inputs a task remembers before it starts anew.
-MEMORY = 150_000
+MEMORY = 50_000
 #: Windows that run through the network together.
 TOGETHER = 1024
 THRESHOLD = 0.7
@@ -437,7 +437,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
             found = scorer.scores([words_of(t) for t in texts(part.column("text"))])
             yield table_of(schema, doc_id=part.column("doc_id"), score=pa.array(found))
 
-    return rows.mapInArrow(work, schema)
+    return small_batches(rows).mapInArrow(work, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, rest: int = 1) -> DataFrame:
@@ -461,4 +461,4 @@ def keep(docs: DataFrame, labels: DataFrame, parts: int = 3, rest: int = 1) -> D
             held.append(Scorer(network))
         return held[0].scores([words_of(t) for t in texts(part.column("text"))]) < THRESHOLD
 
-    return filter_rows(docs, clean)
+    return filter_rows(docs, clean, limit=1 << 20)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingloom.llm.common import ship, slices, table_of, texts
+from ratingloom.llm.common import ship, slices, small_batches, table_of, texts
 from ratingloom.session import materialize, scratch_path
 
 ship(__name__)
@@ -137,7 +137,7 @@ def write(pages: DataFrame, path: str) -> DataFrame:
             bytes=pa.array([d[2] for d in done], pa.int64()),
         )
 
-    manifest = mark_revisits(pages).mapInArrow(run, "path string, records long, bytes long")
+    manifest = small_batches(mark_revisits(pages)).mapInArrow(run, "path string, records long, bytes long")
     return materialize(manifest, "warc-manifest")
 
 

@@ -109,12 +109,14 @@ def signals(docs: DataFrame, host: Column | str = "source") -> DataFrame:
 def verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """One row per host: ``(host, n_docs, n_failed, rate, rejected)`` with the shrunk rate.
 
-    The beta prior comes from all hosts: with ``m`` the pooled failure rate and ``rho`` the moment
-    estimate of the correlation inside hosts, it weighs ``1/rho - 1`` documents.
+    The counts of the hosts are written when this is called, and the beta prior is read from them:
+    with ``m`` the pooled failure rate and ``rho`` the moment estimate of the correlation inside hosts,
+    it weighs ``1/rho - 1`` documents.
     """
     hosts = measured.where("host IS NOT NULL").groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
     )
+    hosts = materialize(hosts, "hosts")
     n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     prior = hosts.agg(
         F.count(F.lit(1)).cast("double").alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"),
@@ -129,11 +131,10 @@ def verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
         f"CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, {PRIOR_LEAST}D), {PRIOR_MOST}D)"
         f" ELSE {PRIOR_MOST}D END AS weight",
     )
-    rate = (F.col("n_failed") + F.col("weight") * F.col("mean")) / (F.col("n_docs") + F.col("weight"))
-    return (
-        hosts.join(F.broadcast(prior))  # one row
-        .withColumn("rate", rate)
-        .select("host", "n_docs", "n_failed", "rate", (F.col("rate") > max_rate).alias("rejected"))
+    mean, weight = (F.lit(x).cast("double") for x in prior.first())  # two numbers
+    rate = (F.col("n_failed") + weight * mean) / (F.col("n_docs") + weight)
+    return hosts.withColumn("rate", rate).select(
+        "host", "n_docs", "n_failed", "rate", (F.col("rate") > max_rate).alias("rejected")
     )
 
 

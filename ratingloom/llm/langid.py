@@ -121,9 +121,10 @@ def excerpts(text: bytes) -> list[bytes]:
 def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
     """About ``rows`` rows with a label, the same number of each label where there are enough.
 
-    A row is in the sample if the hash of its id is small enough, so reruns agree.
+    An id is in the sample if its hash is small enough, so reruns agree. Of rows that repeat an id the
+    smallest is taken, and rows without an id are not, so one id cannot fill the sample.
     """
-    known = docs.where(F.col(label).isNotNull())
+    known = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     shares = counts.select(
         F.col(label).alias("_label"),
@@ -131,7 +132,10 @@ def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
     )
     shares = small(materialize(shares, "shares"))  # a row per label: the texts stay where they are
     place = hash48(F.concat_ws("/", F.lit("sample"), F.col("doc_id").cast("string"))) / F.lit(float(1 << 48))
-    return known.join(shares, F.col(label) == F.col("_label")).where(place < F.col("_share")).drop("_label", "_share")
+    chosen = known.join(shares, F.col(label) == F.col("_label")).where(place < F.col("_share"))
+    others = [c for c in docs.columns if c != "doc_id"]
+    least = chosen.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_row"))
+    return least.select("doc_id", *[F.col(f"_row.{c}") for c in others])
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 11) -> Model | None:

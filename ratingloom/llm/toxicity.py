@@ -411,11 +411,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network
     """Fit on a sample of the labelled documents, the same number of each label where possible."""
     toxic = F.when(F.col("toxic").isin(0, 1), F.col("toxic")).cast("int")
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), toxic.alias("toxic"))
-    marks = sample(marks.where("doc_id IS NOT NULL AND toxic IS NOT NULL"), "toxic", rows)
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # bounded by the sample
+    marks = sample(marks.where("toxic IS NOT NULL"), "toxic", rows)
     texts_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
     found = (
-        texts_of.join(F.broadcast(marks), "doc_id")
+        texts_of.join(F.broadcast(marks), "doc_id")  # at most the sample
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
         .select("doc_id", "text", "toxic", hash48(F.col("doc_id")).alias("place")).toArrow()
     )
     found = found.take(pa.array(np.lexsort((found.column("doc_id").to_numpy(), found.column("place").to_numpy()))))

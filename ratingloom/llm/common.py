@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.session import materialize
+from ratingloom.session import discard, materialize
 
 #: A table is broadcast only when it has been counted and has at most this many narrow rows.
 BROADCAST_ROWS = 1_000_000
@@ -120,24 +120,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a scratch table that nothing reads any more."""
-    hadoop = spark._jsc.hadoopConfiguration()
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(hadoop).delete(path, True)
+def _renamed(column: str) -> Column:
+    """A grouped key as a new column ``key``. Spark then deals both sides of a join by it afresh,
+    and can split a large partition, where it would else keep the partitions of the grouping."""
+    return F.col(column).bitwiseXOR(F.lit(0)).alias("key")
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)``, the smallest node of each.
 
     Alternating large-star and small-star passes until nothing changes. Minima are combined before
-    the shuffle and joined from written tables, so a node with very many edges is met by a broadcast
-    or split by the skew join, and is never a group.
+    the shuffle, and the skew join splits a node with very many edges, so no node is a group.
     Nodes without an edge are absent; an empty table gives an empty table. Each pass is a written
     table, so a lost executor repeats one pass at most.
     """
-    spark = edges.sparkSession
     pairs = edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
@@ -154,17 +150,14 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
         before = seen
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = materialize(least.select("a", F.least("a", "m").alias("m")), label)
-        large = both.join(small(least), "a").where("b > a AND b > m").select(
-            F.col("b").alias("a"), F.col("m").alias("b")
-        )
-        large = materialize(large.distinct(), label)
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), label)
-        linked = large.join(small(low), "a")
+        least = least.select(_renamed("a"), F.least("a", "m").alias("m"))
+        up = now.select(F.col("b").alias("key"), F.col("a").alias("node"))
+        large = up.join(least, "key").where("node > m").select("node", F.col("m").alias("b")).distinct()
+        low = large.groupBy("node").agg(F.min("b").alias("m"))
+        linked = large.withColumnRenamed("node", "key").join(low.select(_renamed("node"), "m"), "key")
         star = linked.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        fresh = materialize(star.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
-        for old in (now, least, large, low):
-            forget(spark, old)
+        fresh = materialize(star.union(low.select("node", F.col("m").alias("b"))).distinct(), label)
+        discard(now)
         now = fresh
 
 

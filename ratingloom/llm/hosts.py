@@ -35,6 +35,17 @@ PRIOR_LEAST, PRIOR_MOST = 1.0, 10_000.0
 SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def window_hashes(ids: np.ndarray, n: int, width: int) -> np.ndarray:
+    """A 64-bit hash of each of the first ``n`` windows of a list of numbers."""
+    mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        key = key * np.uint64(0xBF58476D1CE4E5B9) + mixed[k : k + n]
+        key ^= key >> np.uint64(31)
+    return key
+
+
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Number of words that lie in a window of ``width`` words found at least twice."""
     n = len(words) - width + 1
@@ -42,12 +53,7 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
         return 0
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint64, len(words))
-    mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    key = np.zeros(n, np.uint64)
-    for k in range(width):
-        key = key * np.uint64(0xBF58476D1CE4E5B9) + mixed[k : k + n]
-        key ^= key >> np.uint64(31)
+    key = window_hashes(ids, n, width)
     ordered = np.sort(key)
     if not (ordered[1:] == ordered[:-1]).any():
         return 0

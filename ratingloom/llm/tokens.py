@@ -9,7 +9,8 @@ shuffled. Each file carries, per document, its place in the file and the ids bef
 a sum per file turns these into the start in the whole corpus.
 
 Defined cases: a null text has the end id only; null document ids come first; rows with the same id
-are ordered by their texts; an empty table gives an empty result; other columns are ignored.
+are ordered by their texts; an empty table gives an empty result; other columns are ignored; the
+literal of a special token is its id, as the vocabulary file has it.
 """
 
 from __future__ import annotations
@@ -62,12 +63,16 @@ class Encoder:
     New pieces are joined again to be encoded together. A piece that starts with its only space
     starts with the only token of it that starts with a space, which tells the pieces' ids apart;
     all other pieces are encoded one by one.
+
+    With ``special`` the vocabulary's special tokens are read as the file has them, as in
+    ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: the literal ``<|endoftext|>``
+    is one id. They hold no white space, so no cut falls into one. Without it they are plain text.
     """
 
     #: Pieces that are encoded together.
     JOINED = 2_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import os
 
         import regex
@@ -75,7 +80,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task per core
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not special
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) ")
         space = self.model.encode(" ", add_special_tokens=False).tokens[0]
         self.spaced = np.zeros(self.model.get_vocab_size(), bool)
@@ -185,8 +190,13 @@ class Encoder:
         return table[at], np.diff(upto[ends], prepend=0)
 
 
-def write(docs: DataFrame, path: str, vocabulary_path: str | None = None) -> None:
-    """Encode the documents and write the token files, in ascending order of ``doc_id``."""
+def write(
+    docs: DataFrame, path: str, vocabulary_path: str | None = None, special: bool = True
+) -> None:
+    """Encode the documents and write the token files, in ascending order of ``doc_id``.
+
+    ``special=False`` encodes the literals of special tokens as plain text.
+    """
     vocabulary_path = vocabulary_path or vocabulary(VOCABULARY)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -195,7 +205,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None) -> Non
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        model, place, before = Encoder(vocabulary_path), 0, 0
+        model, place, before = Encoder(vocabulary_path, special), 0, 0
         for piece in slices(batches):
             ids, lengths = model.encode([t or "" for t in piece.column("text").to_pylist()])
             offsets = np.concatenate([[0], np.cumsum(lengths)])

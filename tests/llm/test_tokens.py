@@ -31,6 +31,38 @@ def test_pieces_are_the_library_s_ids():
         mine.forget()
 
 
+#: The literal of the vocabulary's special token: alone, glued to words, between spaces and marks.
+LITERALS = [
+    "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y", "a  <|endoftext|>  b", "<|endoftext|>.",
+    "end.<|endoftext|> Next, <|endoftext|>! <|endoftext|><|endoftext|> 1<|endoftext|>2.", " <|endoftext|>",
+    "a\n<|endoftext|>\n b", "<|endoftext|", "< |endoftext|>", "é<|endoftext|>\u3000 東京", "<|endoftext|> " * 99,
+]
+
+
+def test_literals_of_special_tokens_are_read_as_the_file_has_them(spark):
+    path = bpe.vocabulary(tokens.VOCABULARY)
+    model, mine = Tokenizer.from_file(path), tokens.Encoder(path, special=True)
+    rng = np.random.default_rng(4)
+    bits = ["<|endoftext|>", " ", "  ", "a", "word", ".", "!?", "\n", "é", "<|", "|>", "'s", "12", "\t"]
+    texts = LITERALS + ["".join(rng.choice(bits, rng.integers(1, 25))) for _ in range(3000)]
+    want = [model.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    for at in range(0, len(texts), 500):
+        ids, lengths = mine.encode(texts[at : at + 500])
+        ends = np.cumsum(lengths)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths)] == want[at : at + 500]
+    assert want[1] == [64, 220, 50256, 275, 2]
+    docs = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id bigint, text string")
+    start = 0
+    for r in tokens.round_trip(docs).orderBy("doc_id").collect():
+        ids = want[r.doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    plain = scratch_path(spark, "token-plain")
+    tokens.write(docs, plain, special=False)
+    got = {r.doc_id: r.ids for r in spark.read.schema(tokens.FILE).orc(plain).collect()}
+    assert got == {i: library().encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(LITERALS)}
+
+
 def test_odd_rows(spark):
     docs, model = odd.documents(spark), library()
     got = sorted(tuple(r) for r in tokens.round_trip(docs).fillna(-1, ["doc_id"]).collect())

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ratingloom.llm import bpe, hosts, minhash, mixing, toxicity
 from ratingloom.session import scratch_path
 
+#: Two documents are near-duplicates from this similarity on, in percent (``op8_minhash`` has its own).
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the rules, and those of rejected hosts."""
@@ -25,7 +28,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
-    return minhash.keep(docs)
+    return minhash.keep(docs, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

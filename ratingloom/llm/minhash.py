@@ -5,7 +5,8 @@ A document's set holds its distinct windows of five lower-cased words. Two small
 the first with group ``j`` of the second: ``GROUPS * GROUPS`` tables of ``2 * ROWS`` minhashes from
 ``2 * GROUPS * ROWS`` of them, where separate tables would take ``2 * GROUPS * GROUPS * ROWS``. A pair
 of similarity J meets in no table with probability ``1 - (1 - (1 - J**ROWS)**GROUPS)**2``, which is
-0.00025 at J = 0.85 and falls fast above.
+0.00025 at J = 0.85 and falls fast above. Thresholds under 0.85 take more groups, so that a pair at the
+threshold is missed with probability ``MISSED`` at most: 10 at J = 0.8, where it is 0.00007.
 
 Documents with equal sets are one class from the start. Classes that meet in a table are candidates;
 the connected groups of candidates are compared exactly, word by word, in tiles of bounded size, so
@@ -20,6 +21,7 @@ id are one document; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ WIDTH = 5
 PERCENT = 85
 GROUPS, ROWS = 7, 2
 HASHES = 2 * GROUPS * ROWS
+#: Under ``PERCENT``, a pair at the threshold meets in no table with this probability at most.
+MISSED = 0.0001
 #: A tile compares two blocks of at most about this many documents and bytes of text.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 #: Shingles that more documents than this share are counted by a matrix product.
@@ -51,10 +55,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def parameters() -> tuple[np.ndarray, np.ndarray]:
+def groups_for(percent: int) -> int:
+    """Groups of a collection: ``GROUPS``, or more for thresholds under ``PERCENT``."""
+    if percent >= PERCENT:
+        return GROUPS
+    apart = 1 - math.sqrt(1 - MISSED)  # no group of one collection agrees
+    return max(GROUPS, math.ceil(math.log(apart) / math.log(1 - (percent / 100) ** ROWS)))
+
+
+def parameters(hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and offsets of the minhashes."""
-    numbers = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * _PRIME)
-    return numbers[:HASHES] | np.uint64(1), numbers[HASHES:]
+    numbers = mix(np.arange(1, 2 * hashes + 1, dtype=np.uint64) * _PRIME)
+    return numbers[:hashes] | np.uint64(1), numbers[hashes:]
 
 
 def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -84,14 +96,17 @@ def minhashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 <<
 SKETCH = "doc_id bigint, n_shingles bigint, print binary, sketch binary"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document: set size, a 128-bit print of the set and its minhashes."""
+def sketches(docs: DataFrame, width: int = GROUPS) -> DataFrame:
+    """One row per document: set size, a 128-bit print of the set and its minhashes.
+
+    ``width`` is the number of groups in a collection.
+    """
     from_docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh3_128_digest
 
-        a, b = parameters()
+        a, b = parameters(2 * width * ROWS)
         sizes, prints, found = [], [], []
         for text in texts(part.column("text")):
             hashes = shingle_hashes(text.lower().split())
@@ -106,21 +121,21 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_texts(from_docs, work, SKETCH)
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
+def table_keys(classes: DataFrame, width: int = GROUPS) -> DataFrame:
     """``(key, rep)``: the keys of all tables for each class."""
     schema = "key bigint, rep bigint"
-    tables = GROUPS * GROUPS
+    tables = width * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             joined = b"".join(batch.column("sketch").to_pylist())
-            values = np.frombuffer(joined, np.uint32).reshape(n, 2, GROUPS, ROWS).astype(np.uint64)
+            values = np.frombuffer(joined, np.uint32).reshape(n, 2, width, ROWS).astype(np.uint64)
             group = values[..., 0]
             for k in range(1, ROWS):
                 group = mix(group * _PRIME + values[..., k])
             first, second = group[:, 0, :, None], group[:, 1, None, :]
-            table = np.arange(tables, dtype=np.uint64).reshape(1, GROUPS, GROUPS)
+            table = np.arange(tables, dtype=np.uint64).reshape(1, width, width)
             keys = mix(mix(first * _PRIME + table) * _PRIME + second).reshape(-1)
             rep = np.repeat(batch.column("rep").to_numpy(), tables)
             yield table_of(schema, key=keys.view(np.int64), rep=rep)
@@ -128,9 +143,9 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select("sketch", "rep").mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, width: int = GROUPS) -> DataFrame:
     """``(node, component)``: groups of classes that meet in some table, directly or over others."""
-    keys = table_keys(classes)
+    keys = table_keys(classes, width)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"))
     buckets = materialize(buckets.where("leader < last").select("key", "leader"), "buckets")
     star = keys.join(small(buckets), "key").where("rep <> leader")
@@ -286,12 +301,13 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> Data
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per input row."""
-    found = materialize(sketches(docs), "sketches")
+    width = groups_for(percent)
+    found = materialize(sketches(docs, width), "sketches")
     classes = found.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("sketch").alias("sketch")
     )
     classes = materialize(classes, "classes")
-    links = confirm(docs, candidates(classes), percent)
+    links = confirm(docs, candidates(classes, width), percent)
     joined = components(links, "links").withColumnRenamed("node", "rep")
     merged = classes.join(joined, "rep", "left").where("component IS NOT NULL OR rep < last")
     merged = materialize(

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ratingloom.llm import minhash
 
 from . import odd
@@ -63,6 +64,24 @@ def test_groups_match_all_pairs(spark, monkeypatch, block):
     assert got == plain_groups(rows)
 
 
+def test_the_pipeline_keeps_one_of_each_group_at_four_fifths(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, "").collect())
+    want = {p: sorted(i for i, (_, c) in plain_groups(rows, p).items() if c == i) for p in (80, 85)}
+    assert got == want[80] and len(want[80]) < len(want[85])
+
+
+def test_lower_thresholds_take_as_many_tables_as_they_need():
+    def missed(percent, n):
+        return 1 - (1 - (1 - (percent / 100) ** minhash.ROWS) ** n) ** 2
+
+    assert [minhash.groups_for(p) for p in (100, 85, 80)] == [7, 7, 10]
+    for p in (50, 70, 80):
+        n = minhash.groups_for(p)
+        assert missed(p, n) <= minhash.MISSED < missed(p, n - 1)
+
+
 def test_odd_rows(spark):
     docs = odd.documents(spark)
     got = minhash.groups(docs).collect()

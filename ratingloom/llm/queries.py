@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from ratingloom.llm import bpe, embeddings, hosts, langid, minhash, mixing, sharding, tokens, toxicity, warc
+from ratingloom.llm import (
+    bpe, embeddings, hosts, langid, minhash, mixing, periods, sharding, tokens, toxicity, warc,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,11 @@ def op10_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in the documents, of which every tenth ends in a planted one."""
+    return periods.digests(periods.runs(read(spark, sf_dir, "documents"), periods.repeat_tail))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -76,6 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc, op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree, pipeline,
+        op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc,
+        op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree, op11_periodic_runs, pipeline,
     )
 }

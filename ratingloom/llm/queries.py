@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from ratingloom.llm import (
-    bpe, embeddings, hosts, langid, minhash, mixing, periods, sharding, tokens, toxicity, warc,
+    bpe, embeddings, hosts, langid, minhash, mixing, negatives, periods, sharding, tokens, toxicity, warc,
 )
 
 
@@ -76,6 +77,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.runs(read(spark, sf_dir, "documents"), periods.repeat_tail))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rows of other labels in a window under each positive of every fiftieth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), every=50, label=label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -84,6 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc,
-        op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree, op11_periodic_runs, pipeline,
+        op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree, op11_periodic_runs,
+        op13_hard_negatives, pipeline,
     )
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ratingloom.llm import (
-    bpe, embeddings, hosts, langid, minhash, mixing, negatives, periods, sharding, tokens, toxicity, warc,
+    bpe, embeddings, hosts, langid, lexicon, minhash, mixing, negatives, periods, sharding, tokens, toxicity, warc,
 )
 
 
@@ -77,6 +77,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.runs(read(spark, sf_dir, "documents"), periods.repeat_tail))
 
 
+def op12_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids by a lexicon of the corpus, and of the text that they decode to."""
+    return lexicon.digests(read(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best rows of other labels in a window under each positive of every fiftieth vector."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -92,6 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_host_quality, op2_language, op3_byte_bpe, op4_embedding_dedup, op5_mix_sources, op6_warc,
         op7_toxicity, op8_minhash, op9_token_orc, op10_shard_tree, op11_periodic_runs,
-        op13_hard_negatives, pipeline,
+        op12_lexicon_bpe, op13_hard_negatives, pipeline,
     )
 }

@@ -11,9 +11,10 @@ Y and T are projections of H and W, so one join per update is enough.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import nullcontext
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +47,13 @@ def initial_w(items: DataFrame, k: int, seed: int = W_SEED, method: str = "arith
 
 def update_h(
     h: DataFrame, x: DataFrame, b: DataFrame, k: int, variant: str = "scalar",
-    renormalize: bool = False,
+    renormalize: bool = False, with_change: bool = False,
 ) -> DataFrame:
     """New H from H, ``x = A^T W`` and the one-row Gram matrix ``b`` of W.
 
+    ``with_change`` adds ``change``, the squared distance of a row from the old one, so that the norm of
+    the whole change is a sum over the written H.
+
     The numbers of ``b`` are read when this is called. ``scalar`` adds the dot products h.y and h.x;
     ``elementwise`` adds h*y and h*x entry by entry.
     A user without ratings has no row in ``x`` and leaves H.
@@ -63,10 +67,13 @@ def update_h(
         def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hv, xv = (kernels.rows_of(batch.column(c), k) for c in ("v", "x"))
-                new = kernels.vectors_of(kernels.new_h(hv, xv, cells, scalar, renormalize))
-                yield pa.RecordBatch.from_arrays([batch.column("user"), new], ["user", "v"])
+                new = kernels.new_h(hv, xv, cells, scalar, renormalize)
+                columns = [batch.column("user"), kernels.vectors_of(new)]
+                columns += [pa.array(((new - hv) ** 2).sum(axis=1))] if with_change else []
+                yield pa.RecordBatch.from_arrays(columns, ["user", "v", "change"][: len(columns)])
 
-        return rows.mapInArrow(update, h.select("user", "v").schema)
+        schema = h.select("user", "v").schema
+        return rows.mapInArrow(update, schema.add("change", "double") if with_change else schema)
 
     each = range(k)
     rows = rows.selectExpr("user", *linalg.entries("h", "v", k), *linalg.entries("x", "x", k))
@@ -78,11 +85,12 @@ def update_h(
     else:
         pairs = [(f"x{i} + h{i} * y{i}", f"y{i} + h{i} * x{i}") for i in each]
     new = [f"h{i} * {V.safe_divide(top, low)} AS n{i}" for i, (top, low) in enumerate(pairs)]
-    rows = rows.selectExpr("user", *new)
+    rows = rows.selectExpr("user", *(f"h{i}" for i in each if with_change), *new)
     if renormalize:
         rows = rows.selectExpr("*", V.total([f"n{i}" for i in each]) + " AS s")
     out = [V.safe_divide(f"n{i}", "s") if renormalize else f"n{i}" for i in each]
-    return rows.selectExpr("user", V.array(out) + " AS v")
+    change = V.total([f"({n} - h{i}) * ({n} - h{i})" for i, n in enumerate(out)]) + " AS change"
+    return rows.selectExpr("user", V.array(out) + " AS v", *([change] if with_change else []))
 
 
 def update_w(w: DataFrame, s: DataFrame, c: DataFrame, k: int) -> DataFrame:
@@ -105,11 +113,28 @@ def delta(old: DataFrame, new: DataFrame, k: int, id_col: str = "user") -> DataF
 
 @dataclass
 class Factors:
+    """H and W after ``iterations`` passes, with what is needed to go on.
+
+    ``settings`` are the options of :func:`fit` that the factors depend on; ``deltas`` are the norms of the
+    change of H, of the passes that were watched.
+    """
+
     h: DataFrame
     w: DataFrame
     k: int
     iterations: int
-    delta: float | None = None
+    deltas: list[float] = field(default_factory=list)
+    settings: dict = field(default_factory=dict)
+
+    @property
+    def delta(self) -> float | None:
+        """Norm of the change of H in the last pass, if it was watched."""
+        return self.deltas[-1] if self.deltas else None
+
+
+def with_new_rows(factors: DataFrame, start: DataFrame, id_col: str) -> DataFrame:
+    """Factor rows, and the start rows of ids that have none yet."""
+    return factors.select(id_col, "v").unionByName(start.join(factors, id_col, "left_anti"))
 
 
 def fit(
@@ -123,32 +148,55 @@ def fit(
     renormalize: bool = False,
     tol: float | None = None,
     min_heavy_rows: int = MIN_ROWS,
+    start: Factors | None = None,
 ) -> Factors:
     """Factorise the ratings. H and W are written once per pass, so lineage never grows, and those of
     the pass before are deleted.
 
     The k x k Gram matrix of each half pass is read to the driver and becomes constants of the update.
 
-    ``tol`` stops early once the norm of the change of H is below it. ``renormalize`` makes every
-    H row sum to 1 again after each pass; it is advised beyond about four iterations.
+    ``tol`` stops early once the norm of the change of H is below it; the job that writes H also writes the
+    change of each row. ``renormalize`` makes every H row sum to 1 again after each pass; it is advised
+    beyond about four iterations. ``start`` goes on from earlier factors, which are left as they are; users
+    and items that they lack begin as in a new fit. ``max_iter`` counts the passes of this call.
     """
     shared = isinstance(ratings, RatingMatrix)
     with nullcontext(ratings) if shared else RatingMatrix(ratings, min_heavy_rows) as matrix:
         h = initial_h(matrix.users(), k, h_seed, method)
-        written = method == "rand" or tol is not None or max_iter == 0
+        w = initial_w(matrix.items(), k, w_seed, method)
+        if start is not None:
+            if start.k != k:
+                raise ValueError(f"the earlier factors have width {start.k}, not {k}")
+            h, w = with_new_rows(start.h, h, "user"), with_new_rows(start.w, w, "item")
+        written = method == "rand" or start is not None or max_iter == 0
         if written:
             h = materialize(h, "h")
-        w = materialize(initial_w(matrix.items(), k, w_seed, method), "w")
-        change, done = None, 0
+        w = materialize(w, "w")
+        deltas, done = list(start.deltas) if start else [], 0
         for _ in range(max_iter):
             x, b = matrix.by_user(w, k), linalg.gram(w, k)
-            new_h = materialize(update_h(h, x, b, k, variant, renormalize), "h")
+            new_h = update_h(h, x, b, k, variant, renormalize, with_change=tol is not None)
+            new_h = materialize(new_h, "h")
+            if tol is not None:
+                deltas.append(math.sqrt(new_h.agg(F.sum("change")).first()[0] or 0.0))
+                new_h = new_h.select("user", "v")
             new_w = materialize(update_w(w, matrix.by_item(new_h, k), linalg.gram(new_h, k), k), "w")
             done += 1
-            if tol is not None:
-                change = delta(h, new_h, k).first()["delta"]
             discard(w, *([h] if written else []))
             h, w, written = new_h, new_w, True
-            if change is not None and change < tol:
+            if tol is not None and deltas[-1] < tol:
                 break
-    return Factors(h, w, k, done, change)
+    settings = {
+        "h_seed": h_seed, "w_seed": w_seed, "method": method, "variant": variant, "renormalize": renormalize,
+    }
+    return Factors(h, w, k, done + (start.iterations if start else 0), deltas, settings)
+
+
+def resume(
+    ratings: DataFrame | RatingMatrix, factors: Factors, max_iter: int, tol: float | None = None,
+    min_heavy_rows: int = MIN_ROWS,
+) -> Factors:
+    """``max_iter`` more passes on earlier factors, with the settings that made them."""
+    return fit(
+        ratings, factors.k, max_iter, tol=tol, min_heavy_rows=min_heavy_rows, start=factors, **factors.settings
+    )

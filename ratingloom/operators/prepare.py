@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratingloom.operators.selection import split_at
 from ratingloom.operators.skew import MAX_HEAVY, MIN_ROWS, lookup_join
 from ratingloom.session import materialize, shuffle_partitions
 
@@ -16,9 +18,20 @@ SPLIT_SHIFT = 13
 TRAIN_PERCENT = 67
 
 
+#: Share of the test rows of an exact split.
+TEST_SHARE = 0.25
+
+#: The order of arrival; rows that arrive together are ordered by their values.
+ARRIVAL = ["seq", "item", "user", "rating"]
+
+
 def first_n(ratings: DataFrame, n: int) -> DataFrame:
-    """The first n ratings in arrival order: a sample, so its size has no default."""
-    return ratings.orderBy("seq", "item", "user", "rating").limit(n)
+    """The first n ratings in arrival order: a sample, so its size has no default.
+
+    The place of the last one is found by histograms, so any n is a filter and never a sort. ``ratings``
+    are read for each histogram: give a table that has been written.
+    """
+    return split_at(ratings, [c for c in ARRIVAL if c in ratings.columns], n)[0]
 
 
 @dataclass
@@ -30,17 +43,26 @@ class Index:
     rows: int
 
 
+def first_arrivals(ratings: DataFrame, column: str) -> DataFrame:
+    """One row per id of a column: ``(column, first_seq, n_rows)``."""
+    return ratings.groupBy(column).agg(
+        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 def build_index(ratings: DataFrame, column: str) -> Index:
-    """Number the distinct ids of a column by first arrival, without a single-task sort.
+    """Number the distinct ids of a column by first arrival, without a single-task sort."""
+    return number(first_arrivals(ratings, column), column)
+
+
+def number(first: DataFrame, column: str, begin: int = 0) -> Index:
+    """Number :func:`first_arrivals` from ``begin`` on.
 
     The ids are range-partitioned by first arrival and written; a row's number is then the number
     of ids in earlier partitions plus its place inside its own. Only one count per partition
     reaches the driver.
     """
-    spark = ratings.sparkSession
-    first = ratings.groupBy(column).agg(
-        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_rows")
-    )
+    spark = first.sparkSession
     n = shuffle_partitions(spark)
     ranged = (
         first.repartitionByRange(n, "first_seq", column)
@@ -54,7 +76,7 @@ def build_index(ratings: DataFrame, column: str) -> Index:
     )
     offsets, size, rows = [], 0, 0
     for part, n_ids, n_rows in counts:
-        offsets.append((part, size))
+        offsets.append((part, begin + size))
         size, rows = size + n_ids, rows + n_rows
     offset = spark.createDataFrame(offsets, "part int, offset bigint")
     table = ranged.join(F.broadcast(offset), "part").select(
@@ -88,6 +110,26 @@ def reindex(
     return out
 
 
+def exact_split(
+    ratings: DataFrame, test: int | float = TEST_SHARE, key: str = "seq", seed: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows in an exact proportion: ``(train, test)``.
+
+    ``test`` is a number of rows, or a share of all rows that is rounded up. The rows with the smallest hashes
+    of their key are test rows; equal hashes are ordered by the key and then by the other values.
+    The hash of the last one is found by histograms, so both parts are filters. ``ratings`` are read
+    for each histogram: give a table that has been written.
+    """
+    if isinstance(test, float) and not 0 <= test <= 1 or test < 0:
+        raise ValueError(f"no size of a test set: {test!r}")
+    n = math.ceil(test * ratings.count()) if isinstance(test, float) else test
+    text = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed)))
+    hashed = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+    numbers = [c for c, kind in ratings.dtypes if kind in ("tinyint", "smallint", "int", "bigint") and c != key]
+    found = split_at(ratings, [hashed, key, *numbers], n)
+    return found[1], found[0]
+
+
 def split_slot(key: Column) -> Column:
     """A number 0..99 from an integer key; reduced first so that no key overflows."""
     return F.pmod(F.pmod(key, F.lit(100)) * SPLIT_FACTOR + SPLIT_SHIFT, F.lit(100))

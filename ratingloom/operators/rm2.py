@@ -10,11 +10,17 @@ products are cut into chunks of bounded size: users of a cluster are hashed into
 candidate items into *blocks*, so a cluster that holds most users is simply more chunks. Inside a
 chunk numpy sums in place; item pairs of single users never become rows. Ratings are positive: the
 logarithm of a sum that is not has no meaning.
+
+How many chunks and blocks there are follows from the data: enough for the work, and of all such
+pairs the one that copies the fewest bytes, as cells of g go to every chunk and lists of users to the
+blocks. A list goes only where it can score: every candidate needs a cell with each of the user's items,
+so also with the rarest, and only the blocks that hold a cell of that item get the list.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from contextlib import nullcontext
 from dataclasses import dataclass
@@ -27,14 +33,19 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import kernels
 from ratingloom.operators import aggregates
-from ratingloom.operators.matrix import RatingMatrix
+from ratingloom.operators.matrix import DATABASE, MAX_BUCKETS, RatingMatrix
 from ratingloom.operators.skew import MIN_ROWS, lookup_join
-from ratingloom.session import fits_broadcast, materialize, shuffle_partitions
+from ratingloom.session import discard, fits_broadcast, materialize, scratch_path, shuffle_partitions
 
-#: Rows of p(i|u) in one chunk, at least and at most.
-CHUNK_MIN = 50_000
+#: Rows of p(i|u) in one chunk, at most.
 CHUNK_MAX = 4_000_000
 
+#: Cells of g that one task adds to scores, about.
+TASK_WORK = 1_000_000_000
+
+#: Bytes of a list entry and of a cell of g, as they are sent.
+ENTRY_BYTES, CELL_BYTES = 4, 12
+
 #: Cells of g in one block.
 BLOCK_CELLS = 2_000_000
 
@@ -107,15 +118,34 @@ class Plan:
         return max([c[4] for c in self.cuts.values()], default=1)
 
 
+def cheapest_cut(
+    rows: float, cells: float, tasks: float, least_chunks: int, least_blocks: int, most_blocks: int
+) -> tuple[int, int]:
+    """Chunks and blocks that make ``tasks`` tasks and copy the fewest bytes.
+
+    Every block may get all lists and every chunk gets all cells, so bytes are ``rows * blocks`` entries and
+    ``cells * chunks`` cells. Among the powers of two, and the least, numbers of chunks are tried.
+    """
+    best = None
+    for chunks in sorted({least_chunks, *(1 << n for n in range(41))}):
+        if chunks < least_chunks:
+            continue
+        blocks = min(max(least_blocks, math.ceil(tasks / chunks)), max(least_blocks, most_blocks))
+        cost = (rows * blocks * ENTRY_BYTES + cells * chunks * CELL_BYTES, chunks, blocks)
+        best = cost if best is None else min(best, cost)
+        if chunks * blocks > tasks and blocks == least_blocks:
+            break
+    return best[1], best[2]
+
+
 def cluster_plan(
-    probs: DataFrame, chunk_min: int = CHUNK_MIN, chunk_max: int = CHUNK_MAX,
-    block_cells: int = BLOCK_CELLS, tile_cells: int = TILE_CELLS, tile_pairs: int = TILE_PAIRS,
+    probs: DataFrame, chunk_max: int = CHUNK_MAX, block_cells: int = BLOCK_CELLS,
+    tile_cells: int = TILE_CELLS, tile_pairs: int = TILE_PAIRS, task_work: int = TASK_WORK,
 ) -> Plan:
     """Cut every cluster by counted rows, items and item pairs of users.
 
     g has at most as many cells as there are pairs of items, and as its users have pairs: a wide
-    catalogue with short lists stays in few blocks. Only chunks of users follow the cluster's width
-    in partitions; tiles of g depend on the data alone.
+    catalogue with short lists stays in few blocks. Nothing follows from the session's partitions.
     """
     spark = probs.sparkSession
     degrees = probs.groupBy("cluster", "user").agg(F.count(F.lit(1)).alias("n"))
@@ -125,18 +155,18 @@ def cluster_plan(
     items_of = dict(
         probs.groupBy("cluster").agg(F.approx_count_distinct("item").alias("n")).collect()
     )
-    share = sum(r["n"] for r in found) / (2 * shuffle_partitions(spark))
-    rows = min(chunk_max, max(chunk_min, share))
     cuts = {}
     for r in found:
         n_items = items_of[r["cluster"]]
         cells = min(float(n_items) ** 2, r["pairs"])
         n_groups = min(n_items, math.ceil(math.sqrt(cells / tile_cells)))
-        n_blocks = max(n_groups, min(n_items, math.ceil(cells / block_cells)))
+        n_chunks, n_blocks = cheapest_cut(
+            r["n"], cells, r["n"] * cells / n_items / task_work, math.ceil(r["n"] / chunk_max),
+            max(n_groups, min(n_items, math.ceil(cells / block_cells))), n_items,
+        )
         n_parts = max(r["pairs"] / n_groups**2 / tile_pairs, 2 * r["n"] / n_groups / chunk_max)
         cuts[r["cluster"]] = (
-            math.ceil(r["n"] / rows), n_blocks, math.ceil(n_items / LIST_ITEMS), n_groups,
-            math.ceil(n_parts),
+            n_chunks, n_blocks, math.ceil(n_items / LIST_ITEMS), n_groups, math.ceil(n_parts),
         )
     table = spark.createDataFrame(
         [(c, *v) for c, v in cuts.items()],
@@ -232,6 +262,79 @@ def cluster_cooccurrence(probs: DataFrame, plan: Plan | None = None) -> DataFram
     return cells.select("cluster", "i", "c.j", "c.g").where("i <= j")
 
 
+def directory(cells: DataFrame) -> DataFrame:
+    """Where the rows of g are: ``(cluster, item, n, blocks)``, with the cells of an item in all blocks.
+
+    ``cells`` are packed rows of g, each once. As many rows as there are items in clusters.
+    """
+    return cells.groupBy("cluster", F.col("i").alias("item")).agg(
+        F.sum(F.size("j")).alias("n"), F.sort_array(F.collect_set("block")).alias("blocks")
+    )
+
+
+def routes(probs: DataFrame, where: DataFrame) -> DataFrame:
+    """``(cluster, user, blocks)``: the blocks that hold a cell of the user's rarest item.
+
+    ``where`` is a written :func:`directory`. A user none of whose items is in it has no row: there is
+    nothing to score. Only pairs of numbers are combined before the shuffle by user.
+    """
+    rows = where.count()
+    counts = where.select("cluster", "item", "n")
+    counts = F.broadcast(counts) if fits_broadcast(rows, 48) else counts
+    rare = probs.select("cluster", "user", "item").join(counts, ["cluster", "item"])
+    rare = rare.groupBy("cluster", "user").agg(F.min(F.struct("n", "item")).alias("rare"))
+    places = where.select("cluster", "item", "blocks")
+    most = where.agg(F.max(F.size("blocks"))).first()[0] or 0
+    places = F.broadcast(places) if fits_broadcast(rows, 48 + 8 * most) else places
+    return rare.select("cluster", "user", F.col("rare.item").alias("item")).join(
+        places, ["cluster", "item"]
+    ).select("cluster", "user", "blocks")
+
+
+def routed_lists(probs: DataFrame, plan: Plan, where: DataFrame) -> DataFrame:
+    """``(cluster, chunk, block, id, items)``: users' lists in the blocks that may score them.
+
+    A list is cut at about ``LIST_ITEMS`` items, so that no row grows with a user.
+    """
+    lists = (
+        _chunked(probs, plan)
+        .groupBy("cluster", "chunk", F.col("user").alias("id"),
+                 F.pmod(F.xxhash64("item"), F.col("n_lists")).alias("part"))
+        .agg(F.collect_list("item").alias("items"))
+    )
+    to = materialize(routes(probs, where), "routes").withColumnRenamed("user", "id")
+    to = F.broadcast(to) if fits_broadcast(to.count(), 256) else to
+    return lists.join(to, ["cluster", "id"]).select(
+        "cluster", "chunk", F.explode("blocks").alias("block"), "id", "items"
+    )
+
+
+def _score(
+    cluster: int, user: pa.Table, cell: pa.Table, top: int | None, digits: int | None, exclude_seen: bool
+) -> Iterator[pa.RecordBatch]:
+    """Scores of a chunk of users with a block of candidates."""
+    if user.num_rows == 0 or cell.num_rows == 0:
+        return
+    user, cell = user.combine_chunks(), cell.combine_chunks()
+    users, items = kernels.spread(user.column("id").to_numpy(), user.column("items").chunk(0))
+    others, sizes = cell.column("id").to_numpy(), pc.list_value_length(cell.column("items"))
+    cand = cell.column("items").chunk(0).flatten().to_numpy()
+    g = cell.column("g").chunk(0).flatten().to_numpy()
+    found = kernels.log_products(
+        users, items, others, sizes.to_numpy(), cand, g, top=top, decimals=digits,
+        exclude_seen=exclude_seen,
+    )
+    for who, item, value in found:
+        same = np.full(len(who), cluster, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(same), pa.array(who), pa.array(item), pa.array(value)],
+            ["cluster", "user", "item", "log_score"],
+        )
+
+
+SCORES = "cluster int, user int, item int, log_score double"
+
+
 def rm2_scores(
     probs: DataFrame,
     plan: Plan | None = None,
@@ -245,63 +348,110 @@ def rm2_scores(
     returns only candidates among a user's best ``top`` there, which is enough to rank them later.
     ``exclude_seen`` leaves out the items that a user has rated, before that choice.
 
-    Every (chunk of users, block of candidates) meets in one task. The rows sent there are packed:
-    a list of items per user, cut at about ``LIST_ITEMS`` items, and a list of cells per item.
+    Every (chunk of users, block of candidates) meets in one task. The rows sent there are packed: a list of
+    items per user, routed by the rarest item, and a list of cells per item. g is written once, as
+    both the routes and the scores read it; :class:`CooccurrenceStore` keeps it for later scoring.
     """
     plan = cluster_plan(probs) if plan is None else plan
-    wanted = (
-        _chunked(probs, plan)
-        .groupBy("cluster", "chunk", "n_blocks", F.col("user").alias("id"),
-                 F.pmod(F.xxhash64("item"), F.col("n_lists")).alias("part"))
-        .agg(F.collect_list("item").alias("items"))
-        .select(
-            "cluster", "chunk",
-            F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
-            "id", "items", F.lit(None).cast("array<double>").alias("g"),
-        )
-    )
-    # g is symmetric: the columns of row i are the candidates of item i.
-    cells = (
-        _cooccurrence_rows(probs, plan)
-        .join(F.broadcast(plan.table), "cluster")
-        .select(
-            "cluster", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
-            "block", F.col("i").alias("id"), F.col("j").alias("items"), "g",
-        )
-    )
+    g = materialize(_cooccurrence_rows(probs, plan), "cooccurrence")
+    where = materialize(directory(g), "directory")
+    lists = routed_lists(probs, plan, where)
+    wanted = lists.withColumn("g", F.lit(None).cast("array<double>"))
 
     def score(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(batches)
         is_user = pc.is_null(group.column("g"))
-        user = group.filter(is_user).combine_chunks()
-        cell = group.filter(pc.invert(is_user)).combine_chunks()
-        if user.num_rows == 0 or cell.num_rows == 0:
-            return
-        lists = user.column("items").chunk(0)
-        users, items = kernels.spread(user.column("id").to_numpy(), lists)
-        others, sizes = cell.column("id").to_numpy(), pc.list_value_length(cell.column("items"))
-        cand = cell.column("items").chunk(0).flatten().to_numpy()
-        g = cell.column("g").chunk(0).flatten().to_numpy()
-        found = kernels.log_products(
-            users, items, others, sizes.to_numpy(), cand, g, top=top, decimals=digits,
-            exclude_seen=exclude_seen,
-        )
-        for who, item, value in found:
-            cluster = np.full(len(who), key[0].as_py(), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cluster), pa.array(who), pa.array(item), pa.array(value)],
-                ["cluster", "user", "item", "log_score"],
-            )
+        user, cell = group.filter(is_user), group.filter(pc.invert(is_user))
+        yield from _score(key[0].as_py(), user, cell, top, digits, exclude_seen)
 
     return (
-        wanted.unionByName(cells)
+        wanted.unionByName(chunk_copies(g, plan))
         .groupBy("cluster", "chunk", "block")
-        .applyInArrow(score, "cluster int, user int, item int, log_score double")
+        .applyInArrow(score, SCORES)
+    )
+
+
+def chunk_copies(g: DataFrame, plan: Plan) -> DataFrame:
+    """The packed cells for every chunk: ``(cluster, chunk, block, id, items, g)``.
+
+    g is symmetric: the columns of row i are the candidates of item i.
+    """
+    return g.join(F.broadcast(plan.table), "cluster").select(
+        "cluster", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
+        "block", F.col("i").alias("id"), F.col("j").alias("items"), "g",
     )
 
 
+class CooccurrenceStore:
+    """g of all clusters, written once in the layout that scoring reads.
+
+    The table is bucketed by (cluster, chunk, block), so scoring joins it in place: other users, other
+    ``top``, or seen items left out need only the lists of the users to be sent. Use it as a context
+    manager, which drops the table at the end: what is read from it has to be written before.
+    """
+
+    KEYS = ("cluster", "chunk", "block")
+
+    def __init__(self, probs: DataFrame, plan: Plan | None = None):
+        self.spark = spark = probs.sparkSession
+        self.plan = cluster_plan(probs) if plan is None else plan
+        g = materialize(_cooccurrence_rows(probs, self.plan), "cooccurrence")
+        self.where = materialize(directory(g), "directory")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+        self.name = f"{DATABASE}.cooccurrence_{uuid.uuid4().hex}"
+        places = sum(c[0] * c[1] for c in self.plan.cuts.values())
+        n = max(1, min(MAX_BUCKETS, places, 4 * shuffle_partitions(spark)))
+        (
+            chunk_copies(g, self.plan).repartition(n, *self.KEYS)
+            .write.bucketBy(n, *self.KEYS)
+            .option("path", scratch_path(spark, "cooccurrence-store"))
+            .format("parquet")
+            .saveAsTable(self.name)
+        )
+        discard(g)
+        self.table = spark.table(self.name)
+
+    def __enter__(self) -> CooccurrenceStore:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.table, self.where)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def scores(
+        self, probs: DataFrame, top: int | None = None, digits: int | None = None, exclude_seen: bool = False,
+        chunk_max: int = CHUNK_MAX,
+    ) -> DataFrame:
+        """:func:`rm2_scores` of the users in ``probs`` against the stored g.
+
+        The users need not be those that g was added up from; an item that g does not know leaves a user
+        without scores, as its sums are zero. More rows than the stored chunks may hold at once are
+        scored in rounds of users, each of which reads g in place.
+        """
+
+        def score(key: tuple[pa.Scalar, ...], user: pa.Table, cell: pa.Table) -> pa.Table:
+            found = list(_score(key[0].as_py(), user, cell, top, digits, exclude_seen))
+            return pa.Table.from_batches(found) if found else empty
+
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        empty = pa.table({c.split()[0]: pa.array([], k) for c, k in zip(SCORES.split(", "), kinds)})
+        most = probs.groupBy("cluster").count().join(F.broadcast(self.plan.table), "cluster").agg(
+            F.max(F.col("count") / F.col("n_chunks"))
+        ).first()[0]
+        rounds = max(1, math.ceil((most or 0) / chunk_max))
+        lists = routed_lists(probs, self.plan, self.where)
+        # Chunks take the same hash modulo their number, so rounds take another one.
+        turn = F.pmod(F.xxhash64("id", F.lit("round")), F.lit(rounds))
+        out = None
+        for r in range(rounds):
+            mine = lists if rounds == 1 else lists.where(turn == r)
+            part = mine.groupBy(*self.KEYS).cogroup(self.table.groupBy(*self.KEYS)).applyInArrow(score, SCORES)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
 def rm2_last_item(probs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The variant that multiplies only one factor: ``g(i, last item of u)``.
 

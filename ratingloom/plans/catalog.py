@@ -12,11 +12,12 @@ from ratingloom.operators import aggregates as A
 from ratingloom.operators import clusters as C
 from ratingloom.operators import evaluate as E
 from ratingloom.operators import linalg as L
-from ratingloom.operators import ppc, prepare, rm2
+from ratingloom.operators import dictionary, ppc, prepare, rm2, sketches
 from ratingloom.operators.matrix import RatingMatrix
 from ratingloom.operators.skew import key_stats
 from ratingloom.plans import pipeline, views
 from ratingloom.session import materialize, scratch_path
+from ratingloom.sources import drops as new_files
 from ratingloom.sources import sinks
 from ratingloom.sources.blocks import parse_blocks
 from ratingloom.sources.ratings import read_triples
@@ -30,6 +31,8 @@ LAM = 0.5
 TOP = 10
 SAMPLE = 50_000
 ITERATIONS = 2
+MOST_ITERATIONS = 4
+TOLERANCE = 0.21  # of the norm of the change of H
 DIGITS = 9  # of H before the argmax, so that SQL finds the same clusters
 
 events = views.ratings_events
@@ -69,11 +72,54 @@ def prepared_full(spark, sf):
     return train.select("item", "user", "rating")
 
 
+def written(spark, sf, view):
+    """A view as a table, for operators that read their input several times."""
+    return materialize(view(spark, sf), "view")
+
+
 def prepared_small(spark, sf):
-    train, _ = pipeline.prepare_small(events(spark, sf), SAMPLE, method="arith")
+    train, _ = pipeline.prepare_small(written(spark, sf, orders), SAMPLE, method="arith")
     return train
 
 
+def exact_split(spark, sf):
+    """All ratings, with a mark on exactly a quarter of them."""
+    train, test = prepare.exact_split(written(spark, sf, events))
+    return train.withColumn("is_test", F.lit(0)).unionByName(test.withColumn("is_test", F.lit(1)))
+
+
+def drops(spark, sf):
+    """The ratings in two halves by arrival, as they would come in two drops."""
+    ratings = written(spark, sf, events)
+    middle = ratings.agg(F.max("seq")).first()[0] // 2
+    return ratings.where(F.col("seq") <= middle), ratings.where(F.col("seq") > middle)
+
+
+def reindexed_drops(spark, sf):
+    """Two drops, numbered one after the other by one stored dictionary."""
+    path = scratch_path(spark, "dictionary")
+    first, second = (dictionary.reindex_drop(d, path, ("item", "user")) for d in drops(spark, sf))
+    return first.unionByName(second)
+
+
+def scanned_drops(spark, sf):
+    """Triples of two drops: the second reading takes the new files only and goes on with ``seq``."""
+    path, found = scratch_path(spark, "drops"), []
+    for n, rows in enumerate(drops(spark, sf)):
+        ordered = rows.repartitionByRange("seq").sortWithinPartitions("seq")
+        sinks.write_triples(ordered, f"{path}/triples/drop-{n}")
+        drop = new_files.take(spark, f"{path}/triples/drop-*", f"{path}/files")
+        drop.commit()
+        found.append(drop.ratings)
+    return found[0].unionByName(found[1])
+
+
+def sketched(spark, sf):
+    """Distinct users and items from sketches of parts of the ratings, stored and merged."""
+    parts = sketches.sketch(events(spark, sf), F.col("seq") % 4)
+    return sketches.cardinalities(materialize(parts, "sketches"))
+
+
 def halves(spark, sf):
     """Training and test ratings, by the rule that SQL can repeat."""
     return prepare.split(events(spark, sf), method="arith")
@@ -181,6 +227,20 @@ def iter_w(n):
     return lambda spark, sf: L.long_form(fitted(spark, sf, max_iter=n).w, "item", digits=8)
 
 
+def resumed_h(spark, sf):
+    """One pass, saved and loaded, and another one."""
+    path = scratch_path(spark, "factors")
+    with RatingMatrix(events(spark, sf)) as matrix:
+        sinks.save_factors(fitted(spark, sf, matrix, max_iter=1), path)
+        return L.long_form(ppc.resume(matrix, sinks.load_factors(spark, path), 1).h, "user", digits=8)
+
+
+def tolerated_h(spark, sf):
+    """Passes until H changes by less than a tolerance, with how many it took."""
+    found = fitted(spark, sf, max_iter=MOST_ITERATIONS, tol=TOLERANCE)
+    return L.long_form(found.h, "user", digits=8).withColumn("passes", F.lit(found.iterations))
+
+
 def ppc_delta(spark, sf):
     ratings, h, _ = start(spark, sf)
     return rounded(ppc.delta(h, fitted(spark, sf, ratings, max_iter=1).h, K), 6, "delta")
@@ -224,6 +284,21 @@ def scores(spark, sf):
     return rounded(rm2.rm2_scores(probs(spark, sf)), 6, "log_score")
 
 
+def scores_from_store(spark, sf):
+    """Scores that join a stored g in place."""
+    found = probs(spark, sf)
+    with rm2.CooccurrenceStore(found) as store:
+        return rounded(materialize(store.scores(found), "scores"), 6, "log_score")
+
+
+def scores_of_cluster(spark, sf):
+    """The stored scores of the cluster that holds the user with the lowest id, read alone."""
+    path, found = scratch_path(spark, "score-store"), probs(spark, sf)
+    sinks.write_scores(rm2.rm2_scores(found), path)
+    mine = found.agg(F.min_by("cluster", "user")).first()[0]
+    return rounded(sinks.read_scores(spark, path, [mine]), 6, "log_score")
+
+
 def last_item(spark, sf):
     return rounded(rm2.rm2_last_item(probs(spark, sf)), 6, "log_score")
 
@@ -252,7 +327,7 @@ def topk(spark, sf):
 
 
 def topk_cluster(spark, sf):
-    return E.topk_per_cluster(rm2.rm2_scores(train_probs(spark, sf), digits=6), TOP)
+    return E.topk_per_cluster(rm2.rm2_scores(train_probs(spark, sf), top=TOP, digits=6), TOP)
 
 
 def topk_user_cluster(spark, sf):
@@ -260,7 +335,7 @@ def topk_user_cluster(spark, sf):
     found = train_probs(spark, sf)
     user = found.agg(F.min("user").alias("user"))
     mine = materialize(E.clusters_of(found, user), "cluster-probs")
-    return E.topk_per_cluster(rm2.rm2_scores(mine, digits=6), TOP)
+    return E.topk_per_cluster(rm2.rm2_scores(mine, top=TOP, digits=6), TOP)
 
 
 def topk_items(spark, sf):
@@ -331,12 +406,16 @@ QUERIES: dict[str, Query] = {
     "ratings_scan": ratings_scan,
     "ratings_scan_shifted": lambda spark, sf: ratings_scan(spark, sf, id_offset=-1),
     "parse_blocks": parsed_blocks,
-    "first_n_sample": lambda spark, sf: prepare.first_n(orders(spark, sf), SAMPLE),
+    "ratings_scan_new_files": scanned_drops,
+    "first_n_sample": lambda spark, sf: prepare.first_n(written(spark, sf, orders), SAMPLE),
     "reindex_users": lambda spark, sf: prepare.reindex(events(spark, sf)),
     "reindex_both": lambda spark, sf: prepare.reindex(events(spark, sf), ("item", "user")),
+    "reindex_increment": reindexed_drops,
+    "id_cardinalities_sketch": sketched,
     "id_cardinalities": lambda spark, sf: A.id_cardinalities(events(spark, sf)),
     "train_split": split_part(0),
     "test_split": split_part(1),
+    "exact_split": exact_split,
     "prepare_full": prepared_full,
     "prepare_small": prepared_small,
     "init_w": init_w,
@@ -356,6 +435,8 @@ QUERIES: dict[str, Query] = {
     "ppc_iter1_h": iter_h(1),
     "ppc_iter1_w": iter_w(1),
     "ppc_iter2_h": iter_h(2),
+    "ppc_resume_h": resumed_h,
+    "ppc_tol_h": tolerated_h,
     "ppc_delta": ppc_delta,
     "assign_clusters": clusters,
     "cluster_sizes": lambda spark, sf: C.cluster_sizes(clusters(spark, sf)),
@@ -371,6 +452,8 @@ QUERIES: dict[str, Query] = {
     "user_item_prob": user_item_prob,
     "cluster_cooccurrence": cooccurrence,
     "rm2_scores": scores,
+    "rm2_from_store": scores_from_store,
+    "scores_of_cluster": scores_of_cluster,
     "rm2_scores_dense": dense,
     "rm2_last_item": last_item,
     "topk_per_user": topk,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ratingloom.functions import vectors as V
 from ratingloom.operators import ppc, prepare
-from ratingloom.plans.catalog import ITERATIONS, K, LAM, SAMPLE, TOP
+from ratingloom.plans.catalog import ITERATIONS, K, LAM, MOST_ITERATIONS, SAMPLE, TOLERANCE, TOP
 
 EVENTS = """ratings AS MATERIALIZED (
   SELECT CAST(json_extract_string(props, '$.k') AS INT) AS item, CAST(user_id AS INT) AS "user",
@@ -103,6 +103,15 @@ def fit(n: int) -> str:
     return ",\n".join(parts)
 
 
+#: All passes, the change of H in each, and the pass that a tolerance stops at.
+CHANGES = f"""passes AS ({" UNION ALL ".join(
+    f'SELECT "user", j, v, {t} AS passes FROM h{t}' for t in range(1, MOST_ITERATIONS + 1))}),
+changes AS ({" UNION ALL ".join(
+    f'SELECT {t} AS t, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS delta FROM h{t - 1} a '
+    f'JOIN h{t} b ON a."user" = b."user" AND a.j = b.j' for t in range(1, MOST_ITERATIONS + 1))}),
+stop AS (SELECT CAST(coalesce(min(t), {MOST_ITERATIONS}) AS INT) AS passes FROM changes
+  WHERE delta < {TOLERANCE})"""
+
 CLUSTERS = f"""{fit(ITERATIONS)},
 best AS (SELECT "user", j, round(v, 9) AS v, max(round(v, 9)) OVER (PARTITION BY "user") AS top
   FROM h{ITERATIONS}),
@@ -205,6 +214,17 @@ ORACLES: dict[str, str] = {
         'JOIN user_index u ON r."user" = u."user"', EVENTS, numbered('"user"', "seq")),
     "reindex_both": sql(
         reindexed(", r.seq"), EVENTS, numbered('"user"', "seq"), numbered("item", "seq")),
+    "reindex_increment": sql(
+        reindexed(", r.seq"), EVENTS, numbered('"user"', "seq"), numbered("item", "seq")),
+    "ratings_scan_new_files": sql(
+        'SELECT item, "user", rating, row_number() OVER (ORDER BY seq) - 1 AS seq FROM ratings', EVENTS),
+    "id_cardinalities_sketch": sql(
+        'SELECT count(DISTINCT "user") AS n_users, count(DISTINCT item) AS n_items FROM ratings',
+        EVENTS),
+    "exact_split": sql(
+        f"""SELECT item, "user", rating, seq, CAST(row_number() OVER (ORDER BY
+    ('0x' || substr(md5(seq::VARCHAR || ':0'), 1, 12))::BIGINT, seq, item, "user", rating)
+    <= ceil({prepare.TEST_SHARE} * count(*) OVER ()) AS INT) AS is_test FROM ratings""", EVENTS),
     "id_cardinalities": sql(
         'SELECT count(DISTINCT "user") AS n_users, count(DISTINCT item) AS n_items FROM ratings',
         EVENTS),
@@ -216,8 +236,9 @@ ORACLES: dict[str, str] = {
         EVENTS.replace("ratings AS", "raw AS"), BLOCK_ORDER,
         numbered('"user"', "seq"), numbered("item", "seq")),
     "prepare_small": sql(
-        reindexed(", r.seq", where=f"WHERE {SLOT}"), EVENTS.replace("ratings AS", "raw AS"),
-        f'ratings AS MATERIALIZED (SELECT * FROM raw ORDER BY seq LIMIT {SAMPLE})',
+        reindexed(", r.seq", where=f"WHERE {SLOT}"), ORDERS.replace("ratings AS", "raw AS"),
+        'ratings AS MATERIALIZED (SELECT * FROM raw ORDER BY seq, item, "user", rating '
+        f'LIMIT {SAMPLE})',
         numbered('"user"', "seq"), numbered("item", "seq")),
     "init_w": sql(matrix("w0", "item", 9), EVENTS, W0),
     "row_normalize": sql(matrix("h0", '"user"', 9), EVENTS, H0),
@@ -240,6 +261,10 @@ ORACLES: dict[str, str] = {
     "ppc_iter1_h": sql(matrix("h1", '"user"', 8), EVENTS, H0, W0, h_pass(1)),
     "ppc_iter1_w": sql(matrix("w1", "item", 8), EVENTS, fit(1)),
     "ppc_iter2_h": sql(matrix("h2", '"user"', 8), EVENTS, fit(1), h_pass(2)),
+    "ppc_resume_h": sql(matrix("h2", '"user"', 8), EVENTS, fit(1), h_pass(2)),
+    "ppc_tol_h": sql(
+        'SELECT "user", j, round(v, 8) + 0.0::DOUBLE AS v, passes FROM passes JOIN stop USING (passes)',
+        EVENTS, fit(MOST_ITERATIONS), CHANGES),
     "ppc_delta": sql(
         'SELECT round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) AS delta FROM h0 a JOIN h1 b '
         'ON a."user" = b."user" AND a.j = b.j', EVENTS, H0, W0, h_pass(1)),
@@ -266,6 +291,9 @@ ORACLES: dict[str, str] = {
     "cluster_cooccurrence": sql(
         "SELECT cluster, i, j, round(g, 9) AS g FROM g WHERE i <= j AND g > 0", EVENTS, COOC),
     "rm2_scores": sql("SELECT * FROM scores", EVENTS, SCORES),
+    "rm2_from_store": sql("SELECT * FROM scores", EVENTS, SCORES),
+    "scores_of_cluster": sql(
+        "SELECT * FROM scores WHERE cluster = (SELECT arg_min(cluster, \"user\") FROM probs)", EVENTS, SCORES),
     "rm2_scores_dense": sql(
         'SELECT c.cluster, c."user", i.item, s.log_score FROM clusters c '
         "CROSS JOIN (SELECT DISTINCT item FROM ratings) i "

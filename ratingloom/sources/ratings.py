@@ -16,13 +16,14 @@ def read_triples(
     id_offset: int = 0,
     with_seq: bool = False,
     corrupt_column: str = "_corrupt_record",
+    with_file: bool = False,
 ) -> DataFrame:
     """Read one file, many files or a glob of triples.
 
     A line that has not three whole numbers fails the job, whichever columns are asked for, unless
     ``mode`` is ``PERMISSIVE``, which keeps its text in ``corrupt_column``. ``id_offset`` is added to
     both ids (-1 turns 1-based ids to 0-based). ``with_seq`` adds an arrival order from the file, the
-    block and the place in the block.
+    block and the place in the block, ``with_file`` the name of the file.
     """
     permissive = mode.upper() == "PERMISSIVE"
     names = TRIPLE.fieldNames()
@@ -30,6 +31,8 @@ def read_triples(
     df = spark.read.schema(T.StructType(fields)).csv(
         path, header=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_line"
     )
+    if with_file:
+        df = df.withColumn("file", F.col("_metadata.file_path"))
     if with_seq:
         from ratingloom.sources.blocks import arrival_order
 
@@ -48,4 +51,4 @@ def read_triples(
     shift = {"item": id_offset, "user": id_offset, "rating": 0}
     columns = [(v + shift[n]).cast("int").alias(n) for n, v in values.items()]
     columns += [F.when(bad, line).alias(corrupt_column)] if permissive else []
-    return df.select(*columns, *(["seq"] if with_seq else []))
+    return df.select(*columns, *(["seq"] if with_seq else []), *(["file"] if with_file else []))

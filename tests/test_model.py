@@ -133,7 +133,7 @@ def brute_rm2(rows, cluster, lam):
 
 
 @pytest.mark.parametrize("cut", [
-    None, {"chunk_min": 5, "chunk_max": 5, "block_cells": 10, "tile_cells": 20, "tile_pairs": 50},
+    None, {"chunk_max": 5, "block_cells": 10, "task_work": 20, "tile_cells": 20, "tile_pairs": 50},
 ])
 @pytest.mark.parametrize("n_clusters", [1, 3])
 def test_rm2_matches_brute_force(spark, rows, cut, n_clusters):

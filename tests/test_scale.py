@@ -153,7 +153,7 @@ def test_cells_of_g_do_not_grow_with_the_partitions(spark, conf):
     sizes = []
     for n in ("2", "64"):
         conf(spark_sql_shuffle_partitions=n)
-        plan = rm2.cluster_plan(probs, chunk_min=10, tile_cells=400)
+        plan = rm2.cluster_plan(probs, task_work=1000, tile_cells=400)
         assert plan.cuts[0][3] == 3 and plan.parts() == 1
         rows = rm2._cooccurrence_rows(probs, plan)
         sizes.append(rows.agg(F.sum(F.size("j"))).first()[0])

@@ -1,0 +1,82 @@
+"""First rows and exact splits against a sort, with nulls, ties, equal rows and extreme numbers."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from ratingloom.operators import prepare, selection
+from ratingloom.session import materialize
+from tests.test_model import RATING, skewed
+
+BIG = 2**63
+
+
+def nulls_first(row):
+    return tuple((v is not None, v or 0) for v in row)
+
+
+def tables():
+    rng = np.random.default_rng(3)
+    yield "a bigint, b int", [(int(rng.integers(0, 9)), int(rng.integers(0, 3))) for _ in range(120)]
+    yield "a bigint, b int", [(None if rng.random() < 0.3 else int(rng.integers(-4, 4)), None if rng.random() < 0.5 else 7)
+                              for _ in range(90)]
+    yield "a bigint, b int", [(5, 5)] * 70 + [(5, 6)] * 20
+    yield "a bigint, b int", [(x, 0) for x in (-BIG, -BIG + 1, -1, 0, 1, BIG - 2, BIG - 1, BIG - 1)]
+    yield "a bigint, b int", [(int(x), 1) for x in rng.integers(-BIG, BIG - 1, 60)]
+
+
+@pytest.mark.parametrize("bins", [3, 4096])
+def test_parts_are_those_of_a_sort(spark, bins):
+    for schema, rows in list(tables())[: 3 if bins == 3 else None]:
+        df = materialize(spark.createDataFrame(rows, schema).repartition(3), "selection-test")
+        ordered = sorted(rows, key=nulls_first)
+        for n in sorted({0, 1, len(rows) // 3, len(rows) - 1, len(rows) + 5}):
+            first, rest = selection.split_at(df, ["a", "b"], n, bins)
+            got = [sorted((tuple(r) for r in part.collect()), key=nulls_first) for part in (first, rest)]
+            assert got == [ordered[:n], ordered[n:]]
+
+
+def test_columns_outside_the_order_keep_rows_whole(spark):
+    rows = [(i % 3, f"name {i % 4}", None if i % 5 else 0.5) for i in range(60)] + [(1, "same", 1.0)] * 9
+    df = spark.createDataFrame(rows, "a int, name string, x double")
+    for n in (1, 17, 25, 33, 40):
+        first, rest = selection.split_at(df, ["a"], n)
+        one, two = ([tuple(r) for r in part.collect()] for part in (first, rest))
+        assert len(one) == n and sorted(map(str, one + two)) == sorted(map(str, rows))
+        assert max(r[0] for r in one) <= min(r[0] for r in two)
+        assert sorted(map(str, one)) == sorted(str(tuple(r)) for r in selection.split_at(df.repartition(5), ["a"], n)[0].collect())
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], RATING)
+    for n in (0, 1, 9):
+        assert [p.count() for p in selection.split_at(df, ["seq"], n)] == [0, 0]
+    assert [p.count() for p in prepare.exact_split(df)] == [0, 0]
+
+
+def test_neither_part_sorts_or_gathers(spark):
+    ratings = materialize(spark.createDataFrame(skewed(), RATING), "selection-test")
+    for part in (prepare.first_n(ratings, 200), *prepare.exact_split(ratings)):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "SinglePartition" not in plan and "Limit" not in plan
+    plan = prepare.first_n(ratings, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(seq," in plan  # the range reaches the scan
+
+
+@pytest.mark.parametrize("test", [0.25, 0.0, 1.0, 0.333, 0, 1, 100])
+def test_exact_split(spark, test):
+    rows = skewed() + [(1, 1, 1, 7)] * 30
+    ratings = materialize(spark.createDataFrame(rows, RATING).repartition(4), "selection-test")
+    n = math.ceil(test * len(rows)) if isinstance(test, float) else test
+    order = sorted(rows, key=lambda r: (int(hashlib.md5(f"{r[3]}:5".encode()).hexdigest()[:12], 16), r[3], *r[:3]))
+    train, held = prepare.exact_split(ratings, test, seed=5)
+    assert sorted(map(tuple, held.collect())) == sorted(order[:n])
+    assert sorted(map(tuple, train.collect())) == sorted(order[n:])
+
+
+@pytest.mark.parametrize("test", [-1, 1.5, -0.1])
+def test_sizes_that_make_no_sense(spark, test):
+    with pytest.raises(ValueError):
+        prepare.exact_split(spark.createDataFrame(skewed(), RATING), test)

@@ -60,12 +60,15 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Merger:
-    """Ids of words, exactly as the tokenizers library has them for the vocabulary file."""
+    """Ids of words, exactly as the tokenizers library has them for the vocabulary file.
+
+    ``special=False`` reads the literals of special tokens as plain text.
+    """
 
     #: Words that are merged in one call.
     JOINED = 4_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import os
 
         import public_tokenizers
@@ -74,6 +77,7 @@ class Merger:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task per core
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not special
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
@@ -351,9 +355,9 @@ class Numbers(dict):
 
 
 class Encoder:
-    """Encodes texts by a lexicon, and merges and remembers the words that it lacks."""
+    """Encodes texts by a lexicon, if there is one, and merges and remembers the words that it lacks."""
 
-    def __init__(self, lexicon: Lexicon, merger: Merger):
+    def __init__(self, lexicon: Lexicon | None, merger: Merger):
         self.lexicon, self.merger, self.split = lexicon, merger, splitter()
         self.forget()
 
@@ -385,8 +389,10 @@ class Encoder:
         base = self.count - len(fresh)
         self._room("begin", self.count)
         self._room("size", self.count)
-        known, ids, sizes = self.lexicon.ids([w.encode() for w in fresh])
-        self._add(base + np.flatnonzero(known), ids, sizes)
+        known = np.zeros(len(fresh), bool)
+        if self.lexicon is not None:
+            known, ids, sizes = self.lexicon.ids([w.encode() for w in fresh])
+            self._add(base + np.flatnonzero(known), ids, sizes)
         missing = np.flatnonzero(~known)
         merged = self.merger.ids([fresh[k] for k in missing])
         if merged:

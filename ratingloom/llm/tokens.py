@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ratingloom.llm import lexicon
 from ratingloom.llm.bpe import vocabulary
 from ratingloom.llm.common import ship, slices, small, small_batches
 from ratingloom.session import materialize, scratch_path
@@ -32,162 +32,32 @@ ship(__name__)
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Pieces that a task remembers before it starts anew.
-MEMORY = 800_000
 ROWS_PER_INDEX = 1_000
 STRIPE_BYTES = 16 << 20
 
-#: Punctuation that is encoded apart from the word before it.
-MARKS = ".,;:!?"
-
-#: White space in front of a space: where it occurs, a text is cut by a pattern, else at all spaces.
-ODD_ASCII = [chr(c) + " " for c in range(128) if chr(c).isspace()]
-ODD_OTHER = [chr(c) + " " for c in range(128, 0x3001) if chr(c).isspace()]
-
 FILE = "doc_id bigint, part int, place bigint, before bigint, ids array<int>"
 
 
-class Numbers(dict):
-    """Numbers its keys as they are asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
-
-
-class Encoder:
-    """The tokenizers library, asked once for each piece of text that comes again and again.
-
-    A text may be cut before every space that follows a character other than white space: the
-    vocabulary's pattern always ends a pre-token there, and what precedes does not look ahead of it.
-    New pieces are joined again to be encoded together. A piece that starts with its only space
-    starts with the only token of it that starts with a space, which tells the pieces' ids apart;
-    all other pieces are encoded one by one.
+class Encoder(lexicon.Encoder):
+    """Ids of texts, each with the end id: words that a task knows are looked up, new ones are merged.
 
     With ``special`` the vocabulary's special tokens are read as the file has them, as in
     ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: the literal ``<|endoftext|>``
     is one id. They hold no white space, so no cut falls into one. Without it they are plain text.
     """
 
-    #: Pieces that are encoded together.
-    JOINED = 2_000
-
     def __init__(self, path: str, special: bool = False):
-        import os
-
-        import regex
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task per core
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = not special
-        self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) ")
-        space = self.model.encode(" ", add_special_tokens=False).tokens[0]
-        self.spaced = np.zeros(self.model.get_vocab_size(), bool)
-        for token, i in self.model.get_vocab().items():
-            self.spaced[i] = token.startswith(space)
-        self.forget()
-
-    def forget(self) -> None:
-        # What a piece is called: itself without its first space; the first of a text has none.
-        self.inner, self.first = Numbers(), Numbers()
-        # Of the inner pieces and of the first ones: all ids in a row, where each begins, how long.
-        self.known = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in (0, 1)]
-
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a text without the space that all but the first begin with."""
-        odd = any([x in text for x in ODD_ASCII])
-        if odd or not text.isascii() and any([x in text for x in ODD_OTHER]):
-            return self.cut.split(text)
-        return text.split(" ")
-
-    def learn(self, which: int, fresh: list[str], cores: dict[int, str]) -> None:
-        """Encode new pieces and add them to the known ones, in their order.
-
-        ``cores`` has, by place, the new pieces that end in punctuation behind a letter or digit: a
-        pre-token ends there too, so they are the ids of the piece without it and of the punctuation.
-        """
-        alone = np.array([which == 1 or not f or " " in f or f[-1].isspace() for f in fresh])
-        starts, lengths = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
-        table, known_starts, known_lengths = self.known[which]
-        tables, end = [table], len(table)
-        whole = np.ones(len(fresh), bool)
-        whole[list(cores)] = False
-        together = np.flatnonzero(~alone & whole)
-        groups = [together[k : k + self.JOINED] for k in range(0, len(together), self.JOINED)]
-        joined = [" " + " ".join([fresh[i] for i in g]) for g in groups]
-        for group, found in zip(groups, self.model.encode_batch_fast(joined, add_special_tokens=False)):
-            row = np.array(found.ids, np.int32)
-            begins = np.flatnonzero(self.spaced[row])
-            if len(begins) != len(group):
-                raise AssertionError("pieces and their ids do not match")
-            starts[group], lengths[group] = end + begins, np.diff(begins, append=len(row))
-            tables.append(row)
-            end += len(row)
-        lonely = np.flatnonzero(alone & whole)
-        texts = [fresh[i] if which else " " + fresh[i] for i in lonely]
-        for i, found in zip(lonely, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-            tables.append(np.array(found.ids, np.int32))
-            starts[i], lengths[i] = end, len(tables[-1])
-            end += len(tables[-1])
-        table = np.concatenate(tables)
-        all_starts = np.concatenate([known_starts, starts])
-        all_lengths = np.concatenate([known_lengths, lengths])
-        if cores:
-            place = np.fromiter(cores, np.int64, len(cores))
-            core = np.fromiter(map(self.inner.__getitem__, cores.values()), np.int64, len(cores))
-            ends = [fresh[i][len(c) :] for i, c in cores.items()]
-            marks = {mark: k for k, mark in enumerate(dict.fromkeys(ends))}
-            ids = [np.array(e.ids, np.int32) for e in self.model.encode_batch(list(marks), add_special_tokens=False)]
-            size = np.array([len(x) for x in ids])
-            mark = np.array([marks[e] for e in ends])
-            # Core, mark, core, mark ..: two stretches of a table for each piece.
-            begin = np.stack([all_starts[core], (len(table) + np.cumsum(size) - size)[mark]], axis=1).ravel()
-            long = np.stack([all_lengths[core], size[mark]], axis=1).ravel()
-            at = np.repeat(begin - np.cumsum(long) + long, long)
-            more = np.concatenate([table, *ids])[at + np.arange(len(at))]
-            total = long.reshape(-1, 2).sum(axis=1)
-            all_starts[len(known_starts) + place] = len(table) + np.cumsum(total) - total
-            all_lengths[len(known_starts) + place] = total
-            table = np.concatenate([table, more])
-        self.known[which] = (table, all_starts, all_lengths)
+        super().__init__(None, lexicon.Merger(path, special))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the end id, and the length of each."""
-        if len(self.inner) + len(self.first) > MEMORY:
-            self.forget()
-        before, rows = (len(self.inner), len(self.first)), []
-        ask, ask_first = self.inner.__getitem__, self.first.__getitem__
-        for text in texts:
-            names = self.pieces(text)
-            row = np.empty(len(names) + 1, np.int64)
-            row[0] = -2 - ask_first(names[0])
-            row[1:-1] = np.fromiter(map(ask, names[1:]), np.int64, len(names) - 1)
-            row[-1] = -1  # the end id
-            rows.append(row)
-        if len(self.inner) > before[0]:
-            cores = {}
-            for i, name in enumerate(list(islice(self.inner, before[0], None))):
-                core = name.rstrip(MARKS)
-                if core and len(core) < len(name) and core[-1].isalnum():
-                    cores[i] = core
-                    ask(core)
-            self.learn(0, list(islice(self.inner, before[0], None)), cores)
-        if len(self.first) > before[1]:
-            self.learn(1, list(islice(self.first, before[1], None)), {})
-        # One table of all pieces: the inner ones, the first ones backwards from the end, the end id.
-        (table, starts, lengths), (other, other_starts, other_lengths) = self.known
-        table = np.concatenate([table, other, [np.int32(END_ID)]])
-        other_starts = other_starts[::-1] + (len(table) - 1 - len(other))
-        starts = np.concatenate([starts, other_starts, [len(table) - 1]])
-        lengths = np.concatenate([lengths, other_lengths[::-1], [1]])
-        pieces = np.concatenate(rows)
-        size = lengths[pieces]
-        upto = np.cumsum(size)
-        at = np.repeat(starts[pieces] - upto + size, size)
-        at += np.arange(len(at))
-        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) - 1
-        return table[at], np.diff(upto[ends], prepend=0)
+        ids, lengths = super().encode(texts)
+        ends = np.cumsum(lengths + 1) - 1
+        out = np.full(len(ids) + len(ends), END_ID, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = ids
+        return out, lengths + 1
 
 
 def write(

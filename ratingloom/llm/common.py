@@ -161,6 +161,14 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
         now = fresh
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash48(key: Column) -> Column:
     """48 bits of the MD5 of a key's text, as a long: a hash that any SQL engine can repeat.
 

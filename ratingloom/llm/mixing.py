@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingloom.llm.common import WORD, hash48, small
+from ratingloom.llm.common import WORD, hash48, small, unused
 from ratingloom.session import materialize
 
 HASH_BITS = 48
@@ -141,11 +141,12 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
     _, plan = plan_mix(docs)
+    own = unused(docs, "mix")
     mine = docs.join(
-        plan.select(F.struct(*plan.columns).alias("_mix")),
-        docs["source"].cast("string").eqNullSafe(F.col("_mix.source")),
+        plan.select(F.struct(*plan.columns).alias(own)),
+        docs["source"].cast("string").eqNullSafe(F.col(f"{own}.source")),
     )
     h = hash48(docs["doc_id"])
-    once = (h < F.col("_mix.upto")) | ((h == F.col("_mix.upto")) & F.col("_mix.last"))
-    times = (F.col("_mix.copies") + once.cast("bigint")).cast("int")
-    return mine.withColumn("_mix", F.explode(F.array_repeat(F.lit(0), times))).drop("_mix")
+    once = (h < F.col(f"{own}.upto")) | ((h == F.col(f"{own}.upto")) & F.col(f"{own}.last"))
+    times = (F.col(f"{own}.copies") + once.cast("bigint")).cast("int")
+    return mine.withColumn(own, F.explode(F.array_repeat(F.lit(0), times))).drop(own)

@@ -95,10 +95,72 @@ def test_odd_rows(spark):
             assert r.kept == (r.doc_id == r.component_id)
     assert {r.component_id for r in got if r.doc_id in (5, 6)} == {5}
     kept = minhash.keep(docs)
-    assert kept.columns == docs.columns and 6 not in {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 8, 9]
     assert minhash.groups(odd.empty(spark)).count() == minhash.keep(odd.empty(spark)).count() == 0
 
 
+def test_keep_judges_rows_by_their_texts(spark):
+    same, other, near = (
+        "one and the same text of words " * 9, "quite another text with own words " * 9, "".join(f"n{i} " for i in range(100))
+    )
+    rows = [(1, same), (1, same), (1, same), (None, other), (None, other), (None, other), (2, near + "g"), (2, "x y z " * 30 + "w"),
+            (3, near + "h"), (None, same), (None, near + "i"), (4, ""), (4, ""), (5, None), (5, None)]
+    docs = spark.createDataFrame([(*r, i, "r") for i, r in enumerate(rows)], "doc_id bigint, text string, _gone int, row string")
+    for parts in (1, 3):
+        kept = minhash.keep(docs.repartition(parts))
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id or 0), r.text or "") for r in kept.collect())
+        want = [(0, other), (1, same), (2, "x y z " * 30 + "w"), (2, near + "g"), (4, ""), (4, ""), (5, ""), (5, "")]
+        assert got == sorted(want)
+
+
+def test_boilerplate_is_not_compared(spark, monkeypatch):
+    """Texts that share half of their words are candidates of each other, and no text of them moves."""
+    rng, rows = random.Random(9), []
+    shared = [f"c{i}" for i in range(200)]
+    for i in range(600):
+        rows.append((i, " ".join(shared + [f"w{rng.randrange(10**9)}" for _ in range(200)])))
+    rows += [(1000 + i, rows[i][1] + " and more") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    confirm = minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda d, m, p: seen.append(m.count()) or confirm(d, m, p))
+    got = {r.doc_id: r.component_id for r in minhash.groups(docs).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    classes = minhash.sketches(docs).withColumnsRenamed({"doc_id": "rep"})
+    assert minhash.candidates(classes).count() > 300 and seen[0] <= 20
+
+
+def test_the_estimate_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        least = minhash.least_agreeing(percent)
+        agree = rng.binomial(minhash.CHECKS, percent / 100, 10**6)
+        assert (agree < least).mean() <= 3 * minhash.MISSED_CHECK
+        assert (rng.binomial(minhash.CHECKS, 0.5, 10**6) >= least).mean() < 0.002
+
+
+def test_texts_are_sent_once_where_the_hub_links_all(spark, monkeypatch):
+    """A hub and near copies: the tiles of the rest get nothing; a chain needs them."""
+    base = [f"w{i}" for i in range(400)]
+    star = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(300)]
+    chain = [(1000 + i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 60))) for i in range(30)]
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 20)
+    tiles, sent = minhash._tiles, []
+
+    def counted(marked, sums, rest, percent):
+        sent.append(rest.agg({"n_rest": "sum"}).first()[0] or 0)
+        return tiles(marked, sums, rest, percent)
+
+    monkeypatch.setattr(minhash, "_tiles", counted)
+    for rows in (star, chain):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.groups(docs).collect()}
+        assert got == plain_groups(rows)
+    assert sent[0] == 0 and sent[1] > 10
+
+
 def test_shared_counts_light_and_heavy_shingles():
     rng = np.random.default_rng(2)
     sets = [set(rng.integers(0, 60, 25).tolist()) | {1000 + i // 3} for i in range(30)]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import zlib
 from collections import defaultdict
@@ -11,8 +12,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ratingloom.llm import bpe, mixing, oracles, queries, tokens, toxicity
+from ratingloom.llm import bpe, hosts, mixing, oracles, queries, tokens, toxicity
 
+from . import odd
 from .test_hosts import plain as plain_signals
 from .test_minhash import plain_groups
 from .test_mixing import water_fill
@@ -101,6 +103,38 @@ def test_op10(spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(40))
 
 
+def plain_shard(doc_id, shards, grown=False):
+    """Region, rack and shard by hand: 40 shards are two regions of four racks of five."""
+    def least(children):
+        def draw(child):
+            name, weight = child[0], child[1]
+            h = int(hashlib.md5(f"{doc_id}/{name}".encode()).hexdigest()[:12], 16)
+            return -math.log((h + 0.5) / 2**48) / weight
+        return min(children, key=draw)
+
+    racks = [(f"rack{i}", 5.0, [(f"shard{s}", 1.0, s) for s in range(5 * i, 5 * i + 5)]) for i in range(shards // 5)]
+    regions = [(f"region{i}", 20.0, racks[4 * i : 4 * i + 4]) for i in range(len(racks) // 4)]
+    if grown:
+        regions.append((f"region-of-{shards}", 1.0, [(f"rack-of-{shards}", 1.0, [(f"shard{shards}", 1.0, shards)])]))
+    return least(least(least(regions)[2])[2])[2]
+
+
+def test_op10_draws_are_those_of_a_plain_descent(spark):
+    for r in queries.op10_shard_tree(spark, SF_DIR).collect():
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, 40), plain_shard(r.doc_id, 40, grown=True))
+
+
+def test_op7_finds_held_out_toxic_documents(spark):
+    """Labels that training never sees, in tables large enough to have some; few are toxic, so bounds are wide."""
+    folder = os.path.join(os.path.dirname(SF_DIR), "sf0.1")
+    labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet'").fetchall()
+    toxic = dict(labels)
+    rows = [r for r in queries.op7_toxicity(spark, folder).collect() if r.held_out and r.doc_id in toxic]
+    caught = [r.predicted for r in rows if toxic[r.doc_id] == 1]
+    alarms = [r.predicted for r in rows if toxic[r.doc_id] == 0]
+    assert len(caught) > 100 and np.mean(caught) >= 0.75 and np.mean(alarms) <= 0.02
+
+
 def test_op2_and_op7_return_every_document(spark):
     ids = sorted(d["doc_id"] for d in table("documents"))
     for query, rest, parts in ((queries.op2_language, 0, 5), (queries.op7_toxicity, 1, 3)):
@@ -130,20 +164,56 @@ def plain_mix(docs):
     return copies
 
 
+def plain_hosts(documents):
+    """Documents that pass the base rule and whose source is not rejected, by moments of a beta prior."""
+    failed = {}
+    for d in documents:
+        words, _, _, _, repeated = plain_signals(d["text"])
+        failed[id(d)] = words < 10 or 100 * repeated > 20 * words
+    n, f = defaultdict(int), defaultdict(int)
+    for d in documents:
+        if d["source"] is not None:
+            n[d["source"]] += 1
+            f[d["source"]] += failed[id(d)]
+    total, mean = sum(n.values()), sum(f.values()) / max(sum(n.values()), 1)
+    spread = sum(n[h] * (f[h] / n[h] - mean) ** 2 for h in n)
+    rest, over = len(n) - 1, total - sum(v * v for v in n.values()) / max(total, 1)
+    variance = mean * (1 - mean)
+    rho = (spread / variance - rest) / (over - rest) if variance and over != rest else None
+    weight = min(max(1 / rho - 1, hosts.PRIOR_LEAST), hosts.PRIOR_MOST) if rho and rho > 0 else hosts.PRIOR_MOST
+    bad = {h for h in n if (f[h] + weight * mean) / (n[h] + weight) > hosts.MAX_RATE}
+    return [d for d in documents if not failed[id(d)] and d["source"] not in bad]
+
+
+def test_quality_stage_rejects_hosts(spark):
+    good = "every word of this sentence is different from all others here "
+    rows = [(i, good + str(i), "en", f"s{i % 5}", 1) for i in range(100)]
+    rows += [(1000 + i, "short", "en", "bad", 1) for i in range(60)] + [(2000, good, "en", "bad", 1), (2001, good, "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = {d["doc_id"] for d in plain_hosts([r.asDict() for r in docs.collect()])}
+    assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()} == want == {*range(100), 2001}
+
+
+def test_stages_take_odd_and_empty_documents(spark, tmp_path):
+    labels = [(i, 1, int(i % 2)) for i in range(1, 10)]
+    for name, docs in (("odd", odd.documents(spark)), ("empty", odd.empty(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert (found.count() == 0) == (name == "empty")
+
+
 def test_pipeline_matches_a_plain_version(spark):
     """Every stage by hand; the network's scores are the operator's own, the decision is not."""
     found = corpus_pipeline.run(spark, SF_DIR).collect()
     documents = table("documents")
-    kept = []
-    for d in documents:
-        words, _, _, _, repeated = plain_signals(d["text"])
-        if words >= 10 and 100 * repeated <= 20 * words:
-            kept.append(d)
+    kept = plain_hosts(documents)
     rows = spark.createDataFrame([(d["doc_id"], d["text"]) for d in kept], "doc_id bigint, text string")
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     score = {r.doc_id: r.score for r in toxicity.score(rows, labels).collect()}
     kept = [d for d in kept if score[d["doc_id"]] < 0.7]
-    groups = plain_groups([(d["doc_id"], d["text"]) for d in kept])
+    groups = plain_groups([(d["doc_id"], d["text"]) for d in kept], corpus_pipeline.NEAR_PERCENT)
     kept = [d for d in kept if groups[d["doc_id"]][1] == d["doc_id"]]
     copies, model = plain_mix(kept), bpe.encoder(bpe.vocabulary())
     want = [(d["doc_id"], *digests(model, d["text"])) for d in kept for _ in range(copies[d["doc_id"]])]

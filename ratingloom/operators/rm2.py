@@ -291,10 +291,11 @@ def routes(probs: DataFrame, where: DataFrame) -> DataFrame:
     ).select("cluster", "user", "blocks")
 
 
-def routed_lists(probs: DataFrame, plan: Plan, where: DataFrame) -> DataFrame:
+def routed_lists(probs: DataFrame, plan: Plan, where: DataFrame | None) -> DataFrame:
     """``(cluster, chunk, block, id, items)``: users' lists in the blocks that may score them.
 
-    A list is cut at about ``LIST_ITEMS`` items, so that no row grows with a user.
+    A list is cut at about ``LIST_ITEMS`` items, so that no row grows with a user. Without ``where`` all lists
+    go to block 0, which is right if there is no other.
     """
     lists = (
         _chunked(probs, plan)
@@ -302,6 +303,8 @@ def routed_lists(probs: DataFrame, plan: Plan, where: DataFrame) -> DataFrame:
                  F.pmod(F.xxhash64("item"), F.col("n_lists")).alias("part"))
         .agg(F.collect_list("item").alias("items"))
     )
+    if where is None:
+        return lists.select("cluster", "chunk", F.lit(0).alias("block"), "id", "items")
     to = materialize(routes(probs, where), "routes").withColumnRenamed("user", "id")
     to = F.broadcast(to) if fits_broadcast(to.count(), 256) else to
     return lists.join(to, ["cluster", "id"]).select(
@@ -350,11 +353,14 @@ def rm2_scores(
 
     Every (chunk of users, block of candidates) meets in one task. The rows sent there are packed: a list of
     items per user, routed by the rarest item, and a list of cells per item. g is written once, as
-    both the routes and the scores read it; :class:`CooccurrenceStore` keeps it for later scoring.
+    both the routes and the scores read it, unless clusters have one block each and nothing is to be
+    routed; :class:`CooccurrenceStore` keeps it for later scoring.
     """
     plan = cluster_plan(probs) if plan is None else plan
-    g = materialize(_cooccurrence_rows(probs, plan), "cooccurrence")
-    where = materialize(directory(g), "directory")
+    g, where = _cooccurrence_rows(probs, plan), None
+    if any(c[1] > 1 for c in plan.cuts.values()):
+        g = materialize(g, "cooccurrence")
+        where = materialize(directory(g), "directory")
     lists = routed_lists(probs, plan, where)
     wanted = lists.withColumn("g", F.lit(None).cast("array<double>"))
 

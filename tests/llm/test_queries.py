@@ -196,7 +196,8 @@ def test_quality_stage_rejects_hosts(spark):
 
 def test_stages_take_odd_and_empty_documents(spark, tmp_path):
     labels = [(i, 1, int(i % 2)) for i in range(1, 10)]
-    for name, docs in (("odd", odd.documents(spark)), ("empty", odd.empty(spark))):
+    clean = [(20, " ".join(f"word{i}" for i in range(40)), None, None, None, None, None)]
+    for name, docs in (("odd", odd.documents(spark, clean)), ("empty", odd.empty(spark))):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         found = corpus_pipeline.run(spark, f"{tmp_path}/{name}")

@@ -5,8 +5,8 @@ follows a character other than white space. The vocabulary's pattern always ends
 nothing before it looks further, so the ids of a text are those of its words, one after the other.
 
 1. All words of the corpus are counted (in every task first, then by a shuffle of words and counts).
-2. The ``WORDS`` most frequent ones, which is the bound of what reaches the driver, are merged and compiled
-   into a transducer: sorted words share prefixes, states with equal futures are one state, and ids stand on
+2. The most frequent ones, ``WORDS`` at most, reach the driver, are merged and compiled into a transducer: a
+   histogram of the counts tells from which count on words fit. Sorted words share prefixes, states with equal futures are one state, and ids stand on
    arcs as early as all words through the arc agree on them, so that endings can be shared.
 3. The automaton is a file of flat arrays in the shared folder. Tasks map it into memory (a file system
    without local paths is read instead) and look up all new words of a slice of texts at once, byte by byte.
@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 from ratingloom.llm.bpe import vocabulary
 from ratingloom.llm.common import ship, slices, small_batches, table_of
 from ratingloom.llm.warc import file_system
-from ratingloom.session import scratch_path
+from ratingloom.session import materialize, scratch_path
 
 ship(__name__)
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words of the lexicon: the most frequent ones that occur ``LEAST`` times at least, of up to ``LONGEST`` bytes.
+#: Words of the lexicon at most: frequent ones that occur ``LEAST`` times at least, of up to ``LONGEST`` bytes.
 WORDS, LEAST, LONGEST = 65_536, 3, 48
+#: Steps of the histogram of counts in each doubling.
+STEPS = 32
 #: Merged words that a task remembers.
 MEMORY = 400_000
 #: Words with a character from here on are left to the library.
@@ -328,14 +330,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def frequent_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The most frequent words of all texts, ``(word, n)``, ``words`` at most.
+
+    The cut is a step of a histogram of the logarithms of the counts: words of the step that does not fit as
+    a whole are left out.
+    """
+    step = F.floor(F.log2("n") * STEPS).alias("step")
+    counts = materialize(word_counts(docs).where(F.col("n") >= LEAST), "word-counts")
+    left, least = words, None
+    for r in sorted(counts.groupBy(step).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 def compile_lexicon(docs: DataFrame, path: str, vocabulary_path: str | None = None, words: int = WORDS) -> int:
-    """Count the words of all texts, and store the automaton of the ``words`` most frequent ones.
+    """Count the words of all texts, and store the automaton of the most frequent ones.
 
     Returns how many words it has.
     """
-    counts = word_counts(docs).where(F.col("n") >= LEAST)
-    rows = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    chosen = sorted(bytes(r["word"]) for r in rows)
+    chosen = sorted(bytes(r["word"]) for r in frequent_words(docs, words).select("word").collect())
     ids = Merger(vocabulary_path or vocabulary(VOCABULARY)).ids([w.decode() for w in chosen])
     store(flat(minimal([(w, tuple(i.tolist())) for w, i in zip(chosen, ids)])), path)
     return len(chosen)

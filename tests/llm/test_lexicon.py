@@ -123,10 +123,17 @@ def test_words_are_counted_over_all_texts(spark):
     got = {bytes(r.word).decode(): r.n for r in lexicon.word_counts(docs).collect()}
     assert got == {w: n for w, n in want.items() if len(w.encode()) <= lexicon.LONGEST}
     path = scratch_path(spark, "lexicon-test") + ".bin"
-    assert lexicon.compile_lexicon(docs, path, words=7) == 7
-    frequent = sorted((w for w, n in got.items() if n >= lexicon.LEAST), key=lambda w: (-got[w], w.encode()))[:7]
+    levels = sorted({int(np.floor(np.log2(n) * lexicon.STEPS)) for n in got.values() if n >= lexicon.LEAST}, reverse=True)
+    frequent = []
+    for level in levels:
+        more = [w for w, n in got.items() if n >= lexicon.LEAST and int(np.floor(np.log2(n) * lexicon.STEPS)) == level]
+        if len(frequent) + len(more) > 9:
+            break
+        frequent += more
+    assert lexicon.compile_lexicon(docs, path, words=9) == len(frequent) > 3
     assert lexicon.Lexicon(path).ids([w.encode() for w in frequent])[0].all()
     assert not lexicon.Lexicon(path).ids([w.encode() for w in got if w not in frequent])[0].any()
+    assert lexicon.compile_lexicon(docs, path, words=0) == 0
 
 
 def digests(model, text):

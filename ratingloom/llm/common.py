@@ -130,7 +130,8 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)``, the smallest node of each.
 
     Alternating large-star and small-star passes until nothing changes. Minima are combined before
-    the shuffle, and the skew join splits a node with very many edges, so no node is a group.
+    the shuffle, and the skew join splits a node with very many edges, so no node is a group. Minima of
+    a counted table that is small are broadcast, which spares the shuffles of both joins.
     Nodes without an edge are absent; an empty table gives an empty table. Each pass is a written
     table, so a lost executor repeats one pass at most.
     """
@@ -148,13 +149,16 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         before = seen
+        hint = F.broadcast if 2 * seen.n <= BROADCAST_ROWS else lambda df: df  # a row per node
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select(_renamed("a"), F.least("a", "m").alias("m"))
         up = now.select(F.col("b").alias("key"), F.col("a").alias("node"))
-        large = up.join(least, "key").where("node > m").select("node", F.col("m").alias("b")).distinct()
+        large = up.join(hint(least), "key").where("node > m").select("node", F.col("m").alias("b")).distinct()
         low = large.groupBy("node").agg(F.min("b").alias("m"))
-        linked = large.withColumnRenamed("node", "key").join(low.select(_renamed("node"), "m"), "key")
+        linked = large.withColumnRenamed("node", "key").join(
+            hint(low.select(_renamed("node"), "m")), "key"
+        )
         star = linked.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         fresh = materialize(star.union(low.select("node", F.col("m").alias("b"))).distinct(), label)
         discard(now)

@@ -6,8 +6,11 @@ neighbours are stitched at the first boundary that both have inside their overla
 right chunk is in step with the whole text. The runs between stitches are then encoded in parallel.
 A boundary counts only behind a character that is not white space, since the pattern looks ahead of
 white space. Where two chunks do not meet, nothing is known of the chunks behind them, so the rest of
-the text becomes one run: exact, but no longer parallel. A text of one chunk has nothing to stitch and is encoded at once.
-Decoding concatenates the raw bytes of the ids.
+the text becomes one run: exact, but no longer parallel. Decoding concatenates the raw bytes of the ids.
+
+Every text goes this way. Chunks of ``PIECE`` characters are stitched and encoded in the task that has
+the text, so no run is long and none waits for a whole text; a text over ``CHUNK`` characters is first dealt to
+tasks in chunks of that size, by the same rule. A text of one piece has nothing to stitch.
 
 Defined cases: a null text is empty and has no ids; rows with equal ids stay apart, each is a row of
 its own; an empty table gives an empty result; other columns are ignored, or kept if asked for.
@@ -29,8 +32,10 @@ from ratingloom.llm.common import ship, slices, small_batches, table_of
 ship(__name__)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Characters of a chunk and of the overlap with the next one.
+#: Characters of a chunk that is dealt to a task of its own, and of the overlap with the next one.
 CHUNK, OVERLAP = 65_536, 1_024
+#: Characters of a chunk inside a task, and of its overlap.
+PIECE, PIECE_OVERLAP = 2_048, 192
 #: White space by Unicode's property, which is what the rank files' pattern means.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -70,6 +75,23 @@ def boundaries(text: str, finder, blank) -> np.ndarray:
     return np.array([e for e in ends if not blank.match(text[e - 1])], np.int64)
 
 
+def stitched(text: str, finder, blank, chunk: int = PIECE, overlap: int = PIECE_OVERLAP) -> list[str]:
+    """The runs of a text: chunks are pre-tokenised apart and cut where neighbours first agree."""
+    cuts, tail = [0], set()
+    for start in range(0, len(text), chunk) if len(text) > chunk else ():
+        part = text[start : start + chunk + overlap]
+        ends = [m.end() for m in finder.finditer(part)]
+        # What ends with the part may go on behind it.
+        sure = lambda low, high: [e for e in ends if low <= e <= high and e < len(part) and not blank.match(part[e - 1])]
+        if start:
+            met = [e for e in sure(0, overlap) if e in tail]
+            if not met:
+                break
+            cuts.append(start + met[0])
+        tail = {e - chunk for e in sure(chunk, len(part))}
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 def packed(ids: list[int]) -> bytes:
     return np.asarray(ids, np.uint32).astype("<u4").tobytes()
 
@@ -78,10 +100,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4")
 
 
-def _encode_whole(part: pa.RecordBatch, model) -> pa.Array:
-    return pa.array(
-        [packed(model.encode_ordinary(t or "")) for t in part.column("text").to_pylist()], pa.binary()
-    )
+class Pieces:
+    """Encodes texts run by run."""
+
+    def __init__(self, path: str):
+        import regex
+
+        self.model, self.finder, self.blank = encoder(path), pre_tokeniser(), regex.compile(f"[{BLANK}]")
+
+    def encode(self, text: str) -> bytes:
+        runs = stitched(text, self.finder, self.blank)
+        return b"".join([packed(self.model.encode_ordinary(run)) for run in runs])
 
 
 def encode(
@@ -100,9 +129,9 @@ def encode(
     finish = finish or (lambda batch: batch)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
+        pieces = Pieces(path)
         for part in slices(batches):
-            ids = _encode_whole(part, model)
+            ids = pa.array([pieces.encode(t or "") for t in part.column("text").to_pylist()], pa.binary())
             yield finish(pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"]))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +225,13 @@ def _encode_runs(stitched: DataFrame, path: str) -> DataFrame:
     schema = "row string, doc_id bigint, run bigint, ids binary"
 
     def run(batches):
-        model = encoder(path)
+        pieces = Pieces(path)
         for batch in batches:
             out = []
             for parts, skip, more in zip(*(batch.column(c).to_pylist() for c in ("parts", "skip", "more"))):
                 text = "".join(p["text"][: p["head"]] for p in parts[:-1])
                 text += parts[-1]["text"][: parts[-1]["head"] + more]
-                out.append(packed(model.encode_ordinary(text[skip:])))
+                out.append(pieces.encode(text[skip:]))
             yield table_of(
                 schema, row=batch.column("row"), doc_id=batch.column("doc_id"),
                 run=batch.column("run"), ids=pa.array(out, pa.binary()),

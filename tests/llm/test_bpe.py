@@ -1,5 +1,7 @@
 import hashlib
+import os
 
+import duckdb
 import pytest
 
 from ratingloom.llm import bpe
@@ -20,6 +22,25 @@ def test_stitched_chunks_are_the_library_s_ids(spark, chunk, overlap):
     assert got == {i: model.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("chunk, overlap", [(1, 1), (7, 3), (64, 16), (bpe.PIECE, bpe.PIECE_OVERLAP)])
+def test_runs_in_a_task_are_the_library_s_ids(chunk, overlap):
+    pieces = bpe.Pieces(bpe.vocabulary())
+    for text in [t or "" for t in TEXTS]:
+        runs = bpe.stitched(text, pieces.finder, pieces.blank, chunk, overlap)
+        assert "".join(runs) == text
+        assert [i for r in runs for i in pieces.model.encode_ordinary(r)] == pieces.model.encode_ordinary(text)
+
+
+def test_documents_pass_through_stitching():
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    pieces = bpe.Pieces(bpe.vocabulary())
+    runs = [(len(t), len(bpe.stitched(t, pieces.finder, pieces.blank))) for t in texts]
+    long = [(n, r) for n, r in runs if n > bpe.PIECE + bpe.PIECE_OVERLAP]
+    assert len(long) > 20 and all(r > 1 for _, r in long)
+    assert sum(r for _, r in long) >= 0.9 * sum(n / bpe.PIECE for n, _ in long)
+
+
 def test_round_trip(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
     got = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs, None, 500, 50)).collect()}

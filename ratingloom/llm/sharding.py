@@ -110,25 +110,41 @@ def descend(docs: DataFrame, regions: tuple[Node, ...], out: str, key: str = "do
 def slots(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """Add ``slot``, a gapless number from 0 inside each shard, in the order of the id's hash.
 
-    Each shard is cut into ranges of the hash; rows are numbered inside their range, and the counts
-    of the ranges before it (one small row each) are added, so no task holds a shard.
+    Equal rows are counted as one, in pieces of ``SLOT_ROWS`` at most. Each shard is cut into ranges of
+    the hash, and a range that holds more than its share, as one id may be very frequent, is dealt over
+    several parts by the other values and the piece. Pieces are numbered inside their part, the counts
+    of the parts before it (one small row each) are added, and pieces become rows again at the end: no
+    task holds a shard, an id or a group of equal rows.
     """
     parts = max(1, total // (SLOT_ROWS * shards))
-    cut = rows.withColumn("_range", F.floor(F.col("h") * F.lit(parts) / F.lit(SPACE)).cast("int"))
-    counts = cut.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(
+    pieces = (
+        rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_all"))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / SLOT_ROWS))))
+        .withColumn("_n", F.least(F.lit(SLOT_ROWS), F.col("_all") - F.col("_piece") * SLOT_ROWS))
+        .withColumn("_range", F.floor(F.col("h") * F.lit(parts) / F.lit(SPACE)).cast("int"))
+        .drop("_all")
+    )
+    pieces = materialize(pieces, "slot-pieces")
+    ranges = pieces.groupBy("shard", "_range").agg(F.sum("_n").alias("n"))
+    ranges = materialize(
+        ranges.select("shard", "_range", F.ceil(F.col("n") / (4 * SLOT_ROWS)).alias("_parts")), "slot-ranges"
+    )
+    dealt = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "_piece"), "_parts")
+    cut = pieces.join(small(ranges), ["shard", "_range"]).withColumn("_part", dealt).drop("_parts")
+    part = ["shard", "_range", "_part"]
+    counts = cut.groupBy(*part).agg(F.sum("_n").alias("n"))
+    before = Window.partitionBy("shard").orderBy("_range", "_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = materialize(
-        counts.select("shard", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")),
-        "slot-starts",
+        counts.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")), "slot-starts"
     )
-    inside = Window.partitionBy("shard", "_range").orderBy("h", "doc_id", "size", "text_crc32")
-    numbered = cut.withColumn("_at", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(small(starts), ["shard", "_range"])
-        .withColumn("slot", (F.col("first") + F.col("_at")).cast("bigint"))
-        .drop("_range", "_at", "first")
+    inside = Window.partitionBy(*part).orderBy("h", "doc_id", "size", "text_crc32", "_piece").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    numbered = cut.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(small(starts), part)
+    return numbered.withColumn("_row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).select(
+        *rows.columns, (F.col("_first") + F.col("_at") + F.col("_row")).cast("bigint").alias("slot")
     )
 
 

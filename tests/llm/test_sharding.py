@@ -45,3 +45,24 @@ def test_weights_set_the_shares_and_confine_the_moves(spark):
     for (old, new), n in moves.items():
         count[new] += n
     assert abs(count[5] / 20_000 - 2 / 9) < 0.02 and abs(count[0] / 20_000 - 1 / 9) < 0.02
+
+
+def test_slots_of_a_frequent_id_and_of_equal_rows_lie_in_bounded_parts(spark, monkeypatch):
+    """A third of all rows share an id, a third are equal: no window holds either, and no slot is lost."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
+    more = [(50, f"text {i}", "en", "a", 1, "", 0) for i in range(600)]
+    more += [(None, "the same", "en", "a", 1, "", 0)] * 600
+    docs = odd.documents(spark, more + [(100 + i, "t", "en", "a", 1, "", 0) for i in range(600)])
+    tables = {}
+    plain = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, label: tables.setdefault(label, plain(df, label)))
+    rows, slots = sharding.place(docs, shards=4).collect(), defaultdict(list)
+    assert len(rows) == 1811
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    texts = sorted(((r.doc_id or -1, zlib.crc32((r.text or "").encode())) for r in docs.collect()))
+    assert sorted((r.doc_id or -1, r.text_crc32) for r in rows) == texts
+    assert tables["slot-pieces"].agg(F.max("_n")).first()[0] == 10
+    parts = tables["slot-starts"]
+    assert parts.count() > 1811 / 80 and parts.groupBy("shard", "_range").count().agg(F.max("count")).first()[0] > 10

@@ -32,31 +32,53 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD + "+")), F.lit(0)).cast("bigint")
 
 
+def weighted(sizes: DataFrame, cycle: int) -> DataFrame:
+    """Add ``weight`` to ``(source, source_size)``: 1, 2, .. ``cycle``, repeating, by the order of names.
+
+    Names are dealt to ranges; a name's number is its place in its range and the names of the ranges
+    before it, of which there is one row per shuffle partition.
+    """
+    order = F.col("source").asc_nulls_last()
+    ranged = (
+        materialize(sizes, "mix-sizes").repartitionByRange(order)
+        .withColumn("part", F.spark_partition_id()).sortWithinPartitions(order)
+        .withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    ranged = materialize(ranged, "mix-names")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    number = F.col("first") + F.col("place")
+    return ranged.join(F.broadcast(starts), "part").select(
+        "source", "source_size", (number % cycle + 1).alias("weight")
+    )
+
+
 def targets(sizes: DataFrame, cycle: int = 3, most: int = MOST_COPIES) -> DataFrame:
     """Add ``target`` to ``(source, source_size)``: shares by weight, at most ``most`` times the size.
 
     Sources in code-point order, null last, weigh 1, 2, .. ``cycle``, repeating. What a source cannot
-    take goes to the others by weight. Ordered by size over weight, the sources that stop at their
-    limit come first, so one running sum over the sources (one row each) finds them.
+    take goes to the others by weight: the level is what the open sources share per unit of weight, and
+    a source whose limit is not above its part of it stops there. Stopping raises the level, so passes
+    of one aggregate each go on until no more source stops. A pass stops most of the open sources or
+    raises the level by less than the pass before it, so there are few.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", (F.row_number().over(by_name) - 1) % cycle + 1)
-    by_need = Window.orderBy(F.col("source_size") / F.col("weight"), "weight").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    everything = Window.partitionBy()
-    ranked = ranked.withColumns({
-        "before": F.sum("source_size").over(by_need) - F.col("source_size"),
-        "weight_left": F.sum("weight").over(everything) - F.sum("weight").over(by_need) + F.col("weight"),
-        "total": F.sum("source_size").over(everything),
-    })
-    # The level at which this source and all after it would share what those before it leave.
-    level = (F.col("total") - most * F.col("before")) / F.col("weight_left")
-    ranked = ranked.withColumn("level", level).withColumn(
-        "open", most * F.col("source_size") > F.col("weight") * F.col("level")
-    )
-    shared = F.min(F.when(F.col("open"), F.struct("before", "level"))).over(everything)["level"]
-    target = F.least(F.col("weight") * shared, (most * F.col("source_size")).cast("double"))
+    ranked = materialize(weighted(sizes, cycle), "mix-weights")
+    whole = ranked.agg(
+        F.sum("source_size").alias("size"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")
+    ).first()
+    limit = most * F.col("source_size")
+    still, level = whole.n, whole.size / whole.weight if whole.n else 0.0
+    while still:
+        is_open = limit > F.col("weight") * F.lit(level)
+        now = ranked.agg(
+            F.count(F.when(is_open, 1)).alias("n"), F.sum(F.when(is_open, F.col("weight"))).alias("weight"),
+            F.coalesce(F.sum(F.when(~is_open, limit)), F.lit(0)).alias("stopped"),
+        ).first()
+        if now.n in (0, still):
+            break
+        still, level = now.n, (whole.size - now.stopped) / now.weight
+    target = F.least(F.col("weight") * F.lit(level), limit.cast("double"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 

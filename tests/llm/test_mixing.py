@@ -28,6 +28,18 @@ def test_targets_match_water_filling(spark):
     assert got == pytest.approx(water_fill({k: (s, weights[k]) for k, s in sizes.items()}))
 
 
+def test_many_sources_match_water_filling(spark):
+    """Names over several ranges and sizes of many magnitudes, so that sources stop in several passes."""
+    sizes = {f"s{i * 7919 % 5003}": int(1.9 ** (i % 40)) for i in range(2000)} | {None: 5, "\U0001f600": 3, "\uffee": 2}
+    names = sorted((k for k in sizes if k is not None), key=lambda k: [ord(c) for c in k])
+    weights = {k: i % 3 + 1 for i, k in enumerate([*names, None])}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r.source: r.target for r in mixing.targets(table).collect()}
+    assert got == pytest.approx(water_fill({k: (s, weights[k]) for k, s in sizes.items()}))
+    nothing = spark.createDataFrame([("a", 0), (None, 0)], "source string, source_size bigint")
+    assert [r.target for r in mixing.targets(nothing).collect()] == [0.0, 0.0]
+
+
 def test_odd_rows_match_sql(spark):
     more = [(100 + i, "w " * (i % 13), "en", f"s{i % 4}", 1, "", 0) for i in range(300)]
     docs = odd.documents(spark, more)

@@ -5,12 +5,15 @@ product with its own code. For two vectors, the code of the one with the rotated
 the factor, is an unbiased estimate of their cosine. Its spread is known, so an estimate far enough
 below the threshold rules a pair out, and only the others are recomputed in double precision.
 
+Before that, the codes alone are compared: the signs in which two vectors differ are as many as their
+angle makes likely, and pairs that differ in more than vectors at the threshold do are ruled out.
+
 Which pairs are looked at: signs of further random directions, ``bits`` a table, put vectors of one
 label into buckets; ``tables`` is chosen so that a pair at the threshold meets in none with
 probability ``MISS``, and ``bits`` so that a bucket of unrelated vectors stays near ``BUCKET``. A pair
 is looked at in the first table where it meets and in no other. Large buckets are cut into tiles.
-Buckets hold codes; whole vectors travel only to the buckets where an estimate let a pair pass. A
-task returns, per vector, its number of links and one link to its component: never pairs.
+Buckets hold a code and the keys of earlier tables; rotated and whole vectors travel only to the
+tiles where the codes let a pair pass. A task returns, per vector, its number of links and one link to its component: never pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and those with a
 null label or a null id, link with nothing; vectors of different lengths do not link; equal vectors
@@ -21,7 +24,8 @@ their component; an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ ship(__name__)
 COSINE = 0.98
 #: Chance that a pair exactly at the threshold meets in no table.
 MISS = 1e-6
+#: Chance that the codes alone rule out a pair exactly at the threshold.
+CODE_MISS = 1e-7
 #: Vectors in a bucket of unrelated vectors, about.
 BUCKET = 256
 #: Rows of a block; a tile has two blocks.
@@ -145,26 +151,69 @@ def codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
 
 
 def buckets(coded: DataFrame, tables: int) -> DataFrame:
-    """Add ``bucket`` and ``at``: one row per class and table."""
+    """``(print, code, at, bucket, keys)``: one row per class and table, with the keys of earlier tables."""
     key = F.expr("substring(keys, 4 * at + 1, 4)")
-    return coded.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn(
-        "bucket", F.xxhash64("label", "dim", "at", key)
+    each = coded.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
+    return each.select(
+        "print", "code", "at", F.xxhash64("label", "dim", "at", key).alias("bucket"),
+        F.expr("substring(keys, 1, 4 * at)").alias("keys"),
     )
 
 
+@cache
+def most_unlike(signs: int, cosine: float) -> int:
+    """The number of signs in which a pair at the threshold differs beyond with chance ``CODE_MISS``.
+
+    The directions of a rotation stand at right angles, which spreads the number less than
+    independent directions do, for which this is the binomial tail.
+    """
+    p, tail = math.acos(cosine) / math.pi, 0.0
+    for k in range(signs, 0, -1):
+        chosen = math.lgamma(signs + 1) - math.lgamma(k + 1) - math.lgamma(signs - k + 1)
+        tail += math.exp(chosen + k * math.log(p) + (signs - k) * math.log1p(-p))
+        if tail > CODE_MISS:
+            return k
+    return 0
+
+
+def parted(tile: pa.Table, kinds: np.ndarray, find: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs found in each kind of row apart, where a clash of hashes brought several into one bucket."""
+    parts = [np.flatnonzero(kinds == k) for k in np.unique(kinds)]
+    found = [(p, find(tile.take(pa.array(p)))) for p in parts]
+    return tuple(np.concatenate([p[pair[k]] for p, pair in found]) for k in (0, 1))
+
+
+def alike(tile: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as two arrays of rows) that this tile looks at and that their codes do not rule out."""
+    n, at = tile.num_rows, tile.column("at").to_numpy()
+    code = tile.column("code").to_pylist()
+    kinds = np.array([len(c) for c in code]) * 256 + at
+    if (kinds != kinds[0]).any():
+        return parted(tile, kinds, lambda part: alike(part, cosine))
+    block = tile.column("block").to_numpy()
+    signs = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(n, -1), axis=1).astype(np.float32) * 2 - 1
+    width = signs.shape[1]
+    able = signs @ signs.T >= width - 2 * most_unlike(width, cosine)
+    if block.min() != block.max():
+        able &= block[:, None] != block[None, :]
+    i, j = np.nonzero(np.triu(able, 1))
+    if at[0]:
+        keys = np.frombuffer(b"".join(tile.column("keys").to_pylist()), "<u4").reshape(n, -1)
+        first = ~(keys[i] == keys[j]).any(axis=1)
+        i, j = i[first], j[first]
+    return i, j
+
+
 def passing(tile: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (as two arrays of rows) that this tile looks at and that the estimates do not rule out."""
     n, at = tile.num_rows, tile.column("at")[0].as_py()
     dim = tile.column("dim")[0].as_py()
-    dims = tile.column("dim").to_numpy()
+    kinds = tile.column("dim").to_numpy().astype(np.int64) * 256 + tile.column("at").to_numpy()
+    if (kinds != kinds[0]).any():
+        return parted(tile, kinds, lambda part: passing(part, cosine))
     same = np.unique(tile.column("label").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
     block = tile.column("block").to_numpy()
     keys = np.frombuffer(b"".join(tile.column("keys").to_pylist()), "<u4").reshape(n, -1)
-    usable = dims == dim
-    if not usable.all():  # two lengths in one bucket: a clash of hashes
-        parts = [np.flatnonzero(dims == d) for d in np.unique(dims)]
-        found = [(p, passing(tile.take(pa.array(p)), cosine)) for p in parts]
-        return tuple(np.concatenate([p[pair[k]] for p, pair in found]) for k in (0, 1))
     bits = np.frombuffer(b"".join(tile.column("code").to_pylist()), np.uint8).reshape(n, -1)
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
     step = tile.column("step").to_numpy()
@@ -216,7 +265,7 @@ def linked(coded: DataFrame, vectors: DataFrame, tables: int, cosine: float) ->
     def look(batches):
         for tile in runs(batches, TILE):
             if tile.num_rows > 1:
-                pairs = np.unique(np.concatenate(passing(tile, cosine)))
+                pairs = np.unique(np.concatenate(alike(tile, cosine)))
                 if len(pairs):
                     chosen = tile.take(pa.array(pairs)).combine_chunks()
                     yield from chosen.select([c.split()[0] for c in wanted.split(", ")]).to_batches()

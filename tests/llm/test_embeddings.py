@@ -93,6 +93,39 @@ def test_estimates_are_unbiased_and_as_sharp_as_the_bound_says():
     assert abs(np.mean(off)) < 0.2 and 0.8 < np.std(off) < 1.2 and np.abs(off).max() < embeddings.SPREAD
 
 
+@pytest.mark.parametrize("dim", [16, 64, 256])
+def test_codes_rarely_rule_out_a_pair_at_the_threshold(dim):
+    """Differing signs of pairs at the threshold are spread no wider than the binomial bound has it."""
+    rng, differing = np.random.default_rng(1), []
+    for number in range(200):
+        spin = embeddings.rotation(dim, number)
+        x = rng.normal(size=(100, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        other = rng.normal(size=(100, dim))
+        other -= (other * x).sum(axis=1, keepdims=True) * x
+        other /= np.linalg.norm(other, axis=1, keepdims=True)
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * other
+        differing.append(((x @ spin.T > 0) != (y @ spin.T > 0)).sum(axis=1))
+    found, p = np.concatenate(differing), np.arccos(0.98) / np.pi
+    assert abs(found.mean() - dim * p) < 0.1 * dim * p and found.var() < 1.05 * dim * p * (1 - p)
+    assert found.max() <= embeddings.most_unlike(dim, 0.98) < dim
+
+
+def test_clashing_buckets_are_taken_apart():
+    """Rows of other lengths and other tables in one bucket are compared among their kind only."""
+    rng = np.random.default_rng(2)
+    signs = {8: rng.integers(0, 256, 1, np.uint8).tobytes(), 2: b"\x01\x02"}
+    kinds = [(8, 0), (8, 0), (8, 1), (8, 1), (2, 0), (2, 0), (2, 2)]
+    code = [signs[d] * (d if d == 8 else 1) for d, _ in kinds]
+    keys = [b"\0\0\0\0", b"\1\0\0\0"]
+    tile = embeddings.pa.table({
+        "code": code, "at": embeddings.pa.array([t for _, t in kinds], embeddings.pa.int32()),
+        "block": [0] * 7, "keys": [b"", b"", *keys, b"", b"", b"\0" * 8],
+    })
+    i, j = embeddings.alike(tile, 0.98)
+    assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == {(0, 1), (2, 3), (4, 5)}
+
+
 def test_tables_grow_slowly_with_the_labels():
     sizes = [embeddings.tables_for(n) for n in (1, 1000, 10**6, 10**9)]
     assert [b for b, _ in sizes] == sorted(b for b, _ in sizes) and sizes[-1][1] < 60

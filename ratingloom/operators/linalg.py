@@ -106,7 +106,11 @@ def times_gram(df: DataFrame, g: DataFrame, k: int, value: str = "v", out: str =
 
 
 def long_form(df: DataFrame, id_col: str, value: str = "v", digits: int = 6) -> DataFrame:
-    """One row per matrix entry: ``(id_col, j, v)``, rounded."""
-    return df.select(id_col, F.posexplode(value).alias("j", "v")).withColumn(
-        "v", F.expr(f"round(v, {digits}) + 0.0D")
-    )
+    """One row per matrix entry: ``(id_col, j, v)``, rounded. Null and empty vectors have no entries.
+
+    The rows without entries are left out by their ``j``. Were they left out by the vector, as a plain
+    posexplode does, that filter would move below the joins and the grouping to the scan, and would
+    compute the whole vector, and the id in each of its uses, once per row of the source.
+    """
+    entries = df.select(id_col, F.posexplode_outer(value).alias("j", "v")).where("j IS NOT NULL")
+    return entries.withColumn("v", F.expr(f"round(v, {digits}) + 0.0D"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ratingloom import session
 from ratingloom.operators import aggregates as A
 from ratingloom.operators import evaluate as E
-from ratingloom.operators import ppc, rm2, skew
+from ratingloom.operators import linalg, ppc, rm2, skew
 from ratingloom.operators.matrix import RatingMatrix
 from ratingloom.plans import pipeline
 from ratingloom.sources import blocks, sinks
@@ -207,3 +207,19 @@ def test_grouping_behind_the_buckets_needs_no_exchange_of_its_own(spark):
     ratings = session.materialize(spark.createDataFrame(skewed(), RATING), "ratings")
     grouped = ratings.repartition(8, "user").groupBy("user", "item").agg(F.sum("rating"))
     assert plan_of(grouped).count("Exchange hashpartitioning") == 1
+
+
+def test_long_form_computes_vectors_above_the_grouping_only(spark):
+    rows = [(f'{{"k": {i % 3}}}',) for i in range(9)]
+    table = session.materialize(spark.createDataFrame(rows, "props string"), "props")
+    items = table.select(F.get_json_object("props", "$.k").cast("int").alias("item")).distinct()
+    w = ppc.initial_w(items, 4)
+    found = linalg.long_form(linalg.times_gram(w, linalg.gram(w, 4), 4), "item", "y")
+    assert plan_of(found).count("get_json_object") == 1
+    assert sorted((r.item, r.j) for r in found.collect()) == [(i, j) for i in range(3) for j in range(4)]
+
+
+def test_long_form_of_null_and_empty_vectors(spark):
+    rows = [(1, [0.25, None]), (2, None), (3, []), (None, [-0.0000001])]
+    found = linalg.long_form(spark.createDataFrame(rows, "id int, v array<double>"), "id").collect()
+    assert {tuple(r) for r in found} == {(1, 0, 0.25), (1, 1, None), (None, 0, 0.0)} and len(found) == 3
